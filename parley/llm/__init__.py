@@ -1,0 +1,11 @@
+"""Training-data operators: dedup, mixing, decontamination, scoring, archives.
+
+Nothing outside this package imports it.  Functions that run on executors are
+pickled by value, so executors need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
