@@ -58,3 +58,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("last.id") != F.lit(-(2**63)), F.col("last.id").cast(kind))
     return joined.select("doc_id", "row", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("n").isNull() | (F.col("row") == F.col("last.row"))).alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept.
+
+    Of rows that repeat a doc_id with equal texts one stays, any one.
+    """
+    rows = written(duplicates(docs).select(id_key(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "verdicts")
+    by_row = rows.groupBy("_id", "_sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = by_row.where("not kept").select("_id", "_sha")
+    out = docs.join(gone, (id_key(F.col("doc_id")) == F.col("_id")) & (F.sha2(lower_az(F.col("text")), 256) == F.col("_sha")), "left_anti")
+    if by_row.where("kept and n > 1").limit(1).count():
+        out = out.withColumns({"_id": id_key(F.col("doc_id")), "_sha": F.sha2(lower_az(F.col("text")), 256)}).dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    return out

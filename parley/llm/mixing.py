@@ -72,6 +72,28 @@ def _thresholds(docs: DataFrame, want: DataFrame) -> DataFrame:
             return shut
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), _hash().alias("hash"))
+
+
+def _hash():
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def plan_of(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``(source, source_size, target, whole, upto)``, one row a source, from ``sizes(source, size, hash)``."""
+    aims = targets(ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, share, cap)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    aims = written(aims.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    upto = _thresholds(sizes, aims.where("need > 0").select("source", "need"))
+    return written(aims.join(upto.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", "upto"), "plan")
+
+
+def _copies(hash_):
+    return F.col("whole") + F.when(hash_ < F.col("upto"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs``.
 
@@ -82,13 +104,17 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     none) go together.  A source without words has target 0.  An empty table
     gives an empty result.
     """
-    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
-    rows = written(docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")), "sizes")
-    aims = targets(ranked_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, share, cap)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    aims = written(aims.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    upto = _thresholds(rows, aims.where("need > 0").select("source", "need"))
-    plan = written(aims.join(upto.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "upto")
-    times = F.col("whole") + F.when(F.col("hash") < F.col("upto"), 1).otherwise(0)
-    return rows.join(plan, rows.source.eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    rows = written(_sized(docs), "sizes")
+    plan = plan_of(rows, weights, share, cap).withColumnRenamed("source", "_s")
+    return rows.join(plan, rows.source.eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _copies(F.col("hash"))).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies`` added (an own column of this name is replaced).
+
+    The texts aren't shuffled: the plan has one row a source and is joined to them.
+    """
+    plan = plan_of(written(_sized(docs), "sizes"), weights, share, cap).select(F.col("source").alias("_s"), "whole", "upto")
+    copies = docs.drop("copies").join(plan.select("_s", F.struct("whole", "upto").alias("_plan")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    times = F.col("_plan.whole") + F.when(_hash() < F.col("_plan.upto"), 1).otherwise(0)
+    return copies.withColumn("copies", times.cast("long")).drop("_plan").where("copies > 0")

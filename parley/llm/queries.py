@@ -40,4 +40,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_toxicity, op9_benchmark_decontamination)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_toxicity, op9_benchmark_decontamination, op10_substring_dedup)}

@@ -62,4 +62,18 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-SQL = {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS t
+  FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM g),
+gone AS (SELECT DISTINCT doc_id, p FROM r, unnest(range(i, i + 20)) AS u(p) WHERE n > 1),
+lists AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce(array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT list_contains(ps, p)], ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+SQL = {"op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}

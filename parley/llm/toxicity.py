@@ -244,3 +244,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, t
     model = fit(docs, labels, sample_rows)
     out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(F.col("text"), model, docs.sparkSession))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns kept; nothing is shuffled but the sample."""
+    return docs.where(score(F.col("text"), fit(docs, labels, sample_rows), docs.sparkSession) < threshold)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ._common import LOWER_AZ, utf8
 
@@ -168,3 +169,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         F.sum(F.when(F.col("pass") == 0, 1).otherwise(0)).alias("times"), F.collect_set("hit_bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     return together.select("doc_id", "n_words", either("bits").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_n")).drop("_n")
+
+
+def _clean(held, window: int, k: int):
+    def clean(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        block = Block(held.value, window, k)
+        for texts in raw:
+            yield pa.array([not block.hits(x.as_py())[1].any() for x in texts], pa.bool_())
+
+    clean.__annotations__ = {"raw": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(clean, "boolean")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a word that is hit, all columns kept; nothing is shuffled."""
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), utf8(F.col("text")).alias("raw")).distinct()
+    for part in _blocks(rows, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.collect()])  # at most block_bytes
+        docs = docs.where(_clean(held, window, k)(utf8(F.col("text"))))
+    return docs
