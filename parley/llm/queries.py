@@ -46,4 +46,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_toxicity, op9_benchmark_decontamination, op10_substring_dedup)}
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op5_toxicity, op7_suffix_array_dedup, op9_benchmark_decontamination, op10_substring_dedup)}
