@@ -66,10 +66,16 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).withColumn("kept", F.array_join("kept", ","))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup)}

@@ -76,4 +76,40 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
-SQL = {"op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
+OP6 = r"""
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM a, unnest(range(1, len(ls) + 1)) AS u(i) WHERE trim(ls[i]) <> ''),
+f AS (SELECT line, min((doc_id, line_no)) AS first FROM l GROUP BY line),
+w AS (SELECT line, first, length(line) AS n FROM f WHERE length(line) >= 20),
+v AS (SELECT line, first, n, i, hash(left(line, i) || substr(line, i + 2)) AS h FROM w, unnest(range(0, n)) AS u(i)),
+s AS (SELECT line FROM (SELECT line, first, min(first) OVER (PARTITION BY h, i, n) AS low FROM v) WHERE low < first),
+d AS (SELECT v.line AS longer, v.first AS f1, w.line AS shorter, w.first AS f2 FROM v JOIN w ON v.h = hash(w.line) AND v.n = w.n + 1),
+near AS (SELECT line FROM s UNION SELECT longer FROM d WHERE f2 < f1 UNION SELECT shorter FROM d WHERE f1 < f2),
+k AS (
+  SELECT l.doc_id, l.line_no, (l.doc_id, l.line_no) = f.first AS own, l.line IN (FROM near) AS near
+  FROM l JOIN f ON l.line = f.line),
+g AS (
+  SELECT doc_id, count(*) FILTER (NOT own) AS n_equal, count(*) FILTER (own AND near) AS n_near,
+         coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (own AND NOT near), '') AS kept
+  FROM k GROUP BY doc_id)
+SELECT a.doc_id, len(ls)::BIGINT AS n_lines, len(list_filter(ls, lambda x: trim(x) = ''))::BIGINT AS n_blank,
+       coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(kept, '') AS kept
+FROM a LEFT JOIN g USING (doc_id)
+"""
+
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+b AS (
+  SELECT *, list_transform(range(0, 160, 5), lambda i: (
+      (((strpos('0123456789abcdef', substr(hex, (i // 4 + 1)::INT, 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(hex || '0', (i // 4 + 2)::INT, 1)) - 1, 0))
+      >> (3 - i % 4)::INT) & 31)) AS fives
+  FROM h)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(fives, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
+SQL = {"op6_line_dedup": OP6, "op8_warc_archive": OP8, "op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
