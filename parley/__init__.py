@@ -1,0 +1,11 @@
+"""Conversation, text and graph analytics on Spark DataFrames.
+
+Functions that run on executors are pickled by value, so executors need no copy
+of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
