@@ -125,7 +125,7 @@ def chinese_whispers(graph: Graph, rounds: int = 20, seed: int = 0) -> np.ndarra
 
 
 def label_propagation(graph: Graph, rounds: int = 100) -> np.ndarray:
-    """Labels of most neighbours, unweighted, in node order."""
+    """Labels of most neighbours, unweighted, in node order; ties keep the own label, else the largest wins."""
     of = np.arange(graph.n)
     for _ in range(rounds):
         moved = False
@@ -137,7 +137,7 @@ def label_propagation(graph: Graph, rounds: int = 100) -> np.ndarray:
             if count:
                 top = max(count.values())
                 if count.get(of[i], 0) < top:
-                    of[i] = min(c for c, v in count.items() if v == top)
+                    of[i] = max(c for c, v in count.items() if v == top)
                     moved = True
         if not moved:
             break
