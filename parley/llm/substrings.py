@@ -2,7 +2,9 @@
 
 First pass: a count-min sketch of all windows (see sketch.py) overestimates how
 often each occurs.  Second pass: only windows estimated to repeat are grouped,
-exactly, by 104 bits of hash; the earliest start of each stays.
+exactly, by 104 bits of hash; the earliest start of each stays.  What is
+shuffled are runs of windows with one minimizer, once for each distinct run in a
+task, so copies and common passages are thinned out before they meet.
 """
 
 from __future__ import annotations
@@ -67,38 +69,124 @@ def mixed_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93) ^ x >> np.uint64(27)
 
 
-def _candidates(rows: DataFrame, window: int, held) -> DataFrame:
-    """``(h, at, ord)`` of every window estimated to repeat; ``at``: the 40 bits of its key, then its first word."""
+def _found(rows: DataFrame, window: int, held, distinct: bool) -> DataFrame:
+    """Runs of windows estimated to repeat: once for each distinct one in a task with its earliest start, or each occurrence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bits = held.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, texts in gathered(batch.column(1)):
                 keys, start, end, first, counts, h = windows_of(texts, window)
                 ok = maybe_repeated(bits, keys)
-                n = (end - start)[ok]
-                if not n.sum():
-                    continue
-                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[ok], n)
-                own = np.repeat(np.arange(len(texts)), counts)[pos]
-                yield pa.RecordBatch.from_arrays([pa.array(h[pos].view(np.int64)), pa.array(np.repeat(keys[ok], n) << 24 | (pos - first[own])), pa.array(ids[at + own])], ["h", "at", "ord"])
+                if ok.any():
+                    start, end = start[ok], end[ok]
+                    own = np.searchsorted(first + counts, start, side="right")
+                    yield keys[ok], start, end, ids[at + own], start - first[own], h.astype("<u8").tobytes()
+
+    def run_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], list] = {}
+        for keys, start, end, ids, pos, h in each(batches):
+            for k, s, e, o, p in zip(keys.tolist(), start.tolist(), end.tolist(), ids.tolist(), pos.tolist()):
+                x = (k, h[8 * s : 8 * e])
+                had = seen.get(x)
+                if had is None:
+                    seen[x] = [o, p, 1]
+                else:
+                    had[2] = 2
+                    if (o, p) < (had[0], had[1]):
+                        had[0], had[1] = o, p
+            if len(seen) > 200_000:
+                yield flush(seen)
+                seen = {}
+        if seen:
+            yield flush(seen)
+
+    def flush(seen: dict) -> pa.RecordBatch:
+        v = list(zip(*seen.values()))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.binary()), pa.array(v[0], pa.int64()), pa.array(v[1], pa.int32()), pa.array(v[2], pa.int32())], ["k", "hashes", "ord", "start", "times"])
+
+    def run_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for keys, start, end, ids, pos, h in each(batches):
+            own = np.fromiter((digest(h[8 * s : 8 * e]) for s, e in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32))], ["k", "h", "ord", "start"])
+
+    if distinct:
+        return rows.select("ord", "raw").mapInArrow(run_distinct, "k long, hashes binary, ord long, start int, times int")
+    return rows.select("ord", "raw").mapInArrow(run_each, "k long, h long, ord long, start int")
+
+
+def earliest(group: np.ndarray, hashes: list[bytes], ord_: np.ndarray, start: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+    """For each run of windows the parts (from, to, document, start of the run there) whose windows start there first."""
+    sizes = np.array([len(x) // 8 for x in hashes])
+    first = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(hashes)), sizes)
+    at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    h = np.frombuffer(b"".join(hashes), "<u8")
+    pos = start[of] + at
+    order = np.lexsort([pos, ord_[of], h, group[of]])
+    g, hh = group[of][order], h[order]
+    heads = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (hh[1:] != hh[:-1])]))
+    lead = np.empty(len(order), np.int64)
+    lead[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    doc, base = ord_[of][lead], pos[lead] - at
+    out = []
+    for a, n in zip(first.tolist(), sizes.tolist()):
+        d, b = doc[a : a + n], base[a : a + n]
+        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1])]))
+        out.append(list(zip(cut.tolist(), [*cut[1:].tolist(), n], d[cut].tolist(), b[cut].tolist())))
+    return out
+
+
+def _resolved(found: DataFrame) -> DataFrame:
+    """``(k, h, parts)`` of each distinct run that may occur again; runs of one minimizer are grouped in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("ord", pa.int64()), ("start", pa.int32())]))
+        held: dict[int, dict[bytes, list[int]]] = {}
+        last, size = None, 0
 
-    return rows.select("ord", "raw").mapInArrow(run, "h long, at long, ord long")
+        def settle() -> pa.RecordBatch:
+            flat = [(k, x, *v) for k, own in held.items() if len(own) > 1 or next(iter(own.values()))[2] > 1 for x, v in own.items()]
+            parts = earliest(np.array([f[0] for f in flat]), [f[1] for f in flat], np.array([f[2] for f in flat]), np.array([f[3] for f in flat])) if flat else []
+            rows = [[dict(zip(("a", "b", "ord", "start"), p)) for p in ps] for ps in parts]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array(np.array([digest(f[1]) for f in flat], np.uint64).view(np.int64)), pa.array(rows, kind)], ["k", "h", "parts"])
+
+        for batch in batches:
+            for k, x, o, p, times in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if k != last and size > 50_000:
+                    yield settle()
+                    held, size = {}, 0
+                last, size = k, size + 1
+                own = held.setdefault(k, {})
+                had = own.get(x)
+                if had is None:
+                    own[x] = [o, p, times]
+                else:
+                    had[2] = 2
+                    if (o, p) < (had[0], had[1]):
+                        had[0], had[1] = o, p
+        if held:
+            yield settle()
+
+    return found.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, h long, parts array<struct<a:int,b:int,ord:long,start:int>>")
 
 
 def removals(rows: DataFrame, window: int) -> DataFrame:
-    """``rows(ord, raw)`` to ``(ord, starts array<int>)``: where windows start that start earlier elsewhere."""
+    """``rows(ord, raw)`` to ``(ord, spans)``: where windows start that start earlier elsewhere, as ranges (a, b)."""
 
     def keys_of(raws) -> Iterator[np.ndarray]:
         for _, texts in gathered(raws):
             yield windows_of(texts, window, wide=False)[0]
 
     held = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("raw"), keys_of))  # 32 MB
-    found = _candidates(rows, window, held).select("h", F.shiftrightunsigned("at", 24).alias("k"), F.col("at").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"), "ord")
-    least = found.groupBy("h", "k").agg(F.min(F.struct("ord", "pos")).alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("_h"), F.col("k").alias("_k"), "least")
-    later = found.join(least, (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).where((F.col("ord") != F.col("least.ord")) | (F.col("pos") != F.col("least.pos")))
-    return later.groupBy("ord").agg(F.collect_list("pos").alias("starts"))
+    parts = _resolved(_found(rows, window, held, distinct=True)).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "parts")
+    hits = _found(rows, window, held, distinct=False).join(parts, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")))
+    later = F.filter("parts", lambda p: (p["ord"] < F.col("ord")) | ((p["ord"] == F.col("ord")) & (p["start"] < F.col("start"))))
+    spans = F.transform(later, lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b")))
+    return hits.select("ord", spans.alias("spans")).where(F.size("spans") > 0).groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -116,14 +204,13 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, starts in zip(batch.column(1), batch.column(2)):
+            for raw, spans in zip(batch.column(1), batch.column(2)):
                 words = raw.as_py().split()
                 n = len(words)
-                if starts.is_valid and len(starts):
+                if spans.is_valid and len(spans):
                     edge = np.zeros(n + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, spans.values.field("a").to_numpy(), 1)
+                    np.add.at(edge, spans.values.field("b").to_numpy() + (window - 1), -1)
                     keep = np.cumsum(edge[:n]) == 0
                     words = [w for w, k in zip(words, keep.tolist()) if k]
                 out.append((n, n - len(words), b" ".join(words)))
@@ -131,5 +218,5 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     gone = removals(rows, window)
-    both = rows.join(gone, "ord", "left").select("doc_id", "raw", "starts")
+    both = rows.join(gone, "ord", "left").select("doc_id", "raw", "spans")
     return both.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept binary")
