@@ -283,12 +283,13 @@ def near_groups(docs: DataFrame, width: int = 4, budget: int = 4, extra: int = 0
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 10, extra: int = 4, total: int | None = 48) -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 12, extra: int = 8, total: int | None = 92) -> DataFrame:
     """The rows of ``docs`` without near copies, all columns kept: of each group the smallest doc_id stays.
 
     By default texts are near when their sets of five-word shingles have a
-    similarity of about 0.8 or more: 48 of 320 SimHash bits is the angle of that
-    similarity.  ``budget`` bounds the differing bits of the first 64.
+    similarity of about 0.8 or more: 92 of 576 SimHash bits is the angle of that
+    similarity, and a little more.  ``budget`` bounds the differing bits of the
+    first 64.
     """
     groups = near_groups(docs, width, budget, extra, total).select(id_key(F.col("doc_id")).alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
     gone = written(groups.groupBy("_id").agg(F.max("keep").alias("keep")).where("not keep").select("_id"), "gone")
