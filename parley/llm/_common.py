@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="parley-")
+        own = tempfile.mkdtemp(prefix="parley-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
