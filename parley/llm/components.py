@@ -18,7 +18,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that the join deals both sides out anew and a hub's edges can be split
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     joined = both.join(least, "u")
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
