@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,24 @@ def runs(m: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return (x[new] >> np.uint64(_AT_BITS)).astype(np.int64), ok[new], ok[last] + 1
 
 
+def places(m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the minimizers of windows are: the index of their first gram."""
+    low = np.uint64((1 << _AT_BITS) - 1)
+    return (low - (m[at] & low)).astype(np.int64)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows(ord, doc_id, raw)`` with the text compressed, for the one time that it is shuffled."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.as_py()) for x in batch.column(2)], pa.binary())], ["ord", "doc_id", "raw"])
+
+    return rows.select("ord", "doc_id", "raw").mapInArrow(run, f"ord long, doc_id {kind}, raw binary")
+
+
 def cells(keys: np.ndarray) -> list[np.ndarray]:
     """The cell of each key in each row of the sketch."""
     return [((keys.astype(np.uint64) * np.uint64(odd) ^ keys.astype(np.uint64) >> np.uint64(13 + 6 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64) for i, odd in enumerate(_ODD[:ROWS])]
@@ -158,4 +177,4 @@ def gathered(raws, most: int = MOST) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-__all__ = ["NULL_ID", "gathered", "joined", "maybe_repeated", "minimizers", "mixed", "ordered", "repeated_cells", "runs"]
+__all__ = ["NULL_ID", "gathered", "joined", "maybe_repeated", "minimizers", "mixed", "ordered", "packed", "places", "repeated_cells", "runs"]

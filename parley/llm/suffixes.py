@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gsaca import suffix_array
-from .sketch import gathered, joined, maybe_repeated, minimizers, ordered, repeated_cells, runs
+from .sketch import gathered, joined, maybe_repeated, minimizers, ordered, packed, places, repeated_cells, runs
 
 #: Bytes of the grams whose smallest hash stands for a window.
 GRAM = 16
@@ -28,8 +29,8 @@ CHUNK = 200_000
 _TABLE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
 
 
-def segments_of(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, and key, start and end of runs of windows with one minimizer; each text's first byte."""
+def segments_of(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes; key, start and end of runs of windows with one minimizer, and where it is; each text's first byte."""
     whole_text = b"".join(texts)
     counts = np.array([len(x) for x in texts])
     first = np.cumsum(counts) - counts
@@ -43,7 +44,8 @@ def segments_of(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.
     for a, c in zip(first.tolist(), counts.tolist()):
         if c >= window:
             whole[a : a + c - window + 1] = True
-    return (whole_text, *runs(m, whole), first)
+    keys, start, end = runs(m, whole)
+    return whole_text, keys, start, end, places(m, start), first
 
 
 def _found(rows: DataFrame, window: int, held, wide: bool) -> DataFrame:
@@ -54,11 +56,11 @@ def _found(rows: DataFrame, window: int, held, wide: bool) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, texts in gathered(batch.column(1)):
-                joint, keys, start, end, first = segments_of(texts, window)
+                joint, keys, start, end, core, first = segments_of(texts, window)
                 ok = maybe_repeated(bits, keys)
                 own = ids[at + np.searchsorted(first, start[ok], side="right") - 1]
-                for k, s, e, o in zip(keys[ok].tolist(), start[ok].tolist(), end[ok].tolist(), own.tolist()):
-                    x = (k, joint[s : e - 1 + window])
+                for k, s, e, c, o in zip(keys[ok].tolist(), start[ok].tolist(), end[ok].tolist(), (core - start)[ok].tolist(), own.tolist()):
+                    x = (k, c.to_bytes(2, "little") + joint[s : e - 1 + window])
                     had = seen.get(x)
                     if had is None:
                         seen[x] = [o, 1]
@@ -80,7 +82,7 @@ def _found(rows: DataFrame, window: int, held, wide: bool) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, texts in gathered(batch.column(1)):
-                joint, keys, start, end, first = segments_of(texts, window)
+                joint, keys, start, end, _, first = segments_of(texts, window)
                 ok = maybe_repeated(bits, keys)
                 if not ok.any():
                     continue
@@ -93,15 +95,32 @@ def _found(rows: DataFrame, window: int, held, wide: bool) -> DataFrame:
     return rows.select("ord", "raw").mapInArrow(each, "k long, h long, ord long, start int")
 
 
-def earliest(segments: list[bytes], least: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """For each segment the runs (from, to, smallest document) of its windows, from the sorted suffixes of all."""
-    sizes = np.array([len(x) for x in segments]) + 1
+def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """For each segment the runs (from, to, smallest document) of its windows, from the sorted suffixes of all.
+
+    All windows of a segment hold the gram that it was found by, at one place.
+    This gram is sorted as one symbol, and the bytes compared in full.
+    """
+    sizes = np.array([len(x) + 1 for x in segments])
     first = np.cumsum(sizes) - sizes
     joint = b"\x00".join(segments) + b"\x00"
-    starts = np.concatenate([np.arange(a, a + n - window) for a, n in zip(first.tolist(), sizes.tolist())])
+    gram = 1
+    while gram * 2 <= min(GRAM, window):
+        gram *= 2
+    symbols: list[int] = []
+    place: list[int] = []
+    core: dict[bytes, int] = {}
+    for a, x, c in zip(first.tolist(), segments, cores):
+        symbols += x[:c]
+        symbols.append(256 + core.setdefault(x[c : c + gram], len(core)))
+        symbols += x[c + gram :]
+        symbols.append(0)
+        place += range(a, a + c + 1)
+        place += range(a + c + gram, a + len(x) + 1)
+    at_symbol = np.array(place)
     valid = np.zeros(len(joint), bool)
-    valid[starts] = True
-    order = np.array(suffix_array(joint))
+    valid[np.concatenate([np.arange(a, a + n - window) for a, n in zip(first.tolist(), sizes.tolist())])] = True
+    order = at_symbol[np.array(suffix_array(symbols))]
     order = order[valid[order]]
     # equal windows are neighbours: the bytes are compared in full
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joint, np.uint8), window)
@@ -134,17 +153,17 @@ def _resolved(found: DataFrame, window: int) -> DataFrame:
 
         def settle(groups: dict) -> Iterator[pa.RecordBatch]:
             out = ([], [], [])
-            texts, least, keys = [], [], []
+            texts, cores, least, keys = [], [], [], []
             for k, own in groups.items():
                 if len(own) == 1:
                     ((x, (low, times)),) = own.items()
                     if times > 1:
-                        out[0].append(k), out[1].append(digest(x)), out[2].append([{"a": 0, "b": len(x) - window + 1, "low": low}])
+                        out[0].append(k), out[1].append(digest(x[2:])), out[2].append([{"a": 0, "b": len(x) - 2 - window + 1, "low": low}])
                     continue
                 for x, (low, _) in own.items():
-                    texts.append(x), least.append(low), keys.append(k)
+                    texts.append(x[2:]), cores.append(int.from_bytes(x[:2], "little")), least.append(low), keys.append(k)
             if texts:
-                for k, x, parts in zip(keys, texts, earliest(texts, np.array(least), window)):
+                for k, x, parts in zip(keys, texts, earliest(texts, cores, np.array(least), window)):
                     out[0].append(k), out[1].append(digest(x)), out[2].append([{"a": a, "b": b, "low": low} for a, b, low in parts])
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).view(np.int64)), pa.array(out[2], kind)], ["k", "h", "parts"])
@@ -194,10 +213,11 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     gone = hits.select("ord", spans.alias("spans")).where(F.size("spans") > 0).groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for raw, spans in zip(batch.column(1), batch.column(2)):
-                raw = raw.as_py()
+                raw = unpack(raw.as_py())
                 n = len(raw)
                 removed = runs_ = 0
                 if spans.is_valid and len(spans):
@@ -211,5 +231,5 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = rows.join(gone, "ord", "left").select("doc_id", "raw", "spans")
+    both = packed(rows).join(gone, "ord", "left").select("doc_id", "raw", "spans")
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
