@@ -10,7 +10,8 @@ others by edit distance.
 
 Most lines have no such neighbour, and a screen finds them without variants: an
 edit leaves the first or the second half of a line as it is, so a line whose
-halves no other line of nearly its length has is out.  Long lines are varied
+halves no other line of nearly its length has is out; what is left is screened
+again by all but an eighth of it.  Long lines are varied
 piece by piece, with the hashes of what stands before and after.
 """
 
@@ -43,34 +44,52 @@ def _screen_keys(line: Column, n: Column) -> Column:
     return F.array(*half(n, n), *half(n - 1, n - 1))
 
 
-def _variants(line: Column, n: Column) -> Column:
-    """(role, key, check) of the line itself and of its variants, piece by piece.
+def _fine_keys(line: Column, n: Column, parts: int = 8) -> Column:
+    """All of a line but one of its parts, as cut for itself and for a line shorter by one: one edit leaves one of these as it is."""
+
+    def without(m: Column, q: int) -> Column:
+        a, b = F.floor(m * q / parts).cast("int"), F.floor(m * (q + 1) / parts).cast("int")
+        return F.xxhash64(F.lit(q), m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
+
+    return F.array(*[without(m, q) for m in (n, n - 1) for q in range(parts)])
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Keys ``s`` that more than one line has."""
+    n = keys.groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2"))
+    return n.where("lo <> hi or lo2 <> hi2").select(F.col("s").alias("_s"))
 
-    Roles: 0, varied at a place, for lines of equal length; 1, varied, and 2, as
-    it is, for lines whose lengths differ by one.
-    """
 
-    def of(p: Column, width: int) -> tuple[Column, Column, Column]:
+def _pieces(line: Column, n: Column) -> Column:
+    """The line's pieces, with the hashes of what stands before and after: of PIECE characters, and of one more."""
+
+    def of(p: Column) -> Column:
         a = p * PIECE
-        return F.xxhash64(F.substring(line, F.lit(1), a)), F.substring(line, a + 1, F.lit(width)), F.xxhash64(F.substring(line, a + width + 1, n))
+        parts = [p.alias("p"), F.xxhash64(F.substring(line, F.lit(1), a)).alias("head"), F.substring(line, a + 1, F.lit(PIECE + 1)).alias("mid")]
+        return F.struct(*parts, F.xxhash64(F.substring(line, a + PIECE + 1, n)).alias("tail"), F.xxhash64(F.substring(line, a + PIECE + 2, n)).alias("tail1"))
 
-    def key(role: int, same: Column, p: Column, at: Column, head: Column, mid: Column, tail: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.xxhash64(same, p, at, head, mid, tail).alias("key"), F.hash(same, p, at, head, mid, tail).alias("check"))
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), of)
 
-    def piece(p: Column) -> Column:
-        head, mid, tail = of(p, PIECE)
-        head1, mid1, tail1 = of(p, PIECE + 1)
-        last, last1 = F.length(mid), F.length(mid1)
 
-        def cut(s: Column, i: Column) -> Column:
-            return F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, F.lit(PIECE + 1)))
+def _variants(s: Column) -> Column:
+    """(role, key, check) of a piece as it is and of its variants.
 
-        same = F.transform(F.sequence(F.lit(0), last - 1), lambda i: key(0, F.lit("s"), p, i, head, cut(mid, i), tail))
-        longer = F.transform(F.sequence(F.lit(0), last1 - 1), lambda i: key(1, F.lit("d"), p, F.lit(-1), head1, cut(mid1, i), tail1))
-        whole = F.array(key(2, F.lit("d"), p, F.lit(-1), head, mid, tail))
-        return F.array_distinct(F.concat(same, longer, whole))
+    Roles: 0, varied at a place, for lines of equal length; 1, varied, and 2, as
+    it is, for lines whose lengths differ by one.
+    """
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), piece))
+    def key(role: int, same: str, at: Column, mid: Column, tail: Column) -> Column:
+        by = (F.lit(same), s["p"], at, s["head"], mid, tail)
+        return F.struct(F.lit(role).alias("role"), F.xxhash64(*by).alias("key"), F.hash(*by).alias("check"))
+
+    def cut(i: Column, width: int) -> Column:
+        return F.concat(F.substring(s["mid"], F.lit(1), i), F.substring(s["mid"], i + 2, F.lit(width) - i - 1))
+
+    n = F.length(s["mid"])
+    same = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(PIECE)) - 1), lambda i: key(0, "s", i, cut(i, PIECE), s["tail"]))
+    longer = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(1, "d", F.lit(-1), cut(i, PIECE + 1), s["tail1"]))
+    whole = F.array(key(2, "d", F.lit(-1), F.substring(s["mid"], F.lit(1), F.lit(PIECE)), s["tail"]))
+    return F.concat(same, longer, whole)
 
 
 def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -81,13 +100,20 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = MIN_CHA
     """
     long_ = occurrences.where(F.col("n") >= min_chars)
     keys = long_.select("h", "h2", "id", "line_no", F.explode("screen").alias("s"))
-    shared = keys.groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select(F.col("s").alias("_s"))
     # the first places of the lines left, and then these lines' texts
-    left = written(keys.join(shared, F.col("s") == F.col("_s"), "left_semi").select("h", "h2", "id", "line_no").distinct(), "screened")
+    left = written(keys.join(_shared(keys), F.col("s") == F.col("_s"), "left_semi").select("h", "h2", "id", "line_no").distinct(), "screened")
     texts = _lines(docs).join(left, ["id", "line_no"]).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("h2")))
     texts = written(texts.select("h", "h2", F.struct("id", "line_no").alias("first"), "line").dropDuplicates(["h", "h2"]), "texts")
-
-    varied = texts.select("h", "h2", "first", F.explode(_variants(F.col("line"), F.length("line"))).alias("v")).select("h", "h2", "first", "v.*")
+    # few lines are left: a finer screen of these, again without loss
+    fine = texts.select("h", "h2", F.explode(_fine_keys(F.col("line"), F.length("line"))).alias("s"))
+    left = fine.join(_shared(fine), F.col("s") == F.col("_s"), "left_semi").select("h", "h2").distinct()
+    texts = written(texts.join(left, ["h", "h2"]), "fine")
+
+    # a row for each piece, so that what stands around it is hashed once, not for each variant
+    pieces = texts.select("h", "h2", "first", F.explode(_pieces(F.col("line"), F.length("line"))).alias("s"))
+    # few bytes, but much to do for each: dealt to as many tasks as shuffles have
+    pieces = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "s.p")
+    varied = pieces.select("h", "h2", "first", F.explode(_variants(F.col("s"))).alias("v")).select("h", "h2", "first", "v.*")
     # of a key, the earliest of either side: all lines varied at one place are one edit apart;
     # a line left as it is is one edit from each varied one
     low = varied.groupBy("key", "check").agg(*[F.min(F.when(F.col("role") == r, F.struct("first", "h", "h2"))).alias(f"low{r}") for r in (0, 1, 2)])
