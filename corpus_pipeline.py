@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity about 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
     return simhash.one_of_each_group(docs)
 
 

@@ -283,14 +283,87 @@ def near_groups(docs: DataFrame, width: int = 4, budget: int = 4, extra: int = 0
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, budget: int = 12, extra: int = 8, total: int | None = 92) -> DataFrame:
+#: Min-hash bands, and hashes in each: two sets of similarity 0.8 share no band with a probability of 5e-9.
+BANDS, BAND_ROWS = 48, 5
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The distinct shingle hashes of the text, sorted."""
+    return np.unique(shingle_hashes(raw, width))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band: equal if the band's minima are equal.  An empty set has one key only."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    low = np.full(len(_ODD), _M64, np.uint64)
+    for first in range(0, len(h), 512):
+        np.minimum(low, (h[None, first : first + 512] * _ODD).min(1), out=low)
+    low = low.reshape(BANDS, BAND_ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        key = _mixed(key ^ low[:, k], k + 1)
+    return key.view(np.int64)
+
+
+def _set_name(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets, ``sets(node, hashes)``, have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies, all columns kept: of each group the smallest doc_id stays.
 
-    By default texts are near when their sets of five-word shingles have a
-    similarity of about 0.8 or more: 92 of 576 SimHash bits is the angle of that
-    similarity, and a little more.  ``budget`` bounds the differing bits of the
-    first 64.
+    Texts are near when their sets of ``width``-word shingles have a similarity of
+    ``least`` or more; groups are the classes of these links.  Candidates share a
+    min-hash band, and each link is confirmed by the sets themselves.  Each bucket
+    is first compared with one of its sets; then only pairs are compared that are
+    still in different classes.  Texts with equal sets (as two empty ones) are one.
     """
-    groups = near_groups(docs, width, budget, extra, total).select(id_key(F.col("doc_id")).alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
-    gone = written(groups.groupBy("_id").agg(F.max("keep").alias("keep")).where("not keep").select("_id"), "gone")
-    return docs.join(gone, id_key(F.col("doc_id")) == F.col("_id"), "left_anti")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(raw.as_py(), width) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))], ["_id", "node", "bands"])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(raw.as_py(), width) for raw in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
+
+    rows = docs.select(id_key(F.col("doc_id")).alias("_id"), utf8(F.col("text")).alias("raw"))
+    prints = written(rows.mapInArrow(sketch, "_id long, node long, bands array<long>"), "prints")
+    keyed = prints.select("node", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    buckets = written(keyed.join(hubs, "key").distinct(), "buckets")
+    wanted = prints.join(buckets.select("node").distinct(), "node", "left_semi").select("_id").distinct()
+    sets = written(rows.join(wanted, "_id", "left_semi").select("raw").mapInArrow(hashes, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    tried = written(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    linked = written(_confirmed(tried, sets, least), "linked")
+    root = written(components(linked), "roots")
+    now = written(buckets.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "now")
+    now = now.join(now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "key")
+    a, b = now.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), now.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = a.join(b, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = written(_confirmed(written(rest, "rest"), sets, least), "linked")
+    root = written(components(linked.unionByName(more)), "roots")
+    grouped = prints.select("_id", "node").join(root, "node", "left").select("_id", F.coalesce("root", "node").alias("root"))
+    smallest = grouped.groupBy("root").agg(F.min("_id").alias("least"))
+    gone = grouped.join(smallest, "root").groupBy("_id").agg(F.max(F.col("_id") == F.col("least")).alias("keep")).where("not keep").select("_id")
+    return docs.join(written(gone, "gone"), id_key(F.col("doc_id")) == F.col("_id"), "left_anti")

@@ -138,6 +138,38 @@ def brute_bytes(rows, window):
     return out
 
 
+def test_near_copies_against_brute_force(spark):
+    """Pairs on both sides of a similarity of 0.8, a large group and a chain; every link is exact and none is missed."""
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    word = lambda: f"v{next(fresh)}"
+    texts = []
+    for k in range(60):  # 150 words; a changed word takes five shingles away
+        base = [word() for _ in range(150)]
+        other = list(base)
+        for at in rng.sample(range(5, 140, 6), 3 + k % 4):
+            other[at] = word()
+        texts += [base, other]
+    base = [word() for _ in range(300)]
+    for _ in range(70):
+        other = list(base)
+        other[rng.randrange(300)] = word()
+        texts.append(other)
+    for _ in range(6):  # each is near the one before, the ends are far apart
+        base = [*base[20:], *(word() for _ in range(20))]
+        texts.append(base)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    similar = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    ids = [i for i, _ in rows]
+    want = brute_components(ids, lambda i, j: similar(sets[i], sets[j]))
+    near = [len(a & b) / len(a | b) for a, b in (({tuple(x[i : i + 5]) for i in range(146)}, {tuple(y[i : i + 5]) for i in range(146)}) for x, y in zip(texts[:120:2], texts[1:120:2]))]
+    assert sum(0.8 <= x <= 0.85 for x in near) >= 10 and sum(0.65 < x < 0.8 for x in near) >= 10
+    kept = [r[0] for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(kept) == sorted(set(want))
+
+
 @pytest.mark.parametrize("window", [50, 20])
 def test_byte_strings_that_repeat(docs, corpus, window):
     got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.without_repeats(docs, window).collect()}
