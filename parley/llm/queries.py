@@ -56,7 +56,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     found = secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), "n_unread")
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

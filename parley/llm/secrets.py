@@ -3,7 +3,9 @@
 A text is scanned, then unwrapped: percent escapes, Unicode escapes, base64 runs
 and compressed data inside them.  Each result is a layer that is scanned and
 unwrapped in turn, until nothing new comes up; a layer that came up before is
-not taken again.  Each layer carries, for every character, the place it comes
+not taken again.  A base64 run is read from each of its first four characters,
+and bytes that are no text as a whole give their readable runs and compressed
+streams wherever these start.  Each layer carries, for every character, the place it comes
 from in the original text, so what is found in it is reported there.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import io
 import lzma
 import re
 import zlib
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that the layers of one document may unpack to in all: a guard against
-#: archives that never end.  Layers beyond it are counted as unread.
+#: archives that never end.  Layers beyond it are scanned piece by piece but not
+#: unwrapped further, and counted as unread.
 MOST_UNPACKED = 64 << 20
 
 #: Kinds in order, their patterns, and how long a match must be (group 2 for assign).
@@ -76,26 +80,37 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unpacked(raw: bytes, most: int) -> tuple[bytes | None, bool]:
-    """What compressed bytes hold, and whether it is more than ``most`` bytes."""
+#: Readable runs that could hold a secret or a layer: none is shorter than 16.
+_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
+_MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>x[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9])|(?P<xz>\xfd7zXZ\x00)|(?P<zstd>\x28\xb5\x2f\xfd)")
+_READER = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+_PIECE = 1 << 20
+_SPACES = re.compile(rb"\x20{64,}")
+
+
+def _unpacked(raw: bytes, at: int, kind: str) -> Iterator[bytes]:
+    """Pieces of what the stream at ``at`` and those of its kind right behind it hold; returns where they end, if they end well."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(most + 1)
-            return (None, True) if len(out) > most else (out, False)
-        else:
-            return None, False
-        out = d.decompress(raw, most + 1)
+        if kind == "zstd":
+            reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw[at:]), read_across_frames=True)
+            while piece := reader.read(_PIECE):
+                yield piece
+            return len(raw)
+        while True:
+            d, data = _READER[kind](), raw[at:]
+            while not d.eof:
+                piece = d.decompress(data, _PIECE)
+                data = getattr(d, "unconsumed_tail", b"")
+                if piece:
+                    yield piece
+                elif not data and not d.eof:
+                    return None  # cut short
+            at = len(raw) - len(d.unused_data)
+            m = _MAGIC.match(raw, at)
+            if not m or m.lastgroup != kind:
+                return at
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None, False
-    return (None, True) if len(out) > most else (out, False)
+        return None
 
 
 def _replaced(layer: _Layer, pieces: list[tuple[int, int, str]]) -> _Layer:
@@ -152,26 +167,47 @@ class _Document:
             self.todo.append(layer)
 
     def bytes_in(self, layer: _Layer, s: int, e: int, raw: bytes, chars) -> None:
-        """A layer of what characters s to e stand for; ``chars(j)``: those of byte j, or None for all."""
-        text, exact = _readable(raw), chars is not None
-        if text is None:
-            raw, over = _unpacked(raw, self.left)
-            self.unread += over
-            if raw is None:
-                return
-            self.left -= len(raw)
-            text, exact = _readable(raw), False
-            if text is None:
-                text, over = _unpacked(raw, self.left)
-                self.unread += over
-                if text is None:
-                    return
-                self.left -= len(text)
-                text = _readable(text)
-                if text is None:
-                    return
-        if exact:
-            lo, hi, j = [], [], 0
+        """Layers of what characters s to e stand for; ``chars(j)``: those of byte j, or None for all."""
+        left = [(raw, chars)]
+        while left:
+            raw, chars = left.pop()
+            mark = (raw, layer.span(s, e))
+            if mark in self.seen:
+                continue
+            self.seen.add(mark)
+            text = _readable(raw)
+            for at, t in [(0, text)] if text is not None else ((m.start(), m[0].decode("utf-8", "replace")) for m in _RUN.finditer(raw)):
+                self.text_in(layer, s, e, t, at, chars)
+            m = _MAGIC.search(raw)
+            while m:
+                out, end = self.read(_unpacked(raw, m.start(), m.lastgroup), layer.span(s, e))
+                if out:
+                    left.append((out, None))
+                m = _MAGIC.search(raw, end or m.start() + 1)
+
+    def read(self, pieces, span: tuple[int, int]) -> tuple[bytes, int | None]:
+        """A stream's bytes and its end; one too large is scanned piece by piece and gives no bytes."""
+        held, n, tail, over = [], 0, b"", False
+        while True:
+            try:
+                piece = next(pieces)
+            except StopIteration as stop:
+                self.left -= 0 if over else n
+                return b"".join(held), stop.value
+            n += len(piece)
+            held.append(piece)
+            if n <= self.left and not over:
+                continue
+            if not over:
+                over, self.unread = True, self.unread + 1
+            tail = _SPACES.sub(b" " * 64, tail + b"".join(held))
+            self.found.update((span[0], kind, span[1]) for _, kind, _ in scan(tail.decode("latin-1")))
+            held, tail = [], tail[-4096:]
+
+    def text_in(self, layer: _Layer, s: int, e: int, text: str, at: int, chars) -> None:
+        """A layer of a text that starts at byte ``at`` of what characters s to e stand for."""
+        if chars is not None:
+            lo, hi, j = [], [], at
             for c in text:
                 n = len(c.encode())
                 a, b = layer.span(s + chars(j)[0], min(e, s + chars(j + n - 1)[1]))
@@ -206,14 +242,15 @@ class _Document:
             if pieces:
                 self.put(_replaced(layer, pieces))
         for m in _BASE64.finditer(text):
-            run = m[0].rstrip("=")
-            if len(run) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            self.bytes_in(layer, m.start(), m.start() + len(run), raw, lambda j: (j * 4 // 3, (j * 8 + 7) // 6 + 1))
+            run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+            for first in range(4):
+                own = run[first:]
+                own = own[: len(own) - (len(own) % 4 == 1)]
+                try:
+                    raw = base64.b64decode(own + "=" * (-len(own) % 4), validate=True)
+                except (binascii.Error, ValueError):
+                    continue
+                self.bytes_in(layer, m.start() + first, m.start() + first + len(own), raw, lambda j: (j * 4 // 3, (j * 8 + 7) // 6 + 1))
 
 
 def find(text: str, most_unpacked: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:

@@ -1,6 +1,7 @@
 """Mixing, secrets, toxicity, archives, decontamination and the pipeline."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -141,6 +142,28 @@ def test_layers_end_and_bombs_are_counted():
     assert any(k == 0 for _, k, _ in found(x)[1])
 
 
+def test_layers_wherever_they_start_and_however_deep():
+    b64 = lambda b: base64.b64encode(b).decode()
+    deep = SECRET.encode()
+    for _ in range(4):
+        deep = gzip.compress(deep)
+    half = len(SECRET) // 2
+    members = gzip.compress(SECRET[:half].encode()) + gzip.compress(SECRET[half:].encode())
+    bz = bz2.compress(b"first") + bz2.compress(SECRET.encode())
+    wrapped = [b64(deep), b64(members), b64(bz), b64(b"\xff\xfe\x00" + gzip.compress(SECRET.encode()) + b"\xff")]
+    wrapped += [before + b64(SECRET.encode()) for before in ("id_", "name-", "a/bc/", "x_", "ab-")]
+    wrapped += [b64(SECRET.encode()).rstrip("=") + "_rest"]
+    for w in wrapped:
+        assert any(k == 0 and 2 <= s and e <= 2 + len(w) for s, k, e in found("é " + w + " end")[1]), w
+    assert all(s >= 7 for s, k, _ in found("é name-" + b64(SECRET.encode()))[1] if k == 0)
+
+
+def test_layers_too_large_are_scanned():
+    large = b"a b " * 600_000 + SECRET.encode() + b" c d" * 600_000
+    base, spans, unread = secrets.find("x " + base64.b64encode(gzip.compress(large)).decode(), most_unpacked=1000)
+    assert not base and unread == 1 and any(k == 0 for _, k, _ in spans)
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.secrets(odd).count() == 6 and secrets.secrets(empty).count() == 0
 
