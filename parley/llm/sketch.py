@@ -27,6 +27,8 @@ from ._common import NULL_ID, id_key, utf8, written
 ROWS, CELLS, SHARD = 2, 1 << 27, 1 << 16
 _ODD = (0x9E3779B1, 0x85EBCA6B)
 _KEY_BITS, _AT_BITS = 40, 24
+#: Windows whose places are counted from one start, so that they fit _AT_BITS; runs end there.
+BLOCK = 1 << 23
 #: Grams that are hashed together; longer batches are cut between documents.
 MOST = 1 << 20
 
@@ -45,12 +47,15 @@ def joined(a: np.ndarray, by: int) -> np.ndarray:
 
 
 def minimizers(grams: np.ndarray, w: int) -> np.ndarray:
-    """For each w grams in a row the smallest hash, cut to 40 bits, and its place from the end, in one number."""
-    n = len(grams)
-    if n < w:
-        return np.empty(0, np.uint64)
+    """For each w grams in a row the smallest hash, cut to 40 bits, and its place in the block from the end, in one number."""
+    n = len(grams) - w + 1
+    blocks = [_minimizers(grams[a : min(a + BLOCK, n) + w - 1], w) for a in range(0, n, BLOCK)]
+    return np.concatenate(blocks) if len(blocks) > 1 else blocks[0] if blocks else np.empty(0, np.uint64)
+
+
+def _minimizers(grams: np.ndarray, w: int) -> np.ndarray:
     low = np.uint64((1 << _AT_BITS) - 1)
-    m = (grams & ~low) | (low - np.arange(n, dtype=np.uint64))
+    m = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
     done = 1
     while done * 2 <= w:
         m = np.minimum(m[:-done], m[done:])
@@ -72,7 +77,7 @@ def runs(m: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def places(m: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where the minimizers of windows are: the index of their first gram."""
     low = np.uint64((1 << _AT_BITS) - 1)
-    return (low - (m[at] & low)).astype(np.int64)
+    return (low - (m[at] & low)).astype(np.int64) + at // BLOCK * BLOCK
 
 
 def packed(rows: DataFrame) -> DataFrame:

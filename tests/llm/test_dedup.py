@@ -258,6 +258,22 @@ def test_lines_of_odd_rows(odd, empty):
     assert lines.without_lines(odd).columns == odd.columns
 
 
+def test_minimizers_of_a_text_of_over_2_to_the_24():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 400, dtype=np.uint8)
+    text = rng.integers(97, 123, (1 << 24) + 5000, dtype=np.uint8)
+    spots = [1000, sketch.BLOCK - 200, (1 << 24) - 200, (1 << 24) + 2000]
+    for a in spots:
+        text[a : a + 400] = passage
+    _, keys, start, end, core, _ = suffixes.segments_of([text.tobytes()], 50)
+    assert (core >= start).all() and (core - start <= 50 - 16).all() and (core >= end - 1).all()
+    of = lambda a: keys[np.searchsorted(end, np.arange(a, a + 351), side="right")].tolist()
+    assert all(of(a) == of(spots[0]) for a in spots) and len(set(of(spots[0]))) > 5
+    grams = np.tile(rng.integers(0, 2**63, 1000, dtype=np.uint64), (1 << 24) // 1000 + 20)
+    key = sketch.minimizers(grams, 13) >> np.uint64(24)
+    assert (key[1000:] == key[:-1000]).all()
+
+
 def test_simhash_of_odd_rows(odd, empty):
     r = sorted((x.doc_id or 0, x.component_id or 0) for x in simhash.near_groups(odd).collect())
     assert r == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
