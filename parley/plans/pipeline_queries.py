@@ -130,7 +130,7 @@ def gaussian_mixture(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return models.lda(d, rounds=5).select("doc_id", F.transform("topics", lambda x: F.round(x, 3)).cast("string").alias("topics"))
 
 

@@ -205,8 +205,8 @@ _TOK = f"""t AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, list_filter(s
 k AS (SELECT doc_id, i, w, length(w) >= 5 AND NOT list_contains({_stop}, w) AS kw FROM t)"""
 
 
-def _tokens(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+def _tokens(spark, sf_dir, only: str = "lang = 'en'") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(only).select("doc_id", "text")
     t = K.tokens(docs, "doc_id")
     return t.withColumn("kw", (F.length("word") >= 5) & ~F.col("word").isin(*T.STOP_WORDS))
 
@@ -251,4 +251,4 @@ def textrank_words(spark, sf_dir):
 @query()
 def keyphrases_top10(spark, sf_dir):
     """Per document the ten best phrases: words by rank, runs of them, single words that a phrase holds left out."""
-    return K.keyphrases(_tokens(spark, sf_dir), "doc_id", top=10)
+    return K.keyphrases(_tokens(spark, sf_dir, only="true"), "doc_id", top=10)

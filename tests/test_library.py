@@ -50,6 +50,14 @@ def test_other_query_runs(spark, name):
     assert len(QUERIES[name](spark, SF).columns) > 1
 
 
+@pytest.mark.parametrize("name", ["keyphrases_top10", "lda_topics"])
+def test_documents_of_every_language_get_rows(spark, con, name):
+    """All with a run of kept words (or, for topics, a text) have a row, whatever their language."""
+    got = {r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()}
+    lang = dict(con.sql("SELECT doc_id, lang FROM documents").fetchall())
+    assert {lang[i] for i in got} == set(lang.values()) and len(set(lang.values())) >= 4
+
+
 def graph(pairs):
     return C.Graph(pd.DataFrame([(a, b, 1.0) for a, b in pairs], columns=["src", "dst", "weight"]))
 
