@@ -26,8 +26,8 @@ from ._common import NULL_ID, id_key, utf8, written
 
 ROWS, CELLS, SHARD = 2, 1 << 27, 1 << 16
 _ODD = (0x9E3779B1, 0x85EBCA6B)
-_KEY_BITS, _AT_BITS = 40, 24
-#: Windows whose places are counted from one start, so that they fit _AT_BITS; runs end there.
+AT_BITS = 24
+#: Windows whose places are counted from one start, so that they fit AT_BITS; runs end there.
 BLOCK = 1 << 23
 #: Grams that are hashed together; longer batches are cut between documents.
 MOST = 1 << 20
@@ -54,7 +54,7 @@ def minimizers(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 def _minimizers(grams: np.ndarray, w: int) -> np.ndarray:
-    low = np.uint64((1 << _AT_BITS) - 1)
+    low = np.uint64((1 << AT_BITS) - 1)
     m = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
     done = 1
     while done * 2 <= w:
@@ -71,12 +71,12 @@ def runs(m: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     x = m[ok]
     new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (ok[1:] != ok[:-1] + 1)]))
     last = np.append(new[1:], len(ok)) - 1
-    return (x[new] >> np.uint64(_AT_BITS)).astype(np.int64), ok[new], ok[last] + 1
+    return (x[new] >> np.uint64(AT_BITS)).astype(np.int64), ok[new], ok[last] + 1
 
 
 def places(m: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where the minimizers of windows are: the index of their first gram."""
-    low = np.uint64((1 << _AT_BITS) - 1)
+    low = np.uint64((1 << AT_BITS) - 1)
     return (low - (m[at] & low)).astype(np.int64) + at // BLOCK * BLOCK
 
 
@@ -149,9 +149,12 @@ def repeated_cells(source: DataFrame, keys_of: Callable[[list[bytes]], Iterator[
 
 def maybe_repeated(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key's estimate is two or more."""
-    out = np.ones(len(keys), bool)
-    for row, c in enumerate(cells(keys)):
-        out &= (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+    left = np.arange(len(keys))
+    for row in range(ROWS):
+        c = cells(keys[left])[row]
+        left = left[(bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(keys), bool)
+    out[left] = True
     return out
 
 

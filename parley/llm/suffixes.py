@@ -1,11 +1,16 @@
 """Suffix-array dedup: strings of 50 bytes that an earlier document holds are removed.
 
 A count-min sketch (see sketch.py) first finds the segments, runs of windows
-with one minimizer, that may occur twice.  Segments with the same minimizer meet
-in one task, once for each distinct text.  There the suffixes of the segments
-are sorted by grouping (see gsaca.py); windows that are equal stand next to each
-other in that order, and each learns the smallest document that holds it.  What
-is left is to tell every occurrence of a segment.
+with one minimizer, that may occur twice.  Rows of (minimizer, hash of the
+segment, document) meet by minimizer.  A segment that is the only one with its
+minimizer needs no sort: copies of it are copies as a whole.  Of the others one
+copy of each is fetched, and all of a minimizer are sorted together, by grouping
+(see gsaca.py); windows that are equal stand next to each other in that order,
+and each learns the smallest document that holds it.  What is left is to tell
+every occurrence of a segment.
+
+A minimizer with very many different segments is split: each of its windows is
+then a segment of its own, dealt out by its own hash.
 """
 
 from __future__ import annotations
@@ -19,80 +24,153 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import id_key, utf8, written
+from .grams import Grams, joined_texts
 from .gsaca import suffix_array
-from .sketch import gathered, joined, maybe_repeated, minimizers, ordered, packed, places, repeated_cells, runs
+from .sketch import maybe_repeated, packed, repeated_cells
 
 #: Bytes of the grams whose smallest hash stands for a window.
-GRAM = 16
+GRAM = 32
 #: Bytes of segments that are sorted together; those of one minimizer always are.
 CHUNK = 200_000
-_TABLE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
-
-
-def segments_of(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes; key, start and end of runs of windows with one minimizer, and where it is; each text's first byte."""
-    whole_text = b"".join(texts)
-    counts = np.array([len(x) for x in texts])
-    first = np.cumsum(counts) - counts
-    g = _TABLE[np.frombuffer(whole_text, np.uint8)]
-    gram = 1
-    while gram * 2 <= min(GRAM, window):
-        g = joined(g, gram)
-        gram *= 2
-    m = minimizers(g, window - gram + 1)
-    whole = np.zeros(len(m), bool)
-    for a, c in zip(first.tolist(), counts.tolist()):
-        if c >= window:
-            whole[a : a + c - window + 1] = True
-    keys, start, end = runs(m, whole)
-    return whole_text, keys, start, end, places(m, start), first
-
-
-def _found(rows: DataFrame, window: int, held, wide: bool) -> DataFrame:
-    """Segments that may occur twice: once for each distinct one in a task (``wide``), or each occurrence."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = held.value, {}
+#: Different segments of one minimizer, beyond which it is split.
+CROWDED = 50_000
+
+
+def _gram(window: int) -> int:
+    return min(GRAM, max(window * 2 // 3, 1))
+
+
+def _name(k: np.ndarray, n: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Minimizer (40 bits), number of windows and place of the gram (8 bits each) in one number that isn't negative."""
+    return k << 16 | n << 8 | core
+
+
+def _split(joint: bytes, window: int, keys: np.ndarray, start: np.ndarray, n: np.ndarray, core: np.ndarray, hot: np.ndarray) -> tuple:
+    """Segments with a ``hot`` minimizer taken apart: each window a segment with a key of its own."""
+    is_hot = np.isin(keys, hot)
+    if not is_hot.any():
+        return keys, start, n, core
+    times = n[is_hot]
+    at = np.repeat(start[is_hot], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(joint[a : a + window], 1) >> 24 for a in at.tolist()), np.int64, len(at))
+    cold = ~is_hot
+    return (*(np.concatenate([x[cold], y]) for x, y in ((keys, own), (start, at), (n, np.ones_like(at)), (core, at))),)
+
+
+def _occurrences(rows: DataFrame, window: int, held, hot: np.ndarray, once: bool) -> DataFrame:
+    """``(name, h, ord, row, at)`` of the segments that may occur twice; ``at``: first window and, in bit 0, whether documents differ.
+
+    ``once``: of a segment that occurs more than once in a few texts, the occurrence with the smallest ord.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, grams, digest = held.value, Grams(window, _gram(window)), xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at, texts in gathered(batch.column(1)):
-                joint, keys, start, end, core, first = segments_of(texts, window)
+            ids, rows_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            unique = batch.column(1).null_count > 0
+            for at, joint, first, counts in joined_texts(batch.column(2)):
+                keys, start, n, core = grams.segments(joint, first, counts)
                 ok = maybe_repeated(bits, keys)
-                own = ids[at + np.searchsorted(first, start[ok], side="right") - 1]
-                for k, s, e, c, o in zip(keys[ok].tolist(), start[ok].tolist(), end[ok].tolist(), (core - start)[ok].tolist(), own.tolist()):
-                    x = (k, c.to_bytes(2, "little") + joint[s : e - 1 + window])
-                    had = seen.get(x)
-                    if had is None:
-                        seen[x] = [o, 1]
-                    else:
-                        had[1] = 2
-                        if o < had[0]:
-                            had[0] = o
-            if len(seen) > 200_000:
-                yield flush(seen)
-                seen = {}
-        if seen:
-            yield flush(seen)
-
-    def flush(seen: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int32())], ["k", "segment", "least", "times"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, digest = held.value, xxhash.xxh3_64_intdigest
+                keys, start, n, core = _split(joint, window, keys[ok], start[ok], n[ok], core[ok], hot) if len(hot) else (keys[ok], start[ok], n[ok], core[ok])
+                if not len(keys):
+                    continue
+                h = np.fromiter(map(digest, [joint[s:e] for s, e in zip(start.tolist(), (start + n + (window - 1)).tolist())]), np.uint64, len(start)).view(np.int64)
+                name, own = _name(keys, n, core - start), np.searchsorted(first, start, "right") - 1
+                ord_, place = ids[at + own], (start - first[own]) << 1
+                if once:
+                    order = np.lexsort([ord_, h, name])
+                    a, b = name[order], h[order]
+                    heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                    lasts = order[np.append(heads[1:], len(order)) - 1]
+                    order = order[heads]
+                    differ = (ord_[lasts] != ord_[order]).astype(np.int64)
+                    name, h, ord_, place, own = name[order], h[order], ord_[order], place[order] | differ, own[order]
+                row = pa.nulls(len(name), pa.int64()) if unique else pa.array(rows_[at + own].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h), pa.array(ord_), row, pa.array(place)], ["name", "h", "ord", "row", "at"])
+
+    return rows.select("ord", "row", "raw").mapInArrow(run, "name long, h long, ord long, row long, at long")
+
+
+#: What becomes of a segment: it is the only one of its minimizer and occurs in several documents; it is to be sorted; its minimizer is to be split.
+ALONE, SORT, SPLIT = 0, 1, 2
+
+
+def _judged(found: DataFrame, crowded: int) -> DataFrame:
+    """``(name, h, ord, row, at, fate)``: each segment once, with its smallest ord; those that occur in one document only are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["name", "h", "ord", "row", "at"]
+        held: pa.Table | None = None
+        split: int | None = None
+
+        def once(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+            """Each segment of the sorted rows once."""
+            a, b, o = (t.column(c).to_numpy() for c in ("name", "h", "ord"))
+            heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            ends = np.append(heads[1:], len(a))
+            at = t.column("at").to_numpy()
+            many = (o[ends - 1] != o[heads]) | (np.bitwise_or.reduceat(at, heads) & 1 == 1)
+            out = t.take(pa.array(heads))
+            return out.set_column(4, "at", pa.array(at[heads] & ~1 | many)), (a >> 16)[heads]
+
+        def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            out, k = once(t)
+            heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(heads, len(k)))
+            fate = np.repeat(np.where(size == 1, ALONE, np.where(size > crowded, SPLIT, SORT)), size)
+            keep = (fate == SORT) | (out.column("at").to_numpy() & 1 == 1)
+            keep[heads[size > crowded]] = True
+            keep &= (fate != SPLIT) | np.isin(np.arange(len(k)), heads)
+            yield from out.append_column("fate", pa.array(fate.astype(np.int32))).filter(pa.array(keep)).combine_chunks().to_batches()
+
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at, texts in gathered(batch.column(1)):
-                joint, keys, start, end, _, first = segments_of(texts, window)
-                ok = maybe_repeated(bits, keys)
-                if not ok.any():
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch.select(names)])
+            if held is not None:
+                t = pa.concat_tables([held, t]).combine_chunks()
+                held = None
+            k = t.column("name").to_numpy() >> 16
+            if split is not None:  # the rest of a minimizer that is split already
+                t = t.slice(int(np.searchsorted(k, split, "right")))
+                if not t.num_rows:
                     continue
-                start, end, own = start[ok], end[ok], np.searchsorted(first, start[ok], side="right") - 1
-                h = np.fromiter((digest(joint[s : e - 1 + window]) for s, e in zip(start.tolist(), end.tolist())), np.uint64, len(start))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(h.view(np.int64)), pa.array(ids[at + own]), pa.array((start - first[own]).astype(np.int32))], ["k", "h", "ord", "start"])
+                k, split = t.column("name").to_numpy() >> 16, None
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield from settled(t.slice(0, cut))
+            held = once(t.slice(cut).combine_chunks())[0]
+            if held.num_rows > crowded:
+                yield from settled(held)
+                split, held = int(k[-1]), None
+        if held is not None:
+            yield from settled(held)
+
+    k = F.shiftright("name", 16)
+    return found.repartition(k).sortWithinPartitions("name", "h", "ord").mapInArrow(run, "name long, h long, ord long, row long, at long, fate int")
+
+
+def _fetched(jobs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """``(name, h, ord, segment)`` of the segments to sort, cut out of the texts that hold them."""
+    by_text = jobs.groupBy(F.coalesce("row", "ord").alias("_row")).agg(F.collect_list(F.struct("name", "h", "ord", "at")).alias("jobs"))  # of one text: no more than its windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], []]
+            cut: list[bytes] = []
+            for raw, jobs in zip(batch.column(0), batch.column(1)):
+                raw, jobs = unpack(raw.as_py()), jobs.values
+                name, h, low, at = (jobs.field(i).to_numpy() for i in range(4))
+                at = at >> 1
+                cut += [raw[a:b] for a, b in zip(at.tolist(), (at + (name >> 8 & 255) + window - 1).tolist())]
+                for c, x in zip(cols, (name, h, low)):
+                    c.append(x)
+            if cut:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(cut, pa.binary())], ["name", "h", "ord", "segment"])
 
-    if wide:
-        return rows.select("ord", "raw").mapInArrow(distinct, "k long, segment binary, least long, times int")
-    return rows.select("ord", "raw").mapInArrow(each, "k long, h long, ord long, start int")
+    return texts.join(by_text, texts.row == F.col("_row")).select("raw", "jobs").mapInArrow(run, "name long, h long, ord long, segment binary")
 
 
 def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
@@ -104,9 +182,7 @@ def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window:
     sizes = np.array([len(x) + 1 for x in segments])
     first = np.cumsum(sizes) - sizes
     joint = b"\x00".join(segments) + b"\x00"
-    gram = 1
-    while gram * 2 <= min(GRAM, window):
-        gram *= 2
+    gram = _gram(window)
     symbols: list[int] = []
     place: list[int] = []
     core: dict[bytes, int] = {}
@@ -143,74 +219,83 @@ def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window:
     return out
 
 
-def _resolved(found: DataFrame, window: int) -> DataFrame:
-    """``(k, h, parts)`` of each distinct segment with a window that may have to go somewhere."""
+def _resolved(segments: DataFrame, window: int) -> DataFrame:
+    """``(name, h, parts)`` of each segment, sorted with the others of its minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        held: dict[int, dict[bytes, list[int]]] = {}
-        last = None
-
-        def settle(groups: dict) -> Iterator[pa.RecordBatch]:
-            out = ([], [], [])
-            texts, cores, least, keys = [], [], [], []
-            for k, own in groups.items():
-                if len(own) == 1:
-                    ((x, (low, times)),) = own.items()
-                    if times > 1:
-                        out[0].append(k), out[1].append(digest(x[2:])), out[2].append([{"a": 0, "b": len(x) - 2 - window + 1, "low": low}])
-                    continue
-                for x, (low, _) in own.items():
-                    texts.append(x[2:]), cores.append(int.from_bytes(x[:2], "little")), least.append(low), keys.append(k)
-            if texts:
-                for k, x, parts in zip(keys, texts, earliest(texts, cores, np.array(least), window)):
-                    out[0].append(k), out[1].append(digest(x)), out[2].append([{"a": a, "b": b, "low": low} for a, b, low in parts])
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).view(np.int64)), pa.array(out[2], kind)], ["k", "h", "parts"])
-
-        size = 0
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())]))
+        names: list[int] = []
+        hashes: list[int] = []
+        least: list[int] = []
+        texts: list[bytes] = []
+        size, last = 0, None
+
+        def settle() -> pa.RecordBatch:
+            parts = earliest(texts, [x & 255 for x in names], np.array(least), window)
+            rows = [[{"a": a, "b": b, "low": low} for a, b, low in p] for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hashes, pa.int64()), pa.array(rows, kind)], ["name", "h", "parts"])
+
         for batch in batches:
-            for k, x, low, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if k != last and size > CHUNK:
-                    yield from settle(held)
-                    held, size = {}, 0
-                last = k
-                own = held.setdefault(k, {})
-                had = own.get(x)
-                if had is None:
-                    own[x] = [low, times]
-                    if len(own) > 1:
-                        size += len(x)
-                else:
-                    had[0], had[1] = min(had[0], low), 2
-        if held:
-            yield from settle(held)
-
-    return found.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, h long, parts array<struct<a:int,b:int,low:long>>")
-
-
-def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+            for name, h, low, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if size > CHUNK and name >> 16 != last:
+                    yield settle()
+                    names, hashes, least, texts, size = [], [], [], [], 0
+                last = name >> 16
+                names.append(name), hashes.append(h), least.append(low), texts.append(x)
+                size += len(x)
+        if names:
+            yield settle()
+
+    return segments.repartition(F.shiftright("name", 16)).sortWithinPartitions("name", "h").mapInArrow(run, "name long, h long, parts array<struct<a:int,b:int,low:long>>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``(ord, row, doc_id, raw)``: ord is the doc_id, null the smallest; row numbers the rows where ids repeat, else it is null."""
+    rows = docs.select(id_key(F.col("doc_id")).alias("ord"), F.lit(None).cast("long").alias("row"), "doc_id", utf8(F.col("text")).alias("raw"))
+    if docs.groupBy(id_key(F.col("doc_id")).alias("k")).count().where("count > 1").limit(1).count():
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return rows
+
+
+def without_repeats(docs: DataFrame, window: int = 50, crowded: int = CROWDED) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept binary)`` for every row, the text as UTF-8 bytes.
 
     A byte goes if a string of ``window`` bytes that covers it also starts in a
     document with a smaller doc_id (null: the smallest); strings are judged on
-    the input and never cross documents.  Rows that repeat a doc_id are documents
-    of their own, in the order of their texts.  Null counts as empty.  Other
-    columns are ignored; an empty table gives an empty result.
+    the input and never cross documents.  Rows that repeat a doc_id are neither
+    before nor after each other: each is judged against smaller ids only.  Null
+    counts as empty.  A text may have any length: it is read in blocks.  Equal
+    segments are told by 104 bits of hash, the windows of different ones by
+    their bytes.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
-    rows = ordered(docs)
+    if not 2 <= window <= 250:
+        raise ValueError("a window has 2 to 250 bytes")
+    rows = _rows(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def keys_of(raws) -> Iterator[np.ndarray]:
-        for _, texts in gathered(raws):
-            yield segments_of(texts, window)[1]
+        grams = Grams(window, _gram(window))
+        for _, joint, first, counts in joined_texts(raws):
+            yield grams.segments(joint, first, counts)[0]
 
     held = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("raw"), keys_of))  # 32 MB
-    parts = _resolved(_found(rows, window, held, wide=True), window).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "parts")
-    hits = _found(rows, window, held, wide=False).join(parts, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")))
+    hot = np.empty(0, np.int64)
+    judged = written(_judged(_occurrences(rows, window, held, hot, once=True), crowded), "judged")
+    split = judged.where(F.col("fate") == SPLIT).select(F.shiftright("name", 16).alias("k")).distinct()
+    if split.limit(1).count():
+        # each has more than ``crowded`` different segments: one for 3 MB of text at most
+        hot = np.array([r[0] for r in split.collect()], np.int64)
+        judged = written(_judged(_occurrences(rows, window, held, hot, once=True), crowded), "judged")
+    texts = packed(rows.select(F.coalesce("row", "ord").alias("ord"), "doc_id", "raw")).withColumnRenamed("ord", "row")
+    sorted_ = _resolved(_fetched(judged.where(F.col("fate") == SORT), texts, window), window)
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.shiftright("name", 8).bitwiseAND(255).cast("int").alias("b"), F.col("ord").alias("low")))
+    parts = judged.where(F.col("fate") == ALONE).select("name", "h", whole.alias("parts")).unionByName(sorted_).select(F.col("name").alias("_name"), F.col("h").alias("_h"), "parts")
+    hits = _occurrences(rows, window, held, hot, once=False).join(parts, (F.col("name") == F.col("_name")) & (F.col("h") == F.col("_h")))
     own = F.filter("parts", lambda p: p["low"] < F.col("ord"))
-    spans = F.transform(own, lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b")))
-    gone = hits.select("ord", spans.alias("spans")).where(F.size("spans") > 0).groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    start = F.shiftright("at", 1)
+    spans = F.transform(own, lambda p: F.struct((start + p["a"]).cast("int").alias("a"), (start + p["b"]).cast("int").alias("b")))
+    gone = hits.select(F.coalesce("row", "ord").alias("_row"), spans.alias("spans")).where(F.size("spans") > 0).groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -231,5 +316,5 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = packed(rows).join(gone, "ord", "left").select("doc_id", "raw", "spans")
+    both = texts.join(gone, texts.row == F.col("_row"), "left").select("doc_id", "raw", "spans")
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

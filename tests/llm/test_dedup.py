@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from parley.llm import exact, gsaca, lines, simhash, sketch, substrings, suffixes
+from parley.llm.grams import BLOCK, Grams
 from parley.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +177,20 @@ def test_byte_strings_that_repeat(docs, corpus, window):
     assert got == brute_bytes([(d, t) for d, t, *_ in corpus], window)
 
 
+@pytest.mark.parametrize("crowded", [1, 3, 50_000])
+def test_byte_strings_of_crowded_minimizers(spark, crowded):
+    """One passage with many surroundings, runs of one byte, and texts longer than a block."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, long_ = letters(60), letters(3 * BLOCK)
+    texts = [letters(rng.randint(0, 20)) + passage + letters(rng.randint(0, 20)) for _ in range(30)]
+    texts += ["-" * 300 + letters(5), letters(9) + "-" * 120, long_, letters(70) + long_[BLOCK - 300 : BLOCK + 4000] + "x", "", None, "é" * 40, "é" * 41]
+    rows = list(enumerate(texts))
+    want = brute_bytes(rows, 50)
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50, crowded).collect()}
+    assert got == want and sum(x[1] > 0 for x in got.values()) > 30
+
+
 def brute_words(rows, window):
     seen, out = set(), {}
     for d, t in sorted(rows):
@@ -199,7 +214,9 @@ def test_word_windows_that_repeat(docs, corpus, window):
 def test_repeats_of_odd_rows(odd, empty):
     r = {(x.doc_id, bytes(x.kept)) for x in substrings.without_repeats(odd, 2).collect()}
     assert r == {(None, b"some words that are here for everyone to read now"), (1, b"b c d"), (1, b""), (1, b"other text"), (2, b""), (3, b"")}
-    assert suffixes.without_repeats(odd, 3).count() == 6
+    got = sorted(((x.doc_id or 0, x.n_removed, bytes(x.kept)) for x in suffixes.without_repeats(odd, 3).collect()))
+    # rows that share an id lose nothing to each other
+    assert got == [(0, 0, b"some words that are here for everyone to read now"), (1, 0, b"b c d"), (1, 0, b"b c d"), (1, 3, b"ot text"), (2, 5, b""), (3, 0, b"")]
     assert substrings.without_repeats(empty).count() == 0 and suffixes.without_repeats(empty).count() == 0
 
 
@@ -265,8 +282,10 @@ def test_minimizers_of_a_text_of_over_2_to_the_24():
     spots = [1000, sketch.BLOCK - 200, (1 << 24) - 200, (1 << 24) + 2000]
     for a in spots:
         text[a : a + 400] = passage
-    _, keys, start, end, core, _ = suffixes.segments_of([text.tobytes()], 50)
-    assert (core >= start).all() and (core - start <= 50 - 16).all() and (core >= end - 1).all()
+    joint = text.tobytes()
+    keys, start, n, core = Grams(50, 32).segments(joint, np.array([0]), np.array([len(joint)]))
+    end = start + n
+    assert (core >= start).all() and (core - start <= 50 - 32).all() and (core >= end - 1).all() and int(n.sum()) == len(joint) - 49
     of = lambda a: keys[np.searchsorted(end, np.arange(a, a + 351), side="right")].tolist()
     assert all(of(a) == of(spots[0]) for a in spots) and len(set(of(spots[0]))) > 5
     grams = np.tile(rng.integers(0, 2**63, 1000, dtype=np.uint64), (1 << 24) // 1000 + 20)
