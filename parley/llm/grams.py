@@ -18,12 +18,12 @@ from .sketch import AT_BITS, _minimizers
 BLOCK = 1 << 15
 #: Bytes of texts that are taken together.
 JOINT = 1 << 22
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
-_TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base & _M64, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -34,13 +34,13 @@ class Grams:
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.up, self.down = _powers(_BASE, BLOCK + window), _powers(pow(_BASE, -1, 1 << 64), BLOCK + window)
+        self.up, self.down = powers(BASE, BLOCK + window), powers(pow(BASE, -1, 1 << 64), BLOCK + window)
 
     def _hashes(self, block: np.ndarray) -> np.ndarray:
         n, g = len(block), self.gram
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_TABLE[block] * self.down[:n], out=sums[1:])
+        np.cumsum(TABLE[block] * self.down[:n], out=sums[1:])
         x = (sums[g:] - sums[:-g]) * self.up[: n - g + 1]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_key, utf8, written
-from .grams import Grams, joined_texts
+from .grams import BASE, TABLE, Grams, joined_texts, powers
 from .gsaca import suffix_array
 from .sketch import maybe_repeated, packed, repeated_cells
 
@@ -173,6 +173,33 @@ def _fetched(jobs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     return texts.join(by_text, texts.row == F.col("_row")).select("raw", "jobs").mapInArrow(run, "name long, h long, ord long, segment binary")
 
 
+def shared_windows(segments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the range of windows outside of which none has the hash of a window of another segment; empty where all are so.
+
+    What is left out has no equal, and needs no sort; what has one is decided by the sort.
+    """
+    sizes = np.array([len(x) for x in segments])
+    first = np.cumsum(sizes) - sizes
+    sums = np.zeros(int(sizes.sum()) + 1, np.uint64)
+    n = len(sums) - 1
+    up, down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
+    np.cumsum(TABLE[np.frombuffer(b"".join(segments), np.uint8)] * down, out=sums[1:])
+    h = (sums[window:] - sums[:-window]) * up[: n - window + 1]
+    h ^= h >> np.uint64(32)
+    times = sizes - window + 1
+    of = np.repeat(np.arange(len(sizes)), times)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    h = h[first[of] + at]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    lo, hi = np.full(len(sizes), 1 << 62), np.zeros(len(sizes), np.int64)
+    np.minimum.at(lo, of[again], at[again])
+    np.maximum.at(hi, of[again], at[again] + 1)
+    return np.minimum(lo, hi), hi
+
+
 def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """For each segment the runs (from, to, smallest document) of its windows, from the sorted suffixes of all.
 
@@ -231,8 +258,14 @@ def _resolved(segments: DataFrame, window: int) -> DataFrame:
         size, last = 0, None
 
         def settle() -> pa.RecordBatch:
-            parts = earliest(texts, [x & 255 for x in names], np.array(least), window)
-            rows = [[{"a": a, "b": b, "low": low} for a, b, low in p] for p in parts]
+            rows = [[{"a": 0, "b": len(x) - window + 1, "low": low}] for x, low in zip(texts, least)]
+            a, b = shared_windows(texts, window)
+            few = np.flatnonzero(b > a).tolist()
+            if few:
+                cut = [texts[i][a[i] : b[i] + window - 1] for i in few]
+                for i, parts in zip(few, earliest(cut, [(names[i] & 255) - a[i] for i in few], np.array([least[i] for i in few]), window)):
+                    ends = [(0, int(a[i]), least[i]), *((int(a[i]) + x, int(a[i]) + y, low) for x, y, low in parts), (int(b[i]), len(texts[i]) - window + 1, least[i])]
+                    rows[i] = [{"a": x, "b": y, "low": low} for x, y, low in ends if x < y]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hashes, pa.int64()), pa.array(rows, kind)], ["name", "h", "parts"])
 
         for batch in batches:
