@@ -54,3 +54,11 @@ def id_key(doc_id: Column) -> Column:
 def utf8(text: Column) -> Column:
     """The text's bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

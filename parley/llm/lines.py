@@ -11,16 +11,16 @@ others by edit distance.
 Most lines have no such neighbour, and a screen finds them without variants: an
 edit leaves the first or the second half of a line as it is, so a line whose
 halves no other line of nearly its length has is out; what is left is screened
-again by all but an eighth of it.  Long lines are varied
-piece by piece, with the hashes of what stands before and after.
+again by all but an eighth of it.  Only the eighth in which the edit must then be
+is varied, a long one piece by piece, with the hashes of what stands around.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_key, written
+from ._common import id_key, unused, written
 
 #: Shorter lines go only if an earlier line equals them: one edit is too much of them.
 MIN_CHARS = 20
@@ -45,33 +45,38 @@ def _screen_keys(line: Column, n: Column) -> Column:
 
 
 def _fine_keys(line: Column, n: Column, parts: int = 8) -> Column:
-    """All of a line but one of its parts, as cut for itself and for a line shorter by one: one edit leaves one of these as it is."""
+    """All of a line but one of its parts, as cut for itself and (``longer``) for a line shorter by one: (s, longer, start and length of the part).
 
-    def without(m: Column, q: int) -> Column:
+    One edit leaves one of these as it is, and lies in the part left out.
+    """
+
+    def without(longer: bool, q: int) -> Column:
+        m = n - 1 if longer else n
         a, b = F.floor(m * q / parts).cast("int"), F.floor(m * (q + 1) / parts).cast("int")
-        return F.xxhash64(F.lit(q), m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
+        s = F.xxhash64(F.lit(q), m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
+        return F.struct(s.alias("s"), F.lit(longer).alias("longer"), (a + 1).alias("a"), (b - a + int(longer)).alias("n"))
 
-    return F.array(*[without(m, q) for m in (n, n - 1) for q in range(parts)])
+    return F.array(*[without(longer, q) for longer in (False, True) for q in range(parts)])
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Keys ``s`` that more than one line has."""
-    n = keys.groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2"))
-    return n.where("lo <> hi or lo2 <> hi2").select(F.col("s").alias("_s"))
+    """Those of ``keys(s, ...)``, rows of different lines, whose ``s`` more than one row has."""
+    again = keys.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("_s"))
+    return keys.join(again, F.col("s") == F.col("_s"), "left_semi")
 
 
-def _pieces(line: Column, n: Column) -> Column:
-    """The line's pieces, with the hashes of what stands before and after: of PIECE characters, and of one more."""
+def _pieces(part: Column, n: Column) -> Column:
+    """The pieces of a part of a line, with the hashes of what stands before and after: of PIECE characters, and of one more."""
 
     def of(p: Column) -> Column:
         a = p * PIECE
-        parts = [p.alias("p"), F.xxhash64(F.substring(line, F.lit(1), a)).alias("head"), F.substring(line, a + 1, F.lit(PIECE + 1)).alias("mid")]
-        return F.struct(*parts, F.xxhash64(F.substring(line, a + PIECE + 1, n)).alias("tail"), F.xxhash64(F.substring(line, a + PIECE + 2, n)).alias("tail1"))
+        parts = [p.alias("p"), F.xxhash64(F.substring(part, F.lit(1), a)).alias("head"), F.substring(part, a + 1, F.lit(PIECE + 1)).alias("mid")]
+        return F.struct(*parts, F.xxhash64(F.substring(part, a + PIECE + 1, n)).alias("tail"), F.xxhash64(F.substring(part, a + PIECE + 2, n)).alias("tail1"))
 
-    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), of)
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / PIECE), F.lit(0)).cast("int")), of)
 
 
-def _variants(s: Column) -> Column:
+def _variants(s: Column, longer: Column) -> Column:
     """(role, key, check) of a piece as it is and of its variants.
 
     Roles: 0, varied at a place, for lines of equal length; 1, varied, and 2, as
@@ -86,42 +91,45 @@ def _variants(s: Column) -> Column:
         return F.concat(F.substring(s["mid"], F.lit(1), i), F.substring(s["mid"], i + 2, F.lit(width) - i - 1))
 
     n = F.length(s["mid"])
-    same = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(PIECE)) - 1), lambda i: key(0, "s", i, cut(i, PIECE), s["tail"]))
-    longer = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(1, "d", F.lit(-1), cut(i, PIECE + 1), s["tail1"]))
+
+    def places(most: int) -> Column:
+        return F.slice(F.sequence(F.lit(0), F.lit(most)), F.lit(1), F.least(n, F.lit(most)))  # none of an empty piece
+
+    same = F.transform(places(PIECE), lambda i: key(0, "s", i, cut(i, PIECE), s["tail"]))
+    varied = F.transform(places(PIECE + 1), lambda i: key(1, "d", F.lit(-1), cut(i, PIECE + 1), s["tail1"]))
     whole = F.array(key(2, "d", F.lit(-1), F.substring(s["mid"], F.lit(1), F.lit(PIECE)), s["tail"]))
-    return F.concat(same, longer, whole)
+    return F.when(longer, varied).otherwise(F.concat(same, whole))
 
 
 def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(h, h2)`` of the distinct lines that are one edit from an earlier line.
 
-    ``occurrences``: distinct lines as ``(h, h2, n, screen, id, line_no)``, the
-    place being the first.
+    ``occurrences``: distinct lines as ``(lid, h, h2, n, screen, id, line_no)``,
+    lid a number of the line, the place being the first.
     """
     long_ = occurrences.where(F.col("n") >= min_chars)
-    keys = long_.select("h", "h2", "id", "line_no", F.explode("screen").alias("s"))
-    # the first places of the lines left, and then these lines' texts
-    left = written(keys.join(_shared(keys), F.col("s") == F.col("_s"), "left_semi").select("h", "h2", "id", "line_no").distinct(), "screened")
-    texts = _lines(docs).join(left, ["id", "line_no"]).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("h2")))
-    texts = written(texts.select("h", "h2", F.struct("id", "line_no").alias("first"), "line").dropDuplicates(["h", "h2"]), "texts")
-    # few lines are left: a finer screen of these, again without loss
-    fine = texts.select("h", "h2", F.explode(_fine_keys(F.col("line"), F.length("line"))).alias("s"))
-    left = fine.join(_shared(fine), F.col("s") == F.col("_s"), "left_semi").select("h", "h2").distinct()
-    texts = written(texts.join(left, ["h", "h2"]), "fine")
+    left = _shared(long_.select("lid", F.explode("screen").alias("s"))).select("lid").distinct()
+    # the first places of the lines left, and then these lines' texts, numbered in the order of their places
+    left = written(long_.join(left, "lid", "left_semi").select("h", "h2", "id", "line_no"), "screened")
+    texts = _lines(docs).join(left, ["id", "line_no"]).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("h2"))).dropDuplicates(["h", "h2"])
+    texts = texts.repartitionByRange("id", "line_no").sortWithinPartitions("id", "line_no").select("h", "h2", "line", F.monotonically_increasing_id().alias("no"))
+    texts = written(texts, "texts")
+    # few lines are left: a finer screen of these, again without loss; it tells in which part of a line the edit must be
+    part = written(_shared(texts.select("no", F.explode(_fine_keys(F.col("line"), F.length("line"))).alias("f")).select("no", "f.*")), "parts")
 
-    # a row for each piece, so that what stands around it is hashed once, not for each variant
-    pieces = texts.select("h", "h2", "first", F.explode(_pieces(F.col("line"), F.length("line"))).alias("s"))
     # few bytes, but much to do for each: dealt to as many tasks as shuffles have
-    pieces = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "s.p")
-    varied = pieces.select("h", "h2", "first", F.explode(_variants(F.col("s"))).alias("v")).select("h", "h2", "first", "v.*")
-    # of a key, the earliest of either side: all lines varied at one place are one edit apart;
-    # a line left as it is is one edit from each varied one
-    low = varied.groupBy("key", "check").agg(*[F.min(F.when(F.col("role") == r, F.struct("first", "h", "h2"))).alias(f"low{r}") for r in (0, 1, 2)])
-    low = low.where(F.col("low0").isNotNull() | (F.col("low1").isNotNull() & F.col("low2").isNotNull()))
-    pair = varied.join(low, ["key", "check"]).select("h", "h2", "first", F.when(F.col("role") == 0, F.col("low0")).when(F.col("role") == 1, F.col("low2")).otherwise(F.col("low1")).alias("low"))
-    pair = pair.where(F.col("low.first") < F.col("first")).select("h", "h2", F.col("low.h").alias("a"), F.col("low.h2").alias("a2")).distinct()
-    one, other = texts.select("h", "h2", "line"), texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("earlier"))
-    checked = pair.join(one, ["h", "h2"]).join(other, ["a", "a2"]).where(F.levenshtein("line", "earlier", 1).between(0, 1))
+    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    middle = part.join(texts.select("no", "line"), "no").select("no", "s", "longer", F.substring(F.col("line"), F.col("a"), F.col("n")).alias("part"))
+    # a row for each piece, so that what stands around it is hashed once, not for each variant
+    pieces = middle.repartition(dealt, "no", "s").select("no", "s", "longer", F.explode(_pieces(F.col("part"), F.length("part"))).alias("p"))
+    varied = pieces.select("no", "s", F.explode(_variants(F.col("p"), F.col("longer"))).alias("v")).select("no", F.xxhash64("s", "v.key").alias("key"), "v.check", "v.role")
+    # of a key, the earliest of either side: all lines varied at one place are one edit apart; a line left as it is
+    # is one edit from each varied one.  A key has no more lines than there are characters
+    of = Window.partitionBy("key", "check")
+    low = [F.min(F.when(F.col("role") == r, F.col("no"))).over(of) for r in (0, 2, 1)]
+    pair = varied.select("no", F.when(F.col("role") == 0, low[0]).when(F.col("role") == 1, low[1]).otherwise(low[2]).alias("low")).where("low < no").distinct()
+    one, other = texts.select("no", "h", "h2", "line"), texts.select(F.col("no").alias("low"), F.col("line").alias("earlier"))
+    checked = pair.join(one, "no").join(other, "low").where(F.levenshtein("line", "earlier", 1).between(0, 1))
     return checked.select("h", "h2").distinct()
 
 
@@ -140,8 +148,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     seen = _lines(docs).select("id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), n.cast("int").alias("n"), F.when(n >= min_chars, _screen_keys(F.col("line"), n)).alias("screen"))
     seen = written(seen, "lines")
     least = F.struct("id", "line_no")
-    firsts = seen.groupBy("h", "h2").agg(F.min(F.struct(least.alias("at"), "n", "screen")).alias("f"), F.count("*").alias("times"))
-    firsts = written(firsts.select("h", "h2", "f.at.id", "f.at.line_no", "f.n", "f.screen", "times"), "firsts")
+    firsts = seen.groupBy("h", "h2").agg(F.min(F.struct(least.alias("at"), "n", "screen")).alias("f"))
+    firsts = written(firsts.select(F.monotonically_increasing_id().alias("lid"), "h", "h2", "f.at.id", "f.at.line_no", "f.n", "f.screen"), "firsts")
     near = written(near_lines(docs, firsts, min_chars), "near").withColumn("near", F.lit(True))
     marked = firsts.join(near, ["h", "h2"], "left").select("id", "line_no", F.col("near").isNotNull().alias("near"))
     own = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("kept"), F.sum(F.col("near").cast("long")).alias("n_near"))
@@ -154,8 +162,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text put together from its blank and kept lines, other columns as they are."""
-    kept = line_dedup(docs, min_chars).select(id_key(F.col("doc_id")).alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
+    """``docs`` with the text put together from its blank and kept lines, other columns as they are, whatever their names; a null text stays null."""
+    key, stays = unused(docs, "key"), unused(docs, "stays")
+    kept = line_dedup(docs, min_chars).select(id_key(F.col("doc_id")).alias(key), F.col("kept").alias(stays)).dropDuplicates([key])
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    stay = F.filter(lines, lambda s: (F.trim(s["x"]) == "") | F.array_contains(F.col("_kept"), s["i"]))
-    return docs.join(kept, id_key(F.col("doc_id")) == F.col("_id")).withColumn("text", F.array_join(F.transform(stay, lambda s: s["x"]), "\n")).drop("_id", "_kept")
+    stay = F.filter(lines, lambda s: (F.trim(s["x"]) == "") | F.array_contains(F.col(stays), s["i"]))
+    return docs.join(kept, id_key(F.col("doc_id")) == F.col(key)).withColumn("text", F.array_join(F.transform(stay, lambda s: s["x"]), "\n")).drop(key, stays)
