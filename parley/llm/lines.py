@@ -26,6 +26,8 @@ from ._common import id_key, unused, written
 MIN_CHARS = 20
 #: Characters of the pieces that long lines are varied by.
 PIECE = 64
+#: Bits of the filter that keeps lines from being shuffled: 32 MB.
+MOST_BITS = 1 << 28
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -101,6 +103,33 @@ def _variants(s: Column, longer: Column) -> Column:
     return F.when(longer, varied).otherwise(F.concat(same, whole))
 
 
+def _maybe_in(lines: DataFrame, h: Column, left: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """``lines`` without most of those whose hash isn't in ``left(h)``: so few are left that their texts aren't all shuffled.
+
+    The filter is an array of bits, 32 for each row of ``left`` and ``most_bits``
+    at most; where that isn't enough to tell much, all lines go on to the join.
+    """
+    bits = 1 << 16
+    n = left.count()
+    while bits < 32 * n:
+        bits *= 2
+    if bits > most_bits:
+        return lines
+
+    def at(x: Column) -> Column:
+        return F.pmod(x, F.lit(bits))
+
+    def place(x: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(x), F.lit(64)).cast("int"))
+
+    words = left.select(F.shiftright(at(F.col("h")), 6).alias("id"), place(F.col("h")).alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    dense = lines.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    one = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("_bits"))
+    one = written(one, "bits")  # one row of most_bits / 8 bytes at most
+    kept = lines.join(F.broadcast(one), F.get("_bits", F.shiftright(at(h), 6).cast("int")).bitwiseAND(place(h)) != 0)
+    return kept.select(*lines.columns)
+
+
 def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(h, h2)`` of the distinct lines that are one edit from an earlier line.
 
@@ -111,7 +140,7 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = MIN_CHA
     left = _shared(long_.select("lid", F.explode("screen").alias("s"))).select("lid").distinct()
     # the first places of the lines left, and then these lines' texts, numbered in the order of their places
     left = written(long_.join(left, "lid", "left_semi").select("h", "h2", "id", "line_no"), "screened")
-    texts = _lines(docs).join(left, ["id", "line_no"]).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("h2"))).dropDuplicates(["h", "h2"])
+    texts = _maybe_in(_lines(docs), F.xxhash64("line"), left).join(left, ["id", "line_no"]).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("h2"))).dropDuplicates(["h", "h2"])
     texts = texts.repartitionByRange("id", "line_no").sortWithinPartitions("id", "line_no").select("h", "h2", "line", F.monotonically_increasing_id().alias("no"))
     texts = written(texts, "texts")
     # few lines are left: a finer screen of these, again without loss; it tells in which part of a line the edit must be

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_AZ, id_key, utf8, written
+from ._common import LOWER_AZ, id_key, unused, utf8, written
 from .components import components
 
 #: A subtree with more fingerprints is dealt out by its second block.
@@ -283,9 +283,12 @@ def near_groups(docs: DataFrame, width: int = 4, budget: int = 4, extra: int = 0
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
-#: Min-hash bands, and hashes in each: two sets of similarity 0.8 share no band with a probability of 5e-9.
-BANDS, BAND_ROWS = 48, 5
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: 64-bit words of the fingerprints of whole sets, how many of them are joined by, and most differing bits in one and in all.
+#: Of two sets of similarity 0.8 a bit differs with a probability of 0.151: a pair is missed by all joins, or by the
+#: total, with one of 0.001.
+WORDS, JOINED, WORD_BITS, ALL_BITS = 9, 4, 12, 120
+#: Sets compared with each other in one step.
+SETS = 128
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -293,24 +296,14 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(raw, width))
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """One key for each band: equal if the band's minima are equal.  An empty set has one key only."""
-    if not len(h):
-        return np.zeros(1, np.int64)
-    low = np.full(len(_ODD), _M64, np.uint64)
-    for first in range(0, len(h), 512):
-        np.minimum(low, (h[None, first : first + 512] * _ODD).min(1), out=low)
-    low = low.reshape(BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        key = _mixed(key ^ low[:, k], k + 1)
-    return key.view(np.int64)
-
-
 def _set_name(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
 
 
+def _near(x: np.ndarray, y: np.ndarray, both: np.ndarray | int, least: float):
+    return both >= least * (x + y - both) - 1e-9
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets, ``sets(node, hashes)``, have a similarity of ``least`` or more."""
 
@@ -319,51 +312,139 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+                ok.append(bool(_near(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), least)))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies, all columns kept: of each group the smallest doc_id stays.
+def _candidate_classes(nodes: DataFrame) -> DataFrame:
+    """``(node, class)`` of ``nodes(node, words)`` that may be near another: the classes of the trie joins of JOINED words.
+
+    Sets with an equal word are taken together without a look at the others.
+    """
+    edges = None
+    for w in range(JOINED):
+        own = nodes.select("node", F.get("words", F.lit(w)).alias("fp"), "words")
+        fps = written(own.groupBy("fp").agg(F.min("words").alias("more"), F.count("*").alias("n"), F.min("node").alias("first")), "fps")
+        near = links(fps.select("fp", F.filter("more", lambda x, i: i != w).alias("more")), WORD_BITS, ALL_BITS)
+        first = fps.select(F.col("fp").alias("f"), "first")
+        got = near.join(first, near.a == F.col("f")).select("b", F.col("first").alias("x")).join(first, F.col("b") == F.col("f")).select("x", F.col("first").alias("y"))
+        same = own.join(fps.where("n > 1").select("fp", "first"), "fp").select(F.col("node").alias("x"), F.col("first").alias("y")).where("x <> y")
+        edges = got.unionByName(same) if edges is None else edges.unionByName(got).unionByName(same)
+    return written(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("root", "class"), "classes")
+
+
+def _linked_across(now: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between different roots within the classes of ``now(node, class, root)``, as many as span them.
+
+    Sets outside a class's largest root are compared with all of the class, SETS
+    by SETS: a row for each set and block, not for each pair.
+    """
+    sizes = now.groupBy("class", "root").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("class").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    of = written(of.select("class", F.col("top.root").alias("top"), F.ceil(F.col("all") / SETS).alias("wide"), F.ceil((F.col("all") - F.col("top.n")) / SETS).alias("rest")), "open")
+    rows = now.join(of, "class").withColumn("h", F.xxhash64("node"))
+    right = rows.select("class", "node", "root", F.lit(1).alias("side"), F.pmod("h", "wide").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("i"))
+    left = rows.where("root <> top").select("class", "node", "root", F.lit(0).alias("side"), F.pmod("h", "rest").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if not sides[0] or not sides[1]:
+                return
+            all_ = np.concatenate([x[2] for x in sides[1]])
+            owner = np.repeat(np.arange(len(sides[1])), [len(x[2]) for x in sides[1]])
+            order = np.argsort(all_, kind="stable")
+            all_, owner = all_[order], owner[order]
+            n = np.array([len(x[2]) for x in sides[1]])
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for node, own, h in sides[0]:
+                lo, hi = np.searchsorted(all_, h, "left"), np.searchsorted(all_, h, "right")
+                times = hi - lo
+                at = np.repeat(lo, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                both = np.bincount(owner[at], minlength=len(n))
+                for k in np.flatnonzero(_near(len(h), n, both, least)).tolist():
+                    x, y = find(own), find(sides[1][k][1])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(node), b.append(sides[1][k][0])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for c, i, j, side, node, own, h in zip(*(batch.column(k) for k in range(7))):
+                at = (c.as_py(), i.as_py(), j.as_py())
+                if at != key:
+                    yield from settled()
+                    key, sides = at, ([], [])
+                sides[side.as_py()].append((node.as_py(), own.as_py(), np.frombuffer(h.as_buffer(), np.uint64)))
+        yield from settled()
+
+    dealt = left.unionByName(right).join(sets, "node").select("class", "i", "j", "side", "node", "root", "hashes")
+    return dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``(id, node, root)`` for every row of ``docs``: rows with the same root are near copies, or linked by such.
 
     Texts are near when their sets of ``width``-word shingles have a similarity of
-    ``least`` or more; groups are the classes of these links.  Candidates share a
-    min-hash band, and each link is confirmed by the sets themselves.  Each bucket
-    is first compared with one of its sets; then only pairs are compared that are
-    still in different classes.  Texts with equal sets (as two empty ones) are one.
+    ``least`` or more (with candidates chosen for 0.8 or more).  Candidates come
+    from trie self-joins over words of the sets' fingerprints; each link is
+    confirmed by the sets themselves.  A candidate class is first compared with
+    three of its sets, then what is still apart.  Texts with equal sets are one,
+    as all empty and null ones are.  A null doc_id counts as the smallest
+    (``id``); repeated rows each get their row; an empty table gives an empty
+    result; columns other than doc_id and text are ignored; a text may have any
+    length.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(raw.as_py(), width) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))], ["_id", "node", "bands"])
+            words = [[majority_bits(h if not k else _mixed(h, k)) for k in range(WORDS)] for h in sets]
+            signed = np.array(words, np.uint64).reshape(len(words), WORDS).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_name(h) for h in sets], pa.int64()), pa.array(signed, pa.list_(pa.int64()))], ["id", "node", "words"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(raw.as_py(), width) for raw in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
 
-    rows = docs.select(id_key(F.col("doc_id")).alias("_id"), utf8(F.col("text")).alias("raw"))
-    prints = written(rows.mapInArrow(sketch, "_id long, node long, bands array<long>"), "prints")
-    keyed = prints.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    buckets = written(keyed.join(hubs, "key").distinct(), "buckets")
-    wanted = prints.join(buckets.select("node").distinct(), "node", "left_semi").select("_id").distinct()
-    sets = written(rows.join(wanted, "_id", "left_semi").select("raw").mapInArrow(hashes, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
-    tried = written(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    rows = docs.select(id_key(F.col("doc_id")).alias("id"), utf8(F.col("text")).alias("raw"))
+    prints = written(rows.mapInArrow(sketch, "id long, node long, words array<long>"), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min("id").alias("id"), F.min("words").alias("words")), "nodes")
+    classes = _candidate_classes(nodes.select("node", "words"))
+    wanted = nodes.join(classes, "node", "left_semi").select("id").distinct()
+    sets = written(rows.join(wanted, "id", "left_semi").select("raw").mapInArrow(hashes, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    hub = classes.groupBy("class").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node")))).alias("hubs"))
+    tried = classes.join(hub, "class").select(F.explode("hubs").alias("a"), F.col("node").alias("b")).where("a <> b")
     linked = written(_confirmed(tried, sets, least), "linked")
     root = written(components(linked), "roots")
-    now = written(buckets.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "now")
-    now = now.join(now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "key")
-    a, b = now.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), now.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest, "rest"), sets, least), "linked")
+    now = written(classes.join(root, "node", "left").select("node", "class", F.coalesce("root", "node").alias("root")), "now")
+    more = written(_linked_across(now, sets, least), "more")
     root = written(components(linked.unionByName(more)), "roots")
-    grouped = prints.select("_id", "node").join(root, "node", "left").select("_id", F.coalesce("root", "node").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("_id").alias("least"))
-    gone = grouped.join(smallest, "root").groupBy("_id").agg(F.max(F.col("_id") == F.col("least")).alias("keep")).where("not keep").select("_id")
-    return docs.join(written(gone, "gone"), id_key(F.col("doc_id")) == F.col("_id"), "left_anti")
+    return prints.select("id", "node").join(root, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies, all columns kept: of each group of ``near_classes`` the smallest doc_id stays.
+
+    Rows that share a doc_id stay or go together: they stay if one of them is to
+    stay.  Nulls, empty texts and ties are as in ``near_classes``; extra columns
+    may have any names.
+    """
+    grouped = written(near_classes(docs, width, least), "grouped")
+    smallest = grouped.groupBy("root").agg(F.min("id").alias("least"))
+    key = unused(docs, "key")
+    gone = grouped.join(smallest, "root").groupBy("id").agg(F.max(F.col("id") == F.col("least")).alias("keep")).where("not keep").select(F.col("id").alias(key))
+    return docs.join(written(gone, "gone"), id_key(F.col("doc_id")) == F.col(key), "left_anti")
