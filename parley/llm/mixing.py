@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import unused, written
 
 #: Hex digits of a level, and levels: a histogram has at most 16**DIGITS rows a source.
 DIGITS, LEVELS = 3, 10
@@ -112,9 +112,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
 def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies`` added (an own column of this name is replaced).
 
-    The texts aren't shuffled: the plan has one row a source and is joined to them.
+    Nulls, ties, repeated rows and empty tables as in ``mix``; documents without
+    words are taken like their source; other columns may have any names.  The
+    texts aren't shuffled: the plan has one row a source and is joined to them.
     """
-    plan = plan_of(written(_sized(docs), "sizes"), weights, share, cap).select(F.col("source").alias("_s"), "whole", "upto")
-    copies = docs.drop("copies").join(plan.select("_s", F.struct("whole", "upto").alias("_plan")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    times = F.col("_plan.whole") + F.when(_hash() < F.col("_plan.upto"), 1).otherwise(0)
-    return copies.withColumn("copies", times.cast("long")).drop("_plan").where("copies > 0")
+    name, plan_ = unused(docs, "name"), unused(docs, "plan")
+    plan = plan_of(written(_sized(docs), "sizes"), weights, share, cap).select(F.col("source").alias(name), F.struct("whole", "upto").alias(plan_))
+    copies = docs.drop("copies").join(plan, F.col("source").eqNullSafe(F.col(name))).drop(name)
+    times = F.col(plan_)["whole"] + F.when(_hash() < F.col(plan_)["upto"], 1).otherwise(0)
+    return copies.withColumn("copies", times.cast("long")).drop(plan_).where("copies > 0")

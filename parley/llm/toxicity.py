@@ -29,7 +29,7 @@ from ._common import written
 
 #: At most about so many labelled rows are fitted on, chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
-#: At most so many mined lexicon entries and clean-leaning features.
+#: A model is of a fixed size: the strongest so many mined lexicon entries and clean-leaning features (parameters of fit).
 LEXICON, CLEAN = 4096, 512
 FOLDS = 12
 THRESHOLD = 0.7
@@ -165,14 +165,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON, clean_words: int = CLEAN) -> Model:
     """The model of ``labels(doc_id, toxic)``, learned from rows that aren't held out.
 
     Null labels and labels without a document are ignored; of repeated labels the
     largest counts; equal texts count once.  Without any labelled row, all scores
-    are low.
+    are low.  ``lexicon`` and ``clean_words`` bound the features of the model.
     """
-    usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.select("doc_id", "text")
+    usable = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = usable.count()
     part = int(min(1.0, sample_rows / max(n, 1)) * 1_000_000)
     chosen = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < part)
@@ -195,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (q + 1))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     ranked = sums.where("pos + neg >= 4").select("f", z.alias("z"), odds.alias("odds"))
-    toxic = {bytes(r[0]) for r in ranked.where("z > 2.5 and odds > 1.5").orderBy(F.desc("z"), "f").limit(LEXICON).collect()}
-    clean = {bytes(r[0]) for r in ranked.where("z < -2.5").orderBy("z", "f").limit(CLEAN).collect()}
+    toxic = {bytes(r[0]) for r in ranked.where("z > 2.5 and odds > 1.5").orderBy(F.desc("z"), "f").limit(lexicon).collect()}
+    clean = {bytes(r[0]) for r in ranked.where("z < -2.5").orderBy("z", "f").limit(clean_words).collect()}
     columns = {f: i for i, f in enumerate(sorted(toxic | clean))}
     held = docs.sparkSession.sparkContext.broadcast((toxic, clean, columns))  # LEXICON + CLEAN entries at most
 
@@ -239,7 +240,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, t
     """``docs`` with held_out, score and predicted added (own columns of these names are replaced).
 
     Every row of ``docs`` gets its result, repeated ones and those with a null
-    or empty text too; an empty table gives an empty result.
+    or empty text too; a null doc_id is not held out unless its empty text is;
+    texts are read whole; an empty table gives an empty result; other columns may
+    have any names.
     """
     model = fit(docs, labels, sample_rows)
     out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(F.col("text"), model, docs.sparkSession))
@@ -247,5 +250,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, t
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns kept; nothing is shuffled but the sample."""
+    """The rows of ``docs`` that score below the threshold, all columns kept, whatever their names; nothing is shuffled but the sample.
+
+    A null or empty text is scored like any other; equal texts stay or go alike;
+    an empty table gives an empty result.
+    """
     return docs.where(score(F.col("text"), fit(docs, labels, sample_rows), docs.sparkSession) < threshold)

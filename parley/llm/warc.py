@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,10 @@ def url_key(url: str | None) -> str:
     """The URL with its host reversed, lower-cased and without port 80 or 443, fragment and leading www."""
     if not url:
         return "-"
-    parts = urlsplit(url if "//" in url else "http://" + url)
+    try:
+        parts = urlsplit(url if "//" in url else "http://" + url)
+    except ValueError:  # no URL: its own text is the key
+        return url
     try:
         port = parts.port
     except ValueError:
@@ -89,22 +93,46 @@ def parse(raw: bytes) -> dict:
     return out
 
 
+def _members(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members, in a stream of pieces, that hold something; a piece and a record are in memory."""
+    d, parts, start, read = zlib.decompressobj(31), [], 0, 0
+    for piece in pieces:
+        read += len(piece)
+        while piece:
+            parts.append(d.decompress(piece))
+            piece = b""
+            if d.eof:
+                piece = d.unused_data
+                end, content = read - len(piece), b"".join(parts)
+                if content:
+                    yield start, end - start, content
+                d, parts, start = zlib.decompressobj(31), [], end
+    if start != read:
+        raise ValueError("a member is cut off")
+
+
 def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the gzip members that hold something."""
-    view, at = memoryview(raw), 0
-    while at < len(raw):
-        if raw[at : at + len(_EMPTY)] == _EMPTY:
-            at += len(_EMPTY)
-            continue
-        d, parts, pos = zlib.decompressobj(31), [], at
-        while not d.eof:
-            if pos >= len(raw):
-                raise ValueError("a member is cut off")
-            parts.append(d.decompress(view[pos : pos + _PIECE]))
-            pos += _PIECE
-        end = min(pos, len(raw)) - len(d.unused_data)
-        yield at, end - at, b"".join(parts)
-        at = end
+    """The members of an archive that is in memory."""
+    return _members(raw[a : a + _PIECE] for a in range(0, len(raw), _PIECE))
+
+
+def _opened(uri: str):
+    """A file of any store that Arrow reaches, open for ranges."""
+    if uri.startswith("file:"):  # as Spark writes it, not quoted
+        return LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    store, path = FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _streamed(uri: str) -> Iterator[tuple[int, int, bytes]]:
+    with _opened(uri) as f:
+        yield from _members(iter(lambda: f.read(_PIECE), b""))
+
+
+def read_range(uri: str, offset: int, length: int) -> bytes:
+    """A range of a file; nothing else of it is read."""
+    with _opened(uri) as f:
+        return f.read_at(length, offset)
 
 
 def _save(members_: DataFrame, path: str) -> None:
@@ -112,8 +140,9 @@ def _save(members_: DataFrame, path: str) -> None:
     members_.select(F.col("member").cast("string").alias("value")).write.option("lineSep", _EMPTY_LINE).option("encoding", "ISO-8859-1").text(path)
 
 
-def _load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of the files in a folder, one to a task as far as there are tasks; their contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").repartition("path")
 
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -161,15 +190,18 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
+            for name in batch.column(0).to_pylist():
                 cols: list[list] = [[] for _ in _NAMES]
-                for offset, length, raw in members(content.as_py()):
+                for offset, length, raw in _streamed(name):
                     r = parse(raw)
-                    for c, v in zip(cols, (url_key(r["url"]), r["date"], r["page_id"], r["url"], name.as_py(), offset, length, r["type"], r["digest"], r["size"], r["refers_to"])):
+                    for c, v in zip(cols, (url_key(r["url"]), r["date"], r["page_id"], r["url"], name, offset, length, r["type"], r["digest"], r["size"], r["refers_to"])):
                         c.append(v)
+                    if len(cols[0]) >= BLOCK_LINES:
+                        yield pa.RecordBatch.from_pydict(dict(zip(_NAMES, cols)), schema=_schema())
+                        cols = [[] for _ in _NAMES]
                 yield pa.RecordBatch.from_pydict(dict(zip(_NAMES, cols)), schema=_schema())
 
-    return _load(spark, path).mapInArrow(run, _CAPTURE)
+    return _files(spark, path).mapInArrow(run, _CAPTURE)
 
 
 def _schema() -> pa.Schema:
@@ -199,17 +231,19 @@ def build_index(spark: SparkSession, path: str, index: str, block_lines: int = B
 
     _save(lines.mapInArrow(run, "member binary"), f"{index}/blocks")
 
+    kinds = {"first": pa.string(), "last": pa.string(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "lines": pa.int64()}
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
+            for name in batch.column(0).to_pylist():
                 out = []
-                for offset, length, raw in members(content.as_py()):
+                for offset, length, raw in _streamed(name):
                     rows = raw.splitlines()
-                    out.append({"first": json.loads(rows[0])[0], "last": json.loads(rows[-1])[0], "file": name.as_py(), "offset": offset, "length": length, "lines": len(rows)})
+                    out.append({"first": json.loads(rows[0])[0], "last": json.loads(rows[-1])[0], "file": name, "offset": offset, "length": length, "lines": len(rows)})
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())]))
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
 
-    directory = _load(spark, f"{index}/blocks").mapInArrow(entries, "first string, last string, file string, offset long, length long, lines long")
+    directory = _files(spark, f"{index}/blocks").mapInArrow(entries, "first string, last string, file string, offset long, length long, lines long")
     directory.write.parquet(f"{index}/directory")
 
 
@@ -217,34 +251,6 @@ def _block_lines(raw: bytes) -> list[list]:
     return [json.loads(x) for x in raw.splitlines()]
 
 
-def indexed(spark: SparkSession, index: str) -> DataFrame:
-    """Every capture of an index: each block's range, as the directory names it, unpacked."""
-    directory = spark.read.parquet(f"{index}/directory").groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # a file's blocks: one entry for 3,000 lines
-    files = _load(spark, f"{index}/blocks").join(directory, F.col("path") == F.col("file")).select("content", "ranges")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1)):
-                raw = content.as_py()
-                for r in sorted(ranges.as_py(), key=lambda x: x["offset"]):
-                    rows = _block_lines(gzip.decompress(raw[r["offset"] : r["offset"] + r["length"]]))
-                    yield pa.RecordBatch.from_pylist([{"key": k, "date": d, **x} for k, d, x in rows], schema=_schema())
-
-    return files.mapInArrow(run, _CAPTURE)
-
-
-def read_range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
-    """A range of a file in any store that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-    try:
-        stream.seek(offset)
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
-    finally:
-        stream.close()
-
-
 class Index:
     """Lookups of single URLs; holds the sparse directory (refused above MOST_ENTRIES entries)."""
 
@@ -266,39 +272,102 @@ class Index:
             if first > key:
                 break
             if last >= key:
-                rows = _block_lines(gzip.decompress(read_range(self.spark, file, offset, length)))
+                rows = _block_lines(gzip.decompress(read_range(file, offset, length)))
                 keys = [r[0] for r in rows]
                 out += [{"key": k, "date": d, **x} for k, d, x in rows[bisect_left(keys, key) : bisect_right(keys, key)]]
         return out
 
     def record(self, capture: dict) -> dict:
-        return parse(gzip.decompress(read_range(self.spark, capture["file"], capture["offset"], capture["length"])))
+        return parse(gzip.decompress(read_range(capture["file"], capture["offset"], capture["length"])))
+
+
+def lookup(spark: SparkSession, index: str, urls: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """Captures of many URLs (a column ``url``).
+
+    Each key's blocks are found by halving in the sparse directory, of which
+    every task holds a copy while it has ``most_entries`` entries at most (beyond
+    that Spark joins the two by range).  A block's range is read once, whatever
+    the number of its keys, and searched by halving for each.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in batch.column(0).to_pylist()}), pa.string())], ["key"])
 
+    wanted = urls.select("url").mapInArrow(keys, "key string").distinct()
+    directory = spark.read.parquet(f"{index}/directory").select("first", "last", "file", "offset", "length")
+    if directory.count() <= most_entries:
+        entries = sorted(tuple(r) for r in directory.collect())  # most_entries at most
+        held = spark.sparkContext.broadcast((entries, [e[0] for e in entries]))
 
-def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
-    """Captures of many URLs (a column ``url``): only blocks whose range of keys holds one are unpacked."""
-    kind = F.udf(url_key, "string")
-    wanted = urls.select(kind("url").alias("key")).distinct()
-    directory = spark.read.parquet(f"{index}/directory")
-    small = directory.count() <= MOST_ENTRIES
-    blocks = wanted.join(F.broadcast(directory) if small else directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("file", "offset", "length").distinct()
-    files = _load(spark, f"{index}/blocks").join(blocks.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges")), F.col("path") == F.col("file")).select("content", "ranges")
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entries, firsts = held.value
+            for batch in batches:
+                out = []
+                for key in batch.column(0).to_pylist():
+                    at = bisect_right(firsts, key) - 1
+                    while at >= 0 and entries[at][1] >= key:
+                        out.append((key, *entries[at][2:]))
+                        at -= 1
+                cols = list(zip(*out)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
+
+        found = wanted.mapInArrow(blocks, "key string, file string, offset long, length long")
+    else:
+        found = wanted.join(directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "file", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, names = None, [], []
         for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1)):
-                raw = content.as_py()
-                for r in ranges.as_py():
-                    rows = _block_lines(gzip.decompress(raw[r["offset"] : r["offset"] + r["length"]]))
-                    yield pa.RecordBatch.from_pylist([{"key": k, "date": d, **x} for k, d, x in rows], schema=_schema())
+            out = []
+            for key, *at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if at != last:
+                    last, rows = at, _block_lines(gzip.decompress(read_range(*at)))
+                    names = [r[0] for r in rows]
+                out += [{"key": k, "date": d, **x} for k, d, x in rows[bisect_left(names, key) : bisect_right(names, key)]]
+            yield pa.RecordBatch.from_pylist(out, schema=_schema())
+
+    return found.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, _CAPTURE)
+
 
-    return files.mapInArrow(run, _CAPTURE).join(wanted, "key", "left_semi")
+def read_records(found: DataFrame) -> DataFrame:
+    """``(page_id, url, date, type, digest, size, refers_to, payload)`` of captures, each record read by its range and checked."""
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "date": pa.string(), "type": pa.string(), "digest": pa.string(), "size": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f = None, None
+        try:
+            for batch in batches:
+                out, held = [], 0
+                for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if file != name:
+                        if f is not None:
+                            f.close()
+                        name, f = file, _opened(file)
+                    r = parse(gzip.decompress(f.read_at(length, offset)))
+                    out.append({k: r.get(k) for k in kinds})
+                    held += r["size"]
+                    if held > 1 << 24:
+                        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
+                        out, held = [], 0
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
+        finally:
+            if f is not None:
+                f.close()
+
+    # ranges of a file that are near each other are read by one task, one after the other
+    spread = found.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return spread.mapInArrow(run, "page_id long, url string, date string, type string, digest string, size long, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` written as archives in the shared folder, indexed, and all captures read back through the index."""
+    """``pages`` written as archives in the shared folder and indexed; then each page's URL is looked up and its records are read back.
+
+    Nulls, malformed URLs, repeated rows and empty tables are as in ``write``; a
+    payload of any length is a record of its own.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, f"{path}/archives", least)
     build_index(spark, f"{path}/archives", f"{path}/index")
-    return indexed(spark, f"{path}/index")
+    return read_records(written(lookup(spark, f"{path}/index", pages), "captures"))

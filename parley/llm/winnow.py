@@ -64,7 +64,7 @@ def winnowed(h: np.ndarray, w: int) -> np.ndarray:
 class Block:
     """Windows and fingerprints of some items; ``items``: (item_id, text bytes)."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, k: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int, k: int):
         self.window, self.k = window, k
         self.vocab: dict[bytes, int] = {}
         self.windows: dict[bytes, int] = {}
@@ -83,7 +83,7 @@ class Block:
             prints.setdefault(m, set()).update(h[winnowed(h, m - min(k, m) + 1)].tolist())
         same: dict[tuple, int] = {}
         for key, who in found.items():
-            of = tuple(sorted(who))
+            of = tuple(sorted(i for i in who if i is not None))
             if of not in same:
                 same[of] = len(self.lists)
                 self.lists.append(list(of))
@@ -123,11 +123,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     """``(doc_id, n_words, n_hit, items array<long>)`` for every row of ``docs``.
 
     An item of fewer than ``window`` words, but not none, is one window.  Null
-    texts have no words; null item ids are ignored, as nothing could name them;
-    items with equal ids count once; an empty benchmark hits nothing.  Repeated
-    rows of documents each get their row.  Other columns are ignored.
+    texts have no words; an item with a null id hits words, but isn't in
+    ``items``, as nothing could name it; items with equal ids count once; an
+    empty benchmark hits nothing.  Repeated rows of documents each get their row;
+    an empty table gives an empty result; texts are read whole, of any length.
+    Other columns are ignored.
     """
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), utf8(F.col("text")).alias("raw")).distinct()
+    rows = benchmark.select(F.col("item_id").cast("long"), utf8(F.col("text")).alias("raw")).distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", utf8(F.col("text")).alias("raw"))
     sc = docs.sparkSession.sparkContext
@@ -182,8 +184,12 @@ def _clean(held, window: int, k: int):
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` without a word that is hit, all columns kept; nothing is shuffled."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), utf8(F.col("text")).alias("raw")).distinct()
+    """The rows of ``docs`` without a word that is hit, all columns kept, whatever their names; nothing is shuffled.
+
+    Null and empty texts have no words and stay; repeated rows stay or go alike;
+    an empty benchmark or table is as in ``contamination``.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long"), utf8(F.col("text")).alias("raw")).distinct()
     for part in _blocks(rows, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.collect()])  # at most block_bytes
         docs = docs.where(_clean(held, window, k)(utf8(F.col("text"))))

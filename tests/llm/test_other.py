@@ -37,7 +37,7 @@ def brute_hits(docs, items, window=10):
                 if tuple(w[s : s + m]) in win:
                     hit[s : s + m] = [True] * m
                     ids |= win[tuple(w[s : s + m])]
-        out[d] = (len(w), sum(hit), sorted(ids))
+        out[d] = (len(w), sum(hit), sorted(ids, key=str))
     return out
 
 
@@ -51,7 +51,7 @@ def benchmark(corpus):
 def test_decontamination(spark, docs, corpus, benchmark, block_bytes):
     b = spark.createDataFrame(benchmark, "item_id long, text string")
     got = {r[0]: (r[1], r[2], r[3]) for r in winnow.contamination(docs, b, block_bytes=block_bytes).collect()}
-    want = brute_hits([(d, t) for d, t, *_ in corpus], [x for x in benchmark if x[0] is not None])
+    want = {d: (n, hit, [i for i in ids if i is not None]) for d, (n, hit, ids) in brute_hits([(d, t) for d, t, *_ in corpus], benchmark).items()}
     assert got == want
     clean = winnow.uncontaminated(docs, b, block_bytes=block_bytes)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for d, x in want.items() if not x[1]}
@@ -229,7 +229,7 @@ def test_archives_round_trip(spark, pages, tmp_path):
     path = f"file://{tmp_path}"
     warc.write(df, f"{path}/a")
     warc.build_index(spark, f"{path}/a", f"{path}/i", block_lines=20)
-    got = sorted(((r.page_id if r.page_id is not None else -1), r.type, r.size, r.digest, r.refers_to) for r in warc.indexed(spark, f"{path}/i").collect())
+    got = sorted(((r.page_id if r.page_id is not None else -1), r.type, r.size, r.digest, r.refers_to) for r in warc.read_records(warc.lookup(spark, f"{path}/i", df)).collect())
     low = lambda i: -1 if i is None else i
     last = {}
     for i, _, h in rows:
@@ -252,6 +252,39 @@ def test_archives_round_trip(spark, pages, tmp_path):
     assert index.captures("http://nowhere.example.com/") == []
     found_ = warc.lookup(spark, f"{path}/i", spark.createDataFrame([(rows[i][1],) for i in range(0, 300, 50)] + [("http://no.example/",)], "url string"))
     assert sorted(r.page_id for r in found_.collect()) == list(range(0, 300, 50))
+    joined = warc.lookup(spark, f"{path}/i", df, most_entries=0)  # a directory too large for every task
+    assert sorted(low(r.page_id) for r in joined.collect()) == sorted(low(i) for i, *_ in rows)
+
+
+def test_ranges_read_no_more(tmp_path, monkeypatch):
+    """A lookup in a block reads the bytes of that block."""
+    (tmp_path / "x").write_bytes(bytes(range(256)) * 100)
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.f.read_at(n, at)
+
+    opened = warc._opened
+    monkeypatch.setattr(warc, "_opened", lambda uri: Counted(opened(uri)))
+    assert warc.read_range(f"file:{tmp_path}/x", 300, 7) == bytes(range(44, 51)) and read == [7]
+
+
+def test_malformed_urls(spark):
+    rows = [(1, "http://[::1", "a"), (2, "http://[bad]/x", "a"), (3, "http://h:port/", "b"), (4, "", "c"), (5, "\ud7ff é/ü", "d")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.url, r.type) for r in warc.archived(df).collect())
+    assert got == [(1, "http://[::1", "revisit"), (2, "http://[bad]/x", "response"), (3, "http://h:port/", "response"), (4, None, "response"), (5, "\ud7ff é/ü", "response")]
 
 
 def test_no_pages(spark):
