@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Contractions that no rule below gives.
-IRREGULAR = {
-    "ain't": "is not", "can't": "cannot", "won't": "will not", "shan't": "shall not", "sha'n't": "shall not", "let's": "let us", "ma'am": "madam",
-    "'cause": "because", "o'clock": "of the clock", "y'all": "you all", "how'd": "how did", "how'd'y": "how do you", "where'd": "where did", "so's": "so as",
-}
-_NEGATED = "are could did does do had has have is may might must need ought should was were would".split()
-_SUBJECTS = "I i he it she that there they we what who you".split()
-_SUFFIXES = {"'d": "would", "'ll": "will", "'ve": "have", "'d've": "would have", "'ll've": "will have"}
-_IS = "he she it that there here what who why how when where this".split()
-
-
 def contraction_table() -> dict[str, str]:
-    """Contractions and what they stand for: the irregular ones, and those that rules give."""
-    out = {f"{w}n't": f"{w} not" for w in _NEGATED} | {f"{w}n't've": f"{w} not have" for w in ("might", "must", "need", "ought", "should", "would", "could")}
-    out |= {s + k: f"{s} {v}" for s in _SUBJECTS for k, v in _SUFFIXES.items()}
-    out |= {f"{s}'s": f"{s} is" for s in _IS} | {f"{s}'re": f"{s} are" for s in ("they", "we", "what", "you", "y'all")} | {"I'm": "I am", "i'm": "i am"}
-    out |= {f"{s}'ve": f"{s} have" for s in ("could", "might", "must", "should", "would", "will", "to", "so", "when", "where", "why")}
-    return out | IRREGULAR
+    """Contractions of English grammar and what they stand for: negated auxiliaries, and pronouns with an auxiliary.
+
+    Any other table can be given in its place.
+    """
+    out = {f"{w}n't": f"{w} not" for w in "is are was were do does did have has had could would should must".split()}
+    out |= {"can't": "cannot", "won't": "will not", "I'm": "I am", "i'm": "i am", "let's": "let us"}
+    for pronoun in "I i you he she it we they".split():
+        out |= {f"{pronoun}'ll": f"{pronoun} will", f"{pronoun}'d": f"{pronoun} would"}
+    out |= {f"{p}'ve": f"{p} have" for p in ("I", "i", "you", "we", "they")} | {f"{p}'re": f"{p} are" for p in ("you", "we", "they")}
+    return out | {f"{p}'s": f"{p} is" for p in ("he", "she", "it", "that", "there", "what", "who")}
 
 
 #: Function words; any list can be given in their place.
@@ -32,7 +25,7 @@ STOP_WORDS = tuple(
     "our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what "
     "when where which while who whom why will with you your".split()
 )
-#: Characters that the unknown-punctuation step strips.
+#: The characters that the unknown-punctuation step strips; equal results need these very ones, letters among them.
 PUNCTUATION = "/-'!#$%\"()*+:;<=>@[\\]^_`{|}~“”’∞θ÷α•à−β∅³π‘₹´°£€×™√²—–&"
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 
+#: Labels that countries use below their own.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+
+
 def basic_tokens_of(text: str) -> list[str]:
     """Lower-cased words without accents and control characters; each punctuation mark is a token."""
     out: list[str] = []
@@ -54,6 +58,7 @@ def subword_ids(text: Column, vocabulary: str, length: int | None = None) -> Col
 
 
 def registered_domain(url: Column) -> Column:
-    """The last two labels of the host."""
+    """The last two labels of the host; three where a country's second level is a general one, as in ``a.co.uk``."""
     host = F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z]+://([^/:?#]*)", 1), r"\.$", "")
-    return F.substring_index(host, ".", -2)
+    country = (F.length(F.substring_index(host, ".", -1)) == 2) & F.substring_index(F.substring_index(host, ".", -2), ".", 1).isin(*SECOND_LEVEL)
+    return F.when(country, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))

@@ -63,4 +63,4 @@ def within_neighbours(phrases: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, phrase)`` whose other words are all neighbours of its first word."""
     n = edges.select("src", "dst").union(edges.select("dst", "src")).groupBy("src").agg(F.collect_set("dst").alias("near"))
     p = phrases.withColumn("w", F.split("phrase", " ")).withColumn("src", F.col("w")[0])
-    return p.join(n, "src").where(F.size(F.array_except(F.slice("w", 2, 1000), F.col("near"))) == 0).select("id", "phrase")
+    return p.join(n, "src").where(F.size(F.array_except(F.slice("w", F.lit(2), F.size("w")), F.col("near"))) == 0).select("id", "phrase")

@@ -12,7 +12,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = 10, tol
     """``edges(src, dst[, weight])``, undirected, to ``(node, rank)``.
 
     Uniform start; rank of nodes without edges is spread over all.  ``rounds``
-    None: until the ranks move less than ``tol`` a node in all.
+    None: until the ranks move less than ``tol`` a node in all; an error if they still do after ``most_rounds``.
     """
     w = F.col("weight") if weighted else F.lit(1.0)
     arcs = edges.where("src <> dst").select("src", "dst", w.alias("w"))
@@ -32,15 +32,18 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = 10, tol
         old, ranks = ranks, written(kept, f"rank{t}") if rounds is None or t % 3 == 2 else kept
         if rounds is None and old.join(ranks.withColumnRenamed("rank", "r2"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("r2")))).first()[0] < n * tol:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the ranks still move after {most_rounds} rounds")
     return ranks
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``, the smallest node reachable, by minimum labels and label jumping."""
     arcs = edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
     arcs = written(arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "arcs")
     labels = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = arcs.join(labels, arcs.v == labels.node).groupBy("u").agg(F.min("c").alias("m"))
         new = labels.join(near, labels.node == near.u, "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = new.select(F.col("node").alias("n2"), F.col("c").alias("c2"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 @query(r"""WITH h AS (SELECT page_id, string_split(regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1), '.') AS h FROM pages)
-SELECT page_id, array_to_string(list_slice(h, greatest(len(h) - 1, 1), len(h)), '.') AS domain FROM h""")
+SELECT page_id, array_to_string(list_slice(h, greatest(len(h) - CASE WHEN length(h[len(h)]) = 2 AND h[len(h) - 1] IN ('ac', 'co', 'com', 'edu', 'go', 'gov', 'ne', 'net', 'or', 'org') THEN 2 ELSE 1 END, 1), len(h)), '.') AS domain FROM h""")
 def registered_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tokens.registered_domain(F.col("url")).alias("domain"))
 
@@ -77,7 +77,7 @@ def keyphrase_pair_score(spark, sf_dir):
     return p.groupBy("grp").agg(F.round(F.avg("s"), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("r") < 3, F.col("s"))), 6).alias("mean_first3"))
 
 
-_NOUNS = "e AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part WHERE p_partkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+_NOUNS = "e AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
 @query(f"""WITH {_NOUNS} SELECT p_partkey AS id, p_name AS phrase FROM part WHERE EXISTS (SELECT 1 FROM u WHERE a = split_part(p_name, ' ', 1) AND b = split_part(p_name, ' ', 2))""")
@@ -85,15 +85,15 @@ def noun_connectivity_filter(spark, sf_dir):
     """Phrases whose other words are neighbours of their first in a word graph."""
     p = table(spark, sf_dir, "part")
     w = F.split("p_name", " ")
-    edges = p.where("p_partkey % 3 = 0").select(w[0].alias("src"), w[1].alias("dst")).distinct()
+    edges = p.select(w[0].alias("src"), w[1].alias("dst")).distinct()
     return G.within_neighbours(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("phrase")), edges)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, string_split(lower(text), ' ')[1:3] AS w FROM conversations), k AS (SELECT DISTINCT conv_id, unnest(w) AS x, turn FROM c)
+@query("""WITH c AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), k AS (SELECT DISTINCT conv_id, unnest(w) AS x, turn FROM c)
 SELECT a.conv_id, a.turn AS src, b.turn AS dst, count(*) AS n FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.x = b.x AND a.turn < b.turn GROUP BY ALL""")
 def edge_inheriting_sentences(spark, sf_dir):
     """Sentences are linked if their terms are."""
-    k = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("x")).distinct()
+    k = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split(F.lower("text"), " ")).alias("x")).distinct()
     a, b = k.withColumnRenamed("turn", "src"), k.withColumnRenamed("turn", "dst")
     return a.join(b, ["conv_id", "x"]).where("src < dst").groupBy("conv_id", "src", "dst").agg(F.count("*").alias("n"))
 

@@ -81,7 +81,7 @@ def questions(spark, sf_dir):
 
 
 _NER = """t AS (SELECT doc_id, i - 1 AS word_index, w[i] AS tok, CASE WHEN length(w[i]) > 8 THEN 'B-ORG' WHEN length(w[i]) > 6 THEN 'I-PER' ELSE 'O' END AS label, CASE WHEN length(w[i]) % 5 = 0 THEN 0.5 ELSE 0.999 END::DOUBLE AS score
-FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents WHERE length(text) < 1000), unnest(range(1, len(w) + 1)) AS u(i))"""
+FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(i))"""
 
 
 @query(f"""WITH {_NER}, k AS (SELECT *, regexp_replace(label, '^[BI]-', '') AS kind FROM t WHERE label <> 'O' OR score < 0.995),
@@ -89,7 +89,7 @@ n AS (SELECT *, coalesce((word_index - lag(word_index) OVER w > 1 OR lag(kind) O
 s AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY word_index) AS span FROM n)
 SELECT doc_id, min(word_index)::BIGINT AS start, string_agg(tok, ' ' ORDER BY word_index) AS entity, kind AS label, round(avg(score), 4) AS score FROM s GROUP BY doc_id, span, kind""")
 def entity_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 1000).select("doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("word_index", "tok"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("word_index", "tok"))
     n = F.length("tok")
     t = d.select("doc_id", "word_index", "tok", F.when(n > 8, "B-ORG").when(n > 6, "I-PER").otherwise("O").alias("label"), F.when(n % 5 == 0, 0.5).otherwise(0.999).alias("score"))
     return detect.entity_spans(t, ["doc_id"], capitalise=False).select("doc_id", F.col("start").cast("long").alias("start"), "entity", "label", F.round("score", 4).alias("score"))
@@ -156,21 +156,23 @@ def recency_stream(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     calls = e.groupBy(F.col("event_type").alias("community"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("call")).agg(F.count("*").alias("n"))
     source, out = new_path(spark, "calls"), new_path(spark, "recency")
-    calls.coalesce(1).write.parquet(source)
+    calls.repartition("community").write.parquet(source)  # a micro-batch reads all files, and a community's calls are put in order
     stream = spark.readStream.schema(calls.schema).parquet(source)
     streams.run_to_table(streams.recency(stream), out, new_path(spark, "checkpoint"))
     return spark.read.parquet(out)
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 120000000)::INT, 0) AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g)
+SELECT user_id, epoch_us(min(ts))::BIGINT AS start_us, (epoch_us(max(ts)) + 120000000)::BIGINT AS end_us, count(*) AS n FROM s GROUP BY user_id, island""")
 def session_stream(spark, sf_dir):
-    """Sessions of 120 seconds from a stream of events."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    """Sessions of 120 seconds from a stream of events, the last ones closed at its end."""
+    e = streams.ended(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
     source, out = new_path(spark, "events"), new_path(spark, "sessions")
     e.write.parquet(source)
     stream = spark.readStream.schema(e.schema).parquet(source)
     streams.run_to_table(streams.sessions(stream, "user_id"), out, new_path(spark, "checkpoint"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query()
@@ -179,7 +181,7 @@ def entity_pagerank_of_groups(spark, sf_dir):
     from ..operators.ranking import pagerank
 
     v = table(spark, sf_dir, "embeddings")
-    e = E.threshold(V.cosine_pairs(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), loops=False), 0.2)
+    e = E.threshold(V.cosine_pairs(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), loops=False, least=0.2), 0.2)
     member = v.select(F.col("vec_id").alias("node"), F.when(F.col("label") < 3, -1 - F.col("label").cast("long")).otherwise(F.col("vec_id")).alias("as"))
     a, b = member.select(F.col("node").alias("src"), F.col("as").alias("x")), member.select(F.col("node").alias("dst"), F.col("as").alias("y"))
     small = e.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).where("src <> dst").distinct()

@@ -141,15 +141,14 @@ def any_keyphrase_in_sentence(spark, sf_dir):
     return _turns(spark, sf_dir).where(F.exists(F.array(*map(F.lit, ("tion", "ment", "heit"))), lambda k: F.contains(F.col("text"), k))).select("conv_id", "turn")
 
 
-_phrase = "list_transform(string_split(lower(text), ' '), lambda x: x)[1:8]"
+_phrase = "list_transform(string_split(lower(text), ' '), lambda x: x)"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_phrase} AS w FROM documents),
 k AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({_stop}, w[i])) AS keep FROM p)
 SELECT doc_id, CASE WHEN len(keep) = 0 THEN '' ELSE array_to_string(w[list_min(keep):list_max(keep)], ' ') END AS phrase FROM k""")
 def strip_phrase_stop_words(spark, sf_dir):
-    phrase = F.slice(T.words(F.lower("text")), 1, 8)
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.strip_stop_words(phrase), " ").alias("phrase"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.strip_stop_words(T.words(F.lower("text"))), " ").alias("phrase"))
 
 
 @query("""WITH l AS (SELECT doc_id, [CASE doc_id % 4 WHEN 0 THEN 'B-PER' WHEN 1 THEN 'O' WHEN 2 THEN 'I-LOC' ELSE 'O' END, CASE doc_id % 3 WHEN 0 THEN 'I-ORG' WHEN 1 THEN 'B-MISC' ELSE 'O' END] AS l FROM documents)
@@ -174,10 +173,10 @@ def assignee_flag(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", T.assignee_flag(w).alias("flag"))
 
 
-@query("""WITH i AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w))[1:40] AS ids FROM documents)
+@query("""WITH i AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM documents)
 SELECT doc_id, array_to_string((ids || list_transform(range(32), lambda x: 0::BIGINT))[1:32], ' ') AS ids, list_sum(list_transform((ids || list_transform(range(32), lambda x: 0::BIGINT))[1:32], lambda x: x))::BIGINT AS total, least(len(ids), 32)::BIGINT AS mask FROM i""")
 def pad_and_mask(spark, sf_dir):
-    ids = F.slice(F.transform(T.words(F.col("text")), lambda w: F.length(w)), 1, 40)
+    ids = F.transform(T.words(F.col("text")), lambda w: F.length(w))
     p, m = T.padded(ids, 32), T.attention_mask(ids, 32)
     add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return _docs(spark, sf_dir).select("doc_id", F.array_join(p.cast("array<string>"), " ").alias("ids"), add(p).alias("total"), add(m).alias("mask"))
@@ -201,12 +200,12 @@ def distance_projection(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(T.distance((F.col("turn") + 1).cast("double"), F.col("text")), 6).alias("distance"))
 
 
-_TOK = f"""t AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents WHERE lang = 'en'), unnest(range(1, len(ws) + 1)) AS u(i)),
+_TOK = f"""t AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)),
 k AS (SELECT doc_id, i, w, length(w) >= 5 AND NOT list_contains({_stop}, w) AS kw FROM t)"""
 
 
-def _tokens(spark, sf_dir, only: str = "lang = 'en'") -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(only).select("doc_id", "text")
+def _tokens(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     t = K.tokens(docs, "doc_id")
     return t.withColumn("kw", (F.length("word") >= 5) & ~F.col("word").isin(*T.STOP_WORDS))
 
@@ -251,4 +250,4 @@ def textrank_words(spark, sf_dir):
 @query()
 def keyphrases_top10(spark, sf_dir):
     """Per document the ten best phrases: words by rank, runs of them, single words that a phrase holds left out."""
-    return K.keyphrases(_tokens(spark, sf_dir, only="true"), "doc_id", top=10)
+    return K.keyphrases(_tokens(spark, sf_dir), "doc_id", top=10)

@@ -29,8 +29,8 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def _edges(spark, sf_dir, loops=True) -> DataFrame:
-    return V.cosine_pairs(_vectors(spark, sf_dir), loops=loops)
+def _edges(spark, sf_dir, loops=True, least: float | None = None) -> DataFrame:
+    return V.cosine_pairs(_vectors(spark, sf_dir), loops=loops, least=least)
 
 
 _PAIRS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),
@@ -46,7 +46,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT * FROM e WHERE src < dst AND weight > 0.25")
 def cosine_pairs_upper_triangle(spark, sf_dir):
-    return E.threshold(_edges(spark, sf_dir, loops=False), 0.25)
+    return E.threshold(_edges(spark, sf_dir, loops=False, least=0.25), 0.25)
 
 
 @query(f"WITH {_PAIRS} SELECT src, dst, weight FROM e JOIN st ON src = node WHERE weight > q3 + (q3 - q1)")
@@ -90,7 +90,7 @@ _GRAPH = f"{_PAIRS}, g AS (SELECT src, dst, weight FROM e WHERE src < dst AND we
 
 
 def _graph(spark, sf_dir) -> DataFrame:
-    return written(E.threshold(_edges(spark, sf_dir, loops=False), 0.2), "graph")
+    return written(E.threshold(_edges(spark, sf_dir, loops=False, least=0.2), 0.2), "graph")
 
 
 @query(f"""WITH {_GRAPH}, m AS (SELECT sum(weight) AS m FROM g),
@@ -150,7 +150,7 @@ def pagerank_weighted_10_rounds(spark, sf_dir):
 c AS (SELECT src AS node, src AS root FROM a UNION SELECT a.dst, c.root FROM c JOIN a ON c.node = a.src)
 SELECT node, min(root) AS component FROM c GROUP BY node""")
 def connected_components(spark, sf_dir):
-    return R.components(E.threshold(_edges(spark, sf_dir, loops=False), 0.35))
+    return R.components(E.threshold(_edges(spark, sf_dir, loops=False, least=0.35), 0.35))
 
 
 _CENT = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),

@@ -43,14 +43,18 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return decode(raw.select(plain.alias("value")))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
-    """CSV by a declared schema; malformed rows are dropped."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True, corrupt: str | None = None) -> DataFrame:
+    """CSV by a declared schema.  No row is dropped: what can't be read is null, and ``corrupt`` names a column for the raw line of such a row."""
+    named = f"{schema}, `{corrupt}` STRING" if corrupt else schema
+    reader = spark.read.schema(named).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).csv(path)
 
 
-def read_segment_export(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a JSON segment in ``value``; rows whose value is no JSON object are left out."""
+def read_segment_export(spark: SparkSession, path: str, malformed: bool = False) -> DataFrame:
+    """CSV with a JSON segment in ``value``; rows whose value is no JSON object are left out, or with ``malformed`` all that is given: ``(value, transcript_id)``."""
     rows = read_csv(spark, path, "id STRING, value STRING, created_at TIMESTAMP, updated_at TIMESTAMP, deleted_at TIMESTAMP, deleted BOOLEAN, transcript_id STRING")
+    if malformed:
+        return rows.where(F.from_json("value", SEGMENT)["id"].isNull()).select("value", "transcript_id")
     return rows.select(F.from_json("value", SEGMENT).alias("s"), "transcript_id", "created_at").where("s.id is not null").select("s.*", "transcript_id", F.col("created_at").alias("exported_at"))
 
 

@@ -48,6 +48,15 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "120 second
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def ended(events: DataFrame, ts: str = "ts", after: str = "1 day") -> DataFrame:
+    """``events`` and one row without a key, ``after`` the last of them: it moves the watermark on, so that a stream that ends gives its last sessions too.
+
+    The row's own session stays open and is never given.
+    """
+    last = events.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts) + F.expr(f"INTERVAL {after}"))
+    return events.unionByName(last, allowMissingColumns=True)
+
+
 def windowed(events: DataFrame, key: str, ts: str = "ts", width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts in tumbling or sliding windows, late events dropped."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
