@@ -75,8 +75,8 @@ def custom_preprocess(text: Column) -> Column:
 
 
 def clean_a(text: Column) -> Column:
-    """Quotes normalised, URLs to ``__url__``, colons to sentence ends, blanks squeezed."""
-    t = F.translate(text, "“”‘’", "\"\"''")
+    """Emoji stripped, quotes normalised, URLs to ``__url__``, colons to sentence ends, blanks squeezed."""
+    t = F.translate(F.regexp_replace(text, r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]", ""), "“”‘’", "\"\"''")
     t = F.regexp_replace(t, r"https?://[^ \t\n\r\f]+", "__url__")
     t = F.regexp_replace(t, r":", ". ")
     return F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))

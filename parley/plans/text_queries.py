@@ -74,7 +74,7 @@ _texts("number_mask", lambda t: T.mask_numbers(_made(t)), f"(SELECT substr(x, 3,
 _stop = "[" + ", ".join(_literal(w) for w in T.STOP_WORDS) + "]"
 _texts("stop_words_interior", T.remove_stop_words, f"(SELECT array_to_string(list_transform(list_filter(list_zip(w, range(len(w))), lambda p: p[2] = 0 OR p[2] = len(w) - 1 OR NOT list_contains({_stop}, p[1])), lambda p: p[1]), ' ') FROM (SELECT string_split(text, ' ') AS w))")
 _texts("custom_preprocess", lambda t: T.custom_preprocess(_made(t)), f"trim(regexp_replace(regexp_replace(translate(regexp_replace(lower({_MADE}), '[a-z0-9]*[0-9][a-z0-9]*', '', 'g'), '-''', '  '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))")
-_texts("clean_text_a", T.clean_a, "trim(regexp_replace(replace(regexp_replace(translate(text, '“”‘’', '\"\"''''' ), 'https?://[^ \\t\\n\\r\\f]+', '__url__', 'g'), ':', '. '), '[ \\t\\n\\r\\f]+', ' ', 'g'))")
+_texts("clean_text_a", T.clean_a, "trim(regexp_replace(replace(regexp_replace(translate(regexp_replace(text, '[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]', '', 'g'), '“”‘’', '\"\"''''' ), 'https?://[^ \\t\\n\\r\\f]+', '__url__', 'g'), ':', '. '), '[ \\t\\n\\r\\f]+', ' ', 'g'))")
 _texts("clean_text_b", T.clean_b, "trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\t\\n\\r\\f]+', ' __url__ ', 'g'), '[^A-Za-z0-9_]', ' ', 'g'), ' +', ' ', 'g'))")
 _texts("clean_text_c", T.clean_c, "trim(regexp_replace(regexp_replace(text, '[?!.]+', '.', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))")
 _texts("sentence_boundary_repair", lambda t: T.repair_boundaries(F.replace(t, F.lit(". "), F.lit("."))), "regexp_replace(replace(text, '. ', '.'), '([a-z][.?])([A-Z])', '\\1 \\2', 'g')")

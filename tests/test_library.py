@@ -249,3 +249,59 @@ def test_library_needs_no_subpackage():
     code = "import sys; sys.modules['parley.llm'] = None; import __spark_entry__ as e; assert 'cosine_pairs' in e.queries() and e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_artifacts_are_versions(spark, tmp_path):
+    from parley.sources import artifacts
+
+    root = f"file://{tmp_path}"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    with pytest.raises(FileNotFoundError):
+        artifacts.load(spark, root, "t")
+    assert artifacts.save(df, root, "t") == 1 and artifacts.cached(spark, root, "t", lambda: 1 / 0).count() == 2
+    (tmp_path / "t" / "v000000009").mkdir()  # a job that never ended
+    out = artifacts.extended(spark, root, "t", spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])
+    assert {tuple(r) for r in out.collect()} == {(1, "a"), (2, "c"), (3, "d")} and artifacts.versions(spark, root, "t") == [1, 2]
+    assert {tuple(r) for r in artifacts.load(spark, root, "t", 1).collect()} == {(1, "a"), (2, "b")}
+    artifacts.reset(spark, root, "t")
+    assert artifacts.versions(spark, root, "t") == []
+
+
+def test_spans_and_entities(spark):
+    from parley.operators import phrases as P
+
+    spans = spark.createDataFrame([(1, 0, 4), (1, 1, 2), (1, 5, 6), (1, 9, 9), (2, 3, 3), (2, 3, 3)], "t long, a long, b long")
+    assert sorted(map(tuple, P.merge_spans(spans, ["t"]).collect())) == [(1, 0, 6, 2), (1, 9, 9, 1), (2, 3, 3, 1)]
+    tokens = spark.createDataFrame([(1, i, t) for i, t in enumerate("N J O N O N N".split())], "t long, i long, tag string")
+    grown = P.extend_spans(spark.createDataFrame([(1, 2, 2), (1, 4, 4), (1, 0, 6)], "t long, a long, b long"), tokens, ["t"], ["N", "J"])
+    assert sorted(map(tuple, grown.collect())) == [(1, 0, 3), (1, 0, 6), (1, 3, 6)]
+    rows = spark.createDataFrame([(["x", "of", "the"], "O", "JJ"), (["of"], "O", "NN"), (["y"], "O", "NN"), (["z"], "LOC", "JJ")], "w array<string>, label string, tag string")
+    w = P.trim_trailing(F.col("w"), ["of", "the"])
+    assert [tuple(r) for r in rows.select(w.alias("w"), P.real_entity(w, F.col("label"), F.col("tag"))).collect()] == [(["x"], False), ([], False), (["y"], True), (["z"], True)]
+    vec = spark.createDataFrame([("a", "ORG", 2, [1.0, 2.0]), ("b", "PER", 5, [1.0, 2.0]), ("c", "ORG", 1, [1.0, 2.0]), ("d", "ORG", 2, [1.0, float("nan")]), ("e", "ORG", 2, [1.0])], "entity string, label string, n long, vec array<double>")
+    assert [r.entity for r in P.eligible_entities(vec, 2).collect()] == ["a"]
+
+
+def test_cleaning_strips_emoji(spark):
+    assert spark.range(1).select(T.clean_a(F.lit("well \U0001f600\u2764\ufe0f done: ok"))).first()[0] == "well done. ok"
+
+
+def test_malformed_rows_are_kept(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,v\n1,a\nno,b\n3,c\n")
+    rows = requests.read_csv(spark, f"file://{tmp_path}/x.csv", "id long, v string", corrupt="bad").collect()
+    assert [(r.id, r.v) for r in rows] == [(1, "a"), (None, "b"), (3, "c")] and [r.bad for r in rows] == [None, "no,b", None]
+
+
+def test_streams_of_windows_requests_and_sessions(spark, tmp_path):
+    """A stream that ends gives every session; windows and requests as in batch."""
+    rows = [(u, i * 50 + (i // 5) * 500) for u in (1, 2) for i in range(20)]
+    e = spark.createDataFrame(rows, "u long, s long").select("u", F.timestamp_seconds("s").alias("ts"))
+    path = f"file://{tmp_path}"
+    streams.ended(e).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("u long, ts timestamp").parquet(f"{path}/in")
+    streams.run_to_table(streams.sessions(stream, "u"), f"{path}/out", f"{path}/c1")
+    got = sorted((r.u, r.n) for r in spark.read.parquet(f"{path}/out").collect())
+    assert got == sorted((u, 5) for u in (1, 2) for _ in range(4))
+    streams.run_to_table(streams.windowed(stream, "u", width="10 minutes"), f"{path}/w", f"{path}/c2")
+    want = {(r.u, r.w.start): r.n for r in e.groupBy("u", F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert {(r.u, r.start): r.n for r in spark.read.parquet(f"{path}/w").where("u is not null").collect()} == want
