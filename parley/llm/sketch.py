@@ -129,17 +129,33 @@ def repeated_cells(source: DataFrame, keys_of: Callable[[list[bytes]], Iterator[
             yield from _sparse(np.concatenate(held))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], np.ndarray] = {}
+        # rows come sorted by shard: one shard's counts are held at a time
+        count, last = np.zeros(SHARD, np.uint8), None
+        done: list[tuple[int, int, bytes]] = []
+
+        def settled() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.int32()), pa.array([x[2] for x in done], pa.binary())], ["row", "shard", "bits"])
+
         for batch in batches:
-            for row, shard, once, again in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                count = counts.setdefault((row, shard), np.zeros(SHARD, np.uint8))
-                at = np.frombuffer(once, "<u2")
+            for row, shard, once, again in zip(*(batch.column(i) for i in range(4))):
+                key = row.as_py(), shard.as_py()
+                if key != last:
+                    if last is not None:
+                        done.append((*last, np.packbits(count > 1).tobytes()))
+                        count[:] = 0
+                    last = key
+                at = np.frombuffer(once.as_buffer(), "<u2")
                 count[at] = np.minimum(count[at] + 1, 2)
-                count[np.frombuffer(again, "<u2")] = 2
-        keys = sorted(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([np.packbits(counts[k] > 1).tobytes() for k in keys], pa.binary())], ["row", "shard", "bits"])
-
-    merged = source.mapInArrow(part, "row int, shard int, once binary, again binary").repartition("row", "shard").mapInArrow(merge, "row int, shard int, bits binary")
+                count[np.frombuffer(again.as_buffer(), "<u2")] = 2
+            if len(done) >= 64:
+                yield settled()
+                done = []
+        if last is not None:
+            done.append((*last, np.packbits(count > 1).tobytes()))
+            yield settled()
+
+    sparse = source.mapInArrow(part, "row int, shard int, once binary, again binary")
+    merged = sparse.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(merge, "row int, shard int, bits binary")
     got = merged.toArrow()  # at most ROWS * CELLS / 8 bytes
     bits = np.zeros((ROWS, CELLS // 8), np.uint8)
     for row, shard, x in zip(got["row"].to_pylist(), got["shard"].to_pylist(), got["bits"]):
