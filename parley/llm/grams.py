@@ -36,7 +36,8 @@ class Grams:
         self.window, self.gram = window, gram
         self.up, self.down = powers(BASE, BLOCK + window), powers(pow(BASE, -1, 1 << 64), BLOCK + window)
 
-    def _hashes(self, block: np.ndarray) -> np.ndarray:
+    def hashes(self, block: np.ndarray) -> np.ndarray:
+        """Hashes of the grams of a block of at most BLOCK windows."""
         n, g = len(block), self.gram
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
@@ -54,7 +55,7 @@ class Grams:
         # the first windows that cross into the next text
         over = np.unique(np.concatenate([first[1:] - self.window + 1, first[1:]])).clip(0) if len(first) > 1 else none
         for a in range(0, len(data) - self.window + 1, BLOCK):
-            h = self._hashes(data[a : a + BLOCK + self.window - 1])
+            h = self.hashes(data[a : a + BLOCK + self.window - 1])
             m = _minimizers(h, self.window - self.gram + 1)
             cuts = over[np.searchsorted(over, a, "right") : np.searchsorted(over, a + len(m))] - a
             head = np.union1d(np.flatnonzero(m[1:] != m[:-1]) + 1, cuts)

@@ -2,12 +2,15 @@
 
 A count-min sketch (see sketch.py) first finds the segments, runs of windows
 with one minimizer, that may occur twice.  Rows of (minimizer, hash of the
-segment, document) meet by minimizer.  A segment that is the only one with its
-minimizer needs no sort: copies of it are copies as a whole.  Of the others one
-copy of each is fetched, and all of a minimizer are sorted together, by grouping
-(see gsaca.py); windows that are equal stand next to each other in that order,
-and each learns the smallest document that holds it.  What is left is to tell
-every occurrence of a segment.
+segment, document) meet by minimizer.  Every occurrence of a segment but the
+earliest is hit as a whole, and told at once.  Only the earliest is open: its
+windows may lie in another segment of an earlier document.  If its minimizer has
+other segments, one copy of each is fetched, and all of a minimizer are sorted
+together, by grouping (see gsaca.py); windows that are equal stand next to each
+other in that order, and each learns the smallest document that holds it.
+
+A row that holds a segment more than once tells its first place; the windows
+that are hit there are looked up in the rest of its text at the end.
 
 A minimizer with very many different segments is split: each of its windows is
 then a segment of its own, dealt out by its own hash.
@@ -19,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_key, utf8, written
-from .grams import BASE, TABLE, Grams, joined_texts, powers
+from ._common import NULL_ID, id_key, utf8, written
+from .grams import BASE, BLOCK, TABLE, Grams, joined_texts, powers
 from .gsaca import suffix_array
-from .sketch import maybe_repeated, packed, repeated_cells
+from .sketch import maybe_repeated, mixed, packed, repeated_cells
 
 #: Bytes of the grams whose smallest hash stands for a window.
 GRAM = 32
@@ -47,7 +51,7 @@ def _name(k: np.ndarray, n: np.ndarray, core: np.ndarray) -> np.ndarray:
 
 
 def _split(joint: bytes, window: int, keys: np.ndarray, start: np.ndarray, n: np.ndarray, core: np.ndarray, hot: np.ndarray) -> tuple:
-    """Segments with a ``hot`` minimizer taken apart: each window a segment with a key of its own."""
+    """Segments with a ``hot`` minimizer taken apart: each window a segment with a key of its own; in the order of their starts."""
     is_hot = np.isin(keys, hot)
     if not is_hot.any():
         return keys, start, n, core
@@ -55,13 +59,22 @@ def _split(joint: bytes, window: int, keys: np.ndarray, start: np.ndarray, n: np
     at = np.repeat(start[is_hot], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
     own = np.fromiter((xxhash.xxh3_64_intdigest(joint[a : a + window], 1) >> 24 for a in at.tolist()), np.int64, len(at))
     cold = ~is_hot
-    return (*(np.concatenate([x[cold], y]) for x, y in ((keys, own), (start, at), (n, np.ones_like(at)), (core, at))),)
+    out = [np.concatenate([x[cold], y]) for x, y in ((keys, own), (start, at), (n, np.ones_like(at)), (core, at))]
+    order = np.argsort(out[1], kind="stable")
+    return tuple(x[order] for x in out)
+
+
+#: What a row tells: windows that an earlier document holds; a segment to be sorted; one more row with the id of that segment's row; a minimizer to be split.
+HIT, SORT, TIE, SPLIT = 0, 1, 2, 3
+_ROW = "name long, h long, ord long, row long, at long"
 
 
-def _occurrences(rows: DataFrame, window: int, held, hot: np.ndarray, once: bool) -> DataFrame:
-    """``(name, h, ord, row, at)`` of the segments that may occur twice; ``at``: first window and, in bit 0, whether documents differ.
+def _occurrences(rows: DataFrame, window: int, held, hot: np.ndarray) -> DataFrame:
+    """``(name, h, ord, row, at)`` of the segments that may occur twice; ``at``: first window and, in bit 0, whether the row holds the segment again.
 
-    ``once``: of a segment that occurs more than once in a few texts, the occurrence with the smallest ord.
+    Of a segment in a few texts only the occurrences with the smallest ord are
+    told; the others are hit by it, and become one row for each run of segments:
+    name is negative, h the number of windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,100 +90,128 @@ def _occurrences(rows: DataFrame, window: int, held, hot: np.ndarray, once: bool
                     continue
                 h = np.fromiter(map(digest, [joint[s:e] for s, e in zip(start.tolist(), (start + n + (window - 1)).tolist())]), np.uint64, len(start)).view(np.int64)
                 name, own = _name(keys, n, core - start), np.searchsorted(first, start, "right") - 1
-                ord_, place = ids[at + own], (start - first[own]) << 1
-                if once:
-                    order = np.lexsort([ord_, h, name])
-                    a, b = name[order], h[order]
-                    heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    lasts = order[np.append(heads[1:], len(order)) - 1]
-                    order = order[heads]
-                    differ = (ord_[lasts] != ord_[order]).astype(np.int64)
-                    name, h, ord_, place, own = name[order], h[order], ord_[order], place[order] | differ, own[order]
-                row = pa.nulls(len(name), pa.int64()) if unique else pa.array(rows_[at + own].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h), pa.array(ord_), row, pa.array(place)], ["name", "h", "ord", "row", "at"])
-
-    return rows.select("ord", "row", "raw").mapInArrow(run, "name long, h long, ord long, row long, at long")
-
-
-#: What becomes of a segment: it is the only one of its minimizer and occurs in several documents; it is to be sorted; its minimizer is to be split.
-ALONE, SORT, SPLIT = 0, 1, 2
+                ord_, place = ids[at + own], start - first[own]
+                order = np.lexsort([ord_, h, name])  # stable: places rise within a row
+                a, b, o, r = name[order], h[order], ord_[order], own[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                heads = np.flatnonzero(new)
+                later = o != o[heads][np.cumsum(new) - 1]
+                # the first place in each row
+                new[1:] |= r[1:] != r[:-1]
+                heads = np.flatnonzero(new & ~later)
+                again = np.zeros(len(order), bool)
+                again[:-1] = ~new[1:]
+                kept = order[heads]
+                hit = np.sort(order[later])
+                begin = np.concatenate([[True], (start[hit[1:]] != start[hit[:-1]] + n[hit[:-1]]) | (own[hit[1:]] != own[hit[:-1]])])[: len(hit)]
+                from_ = hit[begin]
+                to = hit[np.append(np.flatnonzero(begin)[1:], len(hit)) - 1] if len(hit) else hit
+                pick = np.concatenate([kept, from_])
+                told = [
+                    np.concatenate([name[kept], ~(mixed(ord_[from_].view(np.uint64)) >> np.uint64(1)).view(np.int64)]),
+                    np.concatenate([h[kept], start[to] + n[to] - start[from_]]),
+                    ord_[pick],
+                    np.concatenate([place[kept] << 1 | again[heads], place[from_] << 1]),
+                ]
+                row = pa.nulls(len(pick), pa.int64()) if unique else pa.array(rows_[at + own[pick]].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in told[:3]), row, pa.array(told[3])], ["name", "h", "ord", "row", "at"])
+
+    return rows.select("ord", "row", "raw").mapInArrow(run, _ROW)
 
 
 def _judged(found: DataFrame, crowded: int) -> DataFrame:
-    """``(name, h, ord, row, at, fate)``: each segment once, with its smallest ord; those that occur in one document only are left out."""
+    """``(fate, name, h, ord, row, at)``.
+
+    HIT: ``h`` windows from ``at`` of the row are in an earlier document.  SORT:
+    the first row of a segment whose minimizer has other segments.  TIE: another
+    row with its ord, where ids repeat.  SPLIT: a minimizer with more than
+    ``crowded`` segments.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["name", "h", "ord", "row", "at"]
-        held: pa.Table | None = None
-        split: int | None = None
-
-        def once(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-            """Each segment of the sorted rows once."""
-            a, b, o = (t.column(c).to_numpy() for c in ("name", "h", "ord"))
-            heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            ends = np.append(heads[1:], len(a))
-            at = t.column("at").to_numpy()
-            many = (o[ends - 1] != o[heads]) | (np.bitwise_or.reduceat(at, heads) & 1 == 1)
-            out = t.take(pa.array(heads))
-            return out.set_column(4, "at", pa.array(at[heads] & ~1 | many)), (a >> 16)[heads]
-
-        def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            out, k = once(t)
+        none = [np.empty(0, np.int64)] * 5
+        held, split = none, None
+
+        def told(fate: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(cols[0]):
+                row = pa.array(cols[3], mask=cols[3] == NULL_ID)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), fate, np.int32)), *(pa.array(x) for x in cols[:3]), row, pa.array(cols[4])], ["fate", "name", "h", "ord", "row", "at"])
+
+        def hits(cols: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            zero = np.zeros(len(n), np.int64)
+            yield from told(HIT, [zero, n, zero, np.where(cols[3] == NULL_ID, cols[2], cols[3]), cols[4]])
+
+        def settled(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """The fate of whole minimizers, from the first row of each of their segments."""
+            k = cols[0] >> 16
+            if not len(k):
+                return
             heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(heads, len(k)))
-            fate = np.repeat(np.where(size == 1, ALONE, np.where(size > crowded, SPLIT, SORT)), size)
-            keep = (fate == SORT) | (out.column("at").to_numpy() & 1 == 1)
-            keep[heads[size > crowded]] = True
-            keep &= (fate != SPLIT) | np.isin(np.arange(len(k)), heads)
-            yield from out.append_column("fate", pa.array(fate.astype(np.int32))).filter(pa.array(keep)).combine_chunks().to_batches()
+            differ = np.minimum.reduceat(cols[2], heads) != np.maximum.reduceat(cols[2], heads)
+            yield from told(SORT, [x[np.repeat(differ & (size <= crowded), size)] for x in cols])
+            yield from told(SPLIT, [x[heads[size > crowded]] for x in cols])
 
         for batch in batches:
-            if not batch.num_rows:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)]
+            cols.insert(3, pc.fill_null(batch.column(3), NULL_ID).to_numpy(zero_copy_only=False))
+            sure = int(np.searchsorted(cols[0], 0))  # negative names come first
+            if sure:
+                yield from hits([x[:sure] for x in cols], cols[1][:sure])
+            skip = sure if split is None else max(sure, int(np.searchsorted(cols[0] >> 16, split, "right")))  # the rest of a minimizer that is split already
+            if skip == len(cols[0]):
                 continue
-            t = pa.Table.from_batches([batch.select(names)])
-            if held is not None:
-                t = pa.concat_tables([held, t]).combine_chunks()
-                held = None
-            k = t.column("name").to_numpy() >> 16
-            if split is not None:  # the rest of a minimizer that is split already
-                t = t.slice(int(np.searchsorted(k, split, "right")))
-                if not t.num_rows:
-                    continue
-                k, split = t.column("name").to_numpy() >> 16, None
+            split, n_held = None, len(held[0])
+            cols = [np.concatenate([x, y[skip:]]) for x, y in zip(held, cols)]
+            name, h, ord_ = cols[:3]
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (h[1:] != h[:-1])])
+            least = ord_[np.flatnonzero(new)][np.cumsum(new) - 1]
+            later = ord_ != least
+            yield from hits([x[later] for x in cols], name[later] >> 8 & 255)
+            tie = ~new & ~later
+            tie[:n_held] = False
+            yield from told(TIE, [x[tie] for x in cols])
+            cols = [x[new] for x in cols]
+            k = cols[0] >> 16
             cut = int(np.searchsorted(k, k[-1]))
-            if cut:
-                yield from settled(t.slice(0, cut))
-            held = once(t.slice(cut).combine_chunks())[0]
-            if held.num_rows > crowded:
+            yield from settled([x[:cut] for x in cols])
+            held = [x[cut:] for x in cols]
+            if len(held[0]) > crowded:
                 yield from settled(held)
-                split, held = int(k[-1]), None
-        if held is not None:
-            yield from settled(held)
+                split, held = int(k[-1]), none
+        yield from settled(held)
 
     k = F.shiftright("name", 16)
-    return found.repartition(k).sortWithinPartitions("name", "h", "ord").mapInArrow(run, "name long, h long, ord long, row long, at long, fate int")
+    return found.repartition(k).sortWithinPartitions("name", "h", "ord").mapInArrow(run, f"fate int, {_ROW}")
 
 
 def _fetched(jobs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """``(name, h, ord, segment)`` of the segments to sort, cut out of the texts that hold them."""
+    """``(name, h, ord, row, at, segment)`` of the segments to sort, cut out of the texts that hold them.
+
+    All columns of ``texts`` are taken and all its rows kept until Python reads
+    them: its exchange is then the one of the last join, and is made once.
+    """
     by_text = jobs.groupBy(F.coalesce("row", "ord").alias("_row")).agg(F.collect_list(F.struct("name", "h", "ord", "at")).alias("jobs"))  # of one text: no more than its windows
+    names = ["name", "h", "ord", "row", "at", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             cut: list[bytes] = []
-            for raw, jobs in zip(batch.column(0), batch.column(1)):
+            for row, raw, jobs in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if not jobs.is_valid:
+                    continue
                 raw, jobs = unpack(raw.as_py()), jobs.values
                 name, h, low, at = (jobs.field(i).to_numpy() for i in range(4))
-                at = at >> 1
-                cut += [raw[a:b] for a, b in zip(at.tolist(), (at + (name >> 8 & 255) + window - 1).tolist())]
-                for c, x in zip(cols, (name, h, low)):
+                first = at >> 1
+                cut += [raw[a:b] for a, b in zip(first.tolist(), (first + (name >> 8 & 255) + window - 1).tolist())]
+                for c, x in zip(cols, (name, h, low, np.full(len(at), row), at)):
                     c.append(x)
             if cut:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(cut, pa.binary())], ["name", "h", "ord", "segment"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(cut, pa.binary())], names)
 
-    return texts.join(by_text, texts.row == F.col("_row")).select("raw", "jobs").mapInArrow(run, "name long, h long, ord long, segment binary")
+    return texts.join(by_text, texts.row == F.col("_row"), "left").select("row", "doc_id", "raw", "jobs").mapInArrow(run, f"{_ROW}, segment binary")
 
 
 def shared_windows(segments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,47 +288,69 @@ def earliest(segments: list[bytes], cores: list[int], least: np.ndarray, window:
 
 
 def _resolved(segments: DataFrame, window: int) -> DataFrame:
-    """``(name, h, parts)`` of each segment, sorted with the others of its minimizer."""
+    """``(name, h, row, at, skip, n)``: ``n`` windows, ``skip`` after ``at``, of a segment's row are in an earlier document, as its minimizer's sorted segments tell."""
+    names_of = ["name", "h", "row", "at", "skip", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())]))
-        names: list[int] = []
-        hashes: list[int] = []
-        least: list[int] = []
-        texts: list[bytes] = []
+        held: list[tuple[int, int, int, int, int, bytes]] = []
         size, last = 0, None
 
         def settle() -> pa.RecordBatch:
-            rows = [[{"a": 0, "b": len(x) - window + 1, "low": low}] for x, low in zip(texts, least)]
+            texts, out = [x[5] for x in held], []
             a, b = shared_windows(texts, window)
             few = np.flatnonzero(b > a).tolist()
             if few:
                 cut = [texts[i][a[i] : b[i] + window - 1] for i in few]
-                for i, parts in zip(few, earliest(cut, [(names[i] & 255) - a[i] for i in few], np.array([least[i] for i in few]), window)):
-                    ends = [(0, int(a[i]), least[i]), *((int(a[i]) + x, int(a[i]) + y, low) for x, y, low in parts), (int(b[i]), len(texts[i]) - window + 1, least[i])]
-                    rows[i] = [{"a": x, "b": y, "low": low} for x, y, low in ends if x < y]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hashes, pa.int64()), pa.array(rows, kind)], ["name", "h", "parts"])
+                for i, parts in zip(few, earliest(cut, [(held[i][0] & 255) - a[i] for i in few], np.array([held[i][2] for i in few]), window)):
+                    name, h, ord_, row, at, _ = held[i]
+                    spans: list[list[int]] = []
+                    for x, y, low in parts:
+                        if low < ord_ and spans and spans[-1][1] == x:
+                            spans[-1][1] = y
+                        elif low < ord_:
+                            spans.append([x, y])
+                    out += [(name, h, row, at, int(a[i]) + x, y - x) for x, y in spans]
+            cols = list(zip(*out)) if out else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names_of)
 
         for batch in batches:
-            for name, h, low, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size > CHUNK and name >> 16 != last:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if size > CHUNK and x[0] >> 16 != last:
                     yield settle()
-                    names, hashes, least, texts, size = [], [], [], [], 0
-                last = name >> 16
-                names.append(name), hashes.append(h), least.append(low), texts.append(x)
-                size += len(x)
-        if names:
+                    held, size = [], 0
+                last = x[0] >> 16
+                held.append(x)
+                size += len(x[5])
+        if held:
             yield settle()
 
-    return segments.repartition(F.shiftright("name", 16)).sortWithinPartitions("name", "h").mapInArrow(run, "name long, h long, parts array<struct<a:int,b:int,low:long>>")
+    return segments.repartition(F.shiftright("name", 16)).sortWithinPartitions("name", "h").mapInArrow(run, "name long, h long, row long, at long, skip long, n long")
+
+
+def _equal_too(raw: bytes, hit: np.ndarray, among: np.ndarray, window: int) -> None:
+    """Windows of ``raw`` that equal one of ``among`` (both by place) are hit too."""
+    data, grams = np.frombuffer(raw, np.uint8), Grams(window, window)
+    view = np.lib.stride_tricks.sliding_window_view(data, window)
 
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        for a in range(0, len(hit), BLOCK):
+            yield a, grams.hashes(data[a : min(a + BLOCK, len(hit)) + window - 1])
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``(ord, row, doc_id, raw)``: ord is the doc_id, null the smallest; row numbers the rows where ids repeat, else it is null."""
+    at = np.flatnonzero(among)
+    known, first = np.unique(np.concatenate([h[among[a : a + len(h)]] for a, h in blocks()]), return_index=True)
+    for a, h in blocks():
+        i = np.searchsorted(known, h).clip(max=len(known) - 1)
+        same = np.flatnonzero(known[i] == h)
+        same = same[(view[a + same] == view[at[first[i[same]]]]).all(1)]
+        hit[a + same] = True
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(ord, row, doc_id, raw)`` and whether ids repeat: ord is the doc_id, null the smallest; row numbers the rows where ids repeat, else it is null."""
     rows = docs.select(id_key(F.col("doc_id")).alias("ord"), F.lit(None).cast("long").alias("row"), "doc_id", utf8(F.col("text")).alias("raw"))
     if docs.groupBy(id_key(F.col("doc_id")).alias("k")).count().where("count > 1").limit(1).count():
-        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    return rows
+        return written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), True
+    return rows, False
 
 
 def without_repeats(docs: DataFrame, window: int = 50, crowded: int = CROWDED) -> DataFrame:
@@ -304,7 +367,7 @@ def without_repeats(docs: DataFrame, window: int = 50, crowded: int = CROWDED) -
     """
     if not 2 <= window <= 250:
         raise ValueError("a window has 2 to 250 bytes")
-    rows = _rows(docs)
+    rows, repeated = _rows(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def keys_of(raws) -> Iterator[np.ndarray]:
@@ -314,40 +377,51 @@ def without_repeats(docs: DataFrame, window: int = 50, crowded: int = CROWDED) -
 
     held = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("raw"), keys_of))  # 32 MB
     hot = np.empty(0, np.int64)
-    judged = written(_judged(_occurrences(rows, window, held, hot, once=True), crowded), "judged")
+    judged = written(_judged(_occurrences(rows, window, held, hot), crowded), "judged")
     split = judged.where(F.col("fate") == SPLIT).select(F.shiftright("name", 16).alias("k")).distinct()
     if split.limit(1).count():
         # each has more than ``crowded`` different segments: one for 3 MB of text at most
         hot = np.array([r[0] for r in split.collect()], np.int64)
-        judged = written(_judged(_occurrences(rows, window, held, hot, once=True), crowded), "judged")
+        judged = written(_judged(_occurrences(rows, window, held, hot), crowded), "judged")
     texts = packed(rows.select(F.coalesce("row", "ord").alias("ord"), "doc_id", "raw")).withColumnRenamed("ord", "row")
-    sorted_ = _resolved(_fetched(judged.where(F.col("fate") == SORT), texts, window), window)
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.shiftright("name", 8).bitwiseAND(255).cast("int").alias("b"), F.col("ord").alias("low")))
-    parts = judged.where(F.col("fate") == ALONE).select("name", "h", whole.alias("parts")).unionByName(sorted_).select(F.col("name").alias("_name"), F.col("h").alias("_h"), "parts")
-    hits = _occurrences(rows, window, held, hot, once=False).join(parts, (F.col("name") == F.col("_name")) & (F.col("h") == F.col("_h")))
-    own = F.filter("parts", lambda p: p["low"] < F.col("ord"))
-    start = F.shiftright("at", 1)
-    spans = F.transform(own, lambda p: F.struct((start + p["a"]).cast("int").alias("a"), (start + p["b"]).cast("int").alias("b")))
-    gone = hits.select(F.coalesce("row", "ord").alias("_row"), spans.alias("spans")).where(F.size("spans") > 0).groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    jobs = judged.where(F.col("fate") == SORT)
+    found = _resolved(_fetched(jobs, texts, window), window)
+    ties = judged.where(F.col("fate") == TIE)
+    if repeated and ties.limit(1).count():
+        found = written(found, "sorted")
+        also = ties.select(F.col("name").alias("_name"), F.col("h").alias("_h"), F.col("row").alias("_row"), F.col("at").alias("_at"))
+        also = also.join(found, (F.col("name") == F.col("_name")) & (F.col("h") == F.col("_h"))).select("name", "h", F.col("_row").alias("row"), F.col("_at").alias("at"), "skip", "n")
+        found = found.unionByName(also)
+    hits = judged.where(F.col("fate") == HIT).select("row", "at", F.col("h").alias("n")).unionByName(found.select("row", (F.col("at") + F.col("skip") * 2).alias("at"), "n"))
+    gone = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+
+        def marked(size: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            edge = np.zeros(size + 1, np.int32)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + n, -1)
+            return np.cumsum(edge[:size]) > 0
+
         for batch in batches:
             out = []
-            for raw, spans in zip(batch.column(1), batch.column(2)):
+            for raw, spans in zip(batch.column(2), batch.column(3)):
                 raw = unpack(raw.as_py())
                 n = len(raw)
                 removed = runs_ = 0
                 if spans.is_valid and len(spans):
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, spans.values.field("a").to_numpy(), 1)
-                    np.add.at(edge, spans.values.field("b").to_numpy() + (window - 1), -1)
-                    gone = np.cumsum(edge[:n]) > 0
+                    at, times = (spans.values.field(i).to_numpy() for i in range(2))
+                    hit = marked(n - window + 1, at >> 1, times)
+                    if (at & 1).any():
+                        _equal_too(raw, hit, marked(len(hit), at[at & 1 == 1] >> 1, times[at & 1 == 1]), window)
+                    turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+                    gone = marked(n, turn[::2], turn[1::2] - turn[::2] + (window - 1))
                     removed, runs_ = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 out.append((n, removed, runs_, raw))
             cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = texts.join(gone, texts.row == F.col("_row"), "left").select("doc_id", "raw", "spans")
+    both = texts.join(gone, texts.row == F.col("_row"), "left").select("row", "doc_id", "raw", "spans")
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

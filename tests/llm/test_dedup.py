@@ -191,6 +191,28 @@ def test_byte_strings_of_crowded_minimizers(spark, crowded):
     assert got == want and sum(x[1] > 0 for x in got.values()) > 30
 
 
+def test_byte_strings_within_a_text_and_of_rows_that_share_an_id(spark):
+    """A text that holds a segment many times; ids that repeat, so that several rows wait for one sort."""
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, other = letters(90), letters(400)
+    rows = [(9, letters(30).join([core] * 40)), (3, "x" + core[4:80] + "y"), (9, core + letters(8)), (9, core + "zz"), (7, other * 3), (7, other * 3), (2, letters(5) + other[100:300]), (12, core * 2 + other), (None, other[350:]), (None, other[350:])]
+    first = {}
+    for d, t in rows:
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(first.get(t[j : j + 50], 99), -1 if d is None else d)
+    want = []
+    for d, t in rows:
+        gone = [False] * len(t)
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < (-1 if d is None else d):
+                gone[j : j + 50] = [True] * 50
+        want.append((-1 if d is None else d, sum(gone), "".join(c for c, g in zip(t, gone) if not g)))
+    for parts, crowded in ((1, 50_000), (4, 50_000), (4, 2)):
+        got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 50, crowded).collect()
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_removed, bytes(x.kept).decode()) for x in got) == sorted(want)
+
+
 def brute_words(rows, window):
     seen, out = set(), {}
     for d, t in sorted(rows):
