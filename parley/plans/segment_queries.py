@@ -222,21 +222,25 @@ def zip_join(spark, sf_dir):
 # windows
 
 
-_TURN_ISLANDS = """i AS (SELECT conv_id, turn, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM
-(SELECT conv_id, turn, coalesce((turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) > 1)::INT, 0) AS b FROM conversations WHERE length(text) % 3 <> 0))"""
+_TURN_ISLANDS = """t AS (SELECT conv_id, length(text) % 3 AS topic, turn FROM conversations),
+i AS (SELECT conv_id, topic, turn, sum(b) OVER (PARTITION BY conv_id, topic ORDER BY turn) AS island FROM
+(SELECT *, coalesce((turn - lag(turn) OVER (PARTITION BY conv_id, topic ORDER BY turn) > 1)::INT, 0) AS b FROM t))"""
 
 
-@query(f"WITH {_TURN_ISLANDS} SELECT conv_id, turn, island::BIGINT AS island FROM i")
+def _topic_turns(spark, sf_dir):
+    """All turns, each with a topic; those of one topic are not in a row."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", (F.length("text") % 3).cast("long").alias("topic"), "turn")
+
+
+@query(f"WITH {_TURN_ISLANDS} SELECT conv_id, topic::BIGINT AS topic, turn, island::BIGINT AS island FROM i")
 def islands_by_turn(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where(F.length("text") % 3 != 0).select("conv_id", "turn")
-    return S.islands(c, ["conv_id"], "turn")
+    return S.islands(_topic_turns(spark, sf_dir), ["conv_id", "topic"], "turn")
 
 
-@query(f"WITH {_TURN_ISLANDS}, c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, island) AS n, max(island) OVER (PARTITION BY conv_id) AS last FROM i) SELECT conv_id, turn, island::BIGINT AS island FROM c WHERE last = 0 OR island < last OR n > 1")
+@query(f"WITH {_TURN_ISLANDS}, c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, topic, island) AS n, max(island) OVER (PARTITION BY conv_id, topic) AS last FROM i) SELECT conv_id, topic::BIGINT AS topic, turn, island::BIGINT AS island FROM c WHERE last = 0 OR island < last OR n > 1")
 def islands_by_turn_compat(spark, sf_dir):
     """The quirk kept: a trailing row after a break is dropped."""
-    c = _t(spark, sf_dir, "conversations").where(F.length("text") % 3 != 0).select("conv_id", "turn")
-    return S.islands(c, ["conv_id"], "turn", compat=True)
+    return S.islands(_topic_turns(spark, sf_dir), ["conv_id", "topic"], "turn", compat=True)
 
 
 @query("""WITH g AS (SELECT user_id, ts, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 120000000)::INT, 0) AS b FROM events),
