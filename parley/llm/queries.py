@@ -78,4 +78,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed, pieces
+
+    parts = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return packed(parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup, op13_best_fit_packing)}
