@@ -112,4 +112,37 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM b
 """
 
-SQL = {"op6_line_dedup": OP6, "op8_warc_archive": OP8, "op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+ng AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+nl AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(ng.total, 0) + 5 * v.v) AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+         LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+         LEFT JOIN ng ON ng.lang = g.lang AND ng.source = g.source),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (max(nl.total) + 5 * max(v.v)) AS q
+  FROM c JOIN nl USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+       LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {"op12_source_divergence": OP12, "op6_line_dedup": OP6, "op8_warc_archive": OP8, "op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
