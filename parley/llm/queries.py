@@ -78,6 +78,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000).withColumn("rank", F.col("rank").cast("long"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
@@ -93,4 +99,4 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup, op12_source_divergence, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op4_secret_scan, op5_toxicity, op6_line_dedup, op7_suffix_array_dedup, op8_warc_archive, op9_benchmark_decontamination, op10_substring_dedup, op11_phrase_collocations, op12_source_divergence, op13_best_fit_packing)}

@@ -112,6 +112,31 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM b
 """
 
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (
+  SELECT lang, list_slice(w, i, i + m - 1) AS g, count(*) AS a
+  FROM w, unnest(range(1, 6)) AS x(m), unnest(range(1, len(w) - m + 2)) AS y(i) GROUP BY lang, g),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, a FROM f WHERE len(g) > 1 AND a >= 100),
+k AS (
+  SELECT c.lang, c.g, c.a, n.n, k, x.a AS l, y.a AS r, (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM c JOIN n USING (lang), unnest(range(1, len(c.g))) AS u(k)
+       JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+gone AS (
+  SELECT DISTINCT b.lang, list_slice(b.g, i, i + m - 1) AS g, b.a
+  FROM c b, unnest(range(2, len(b.g))) AS x(m), unnest(range(1, len(b.g) - m + 2)) AS y(i)),
+o AS (SELECT lang, g, max(a) AS longer FROM gone GROUP BY lang, g),
+z AS (
+  SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, l, r, n, score
+  FROM s LEFT JOIN o ON s.lang = o.lang AND s.g = o.g WHERE o.longer IS NULL OR 100 * o.longer < 100 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z QUALIFY rank <= 2000
+"""
+
 OP12 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -145,4 +170,4 @@ z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 50
 """
 
-SQL = {"op12_source_divergence": OP12, "op6_line_dedup": OP6, "op8_warc_archive": OP8, "op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
+SQL = {"op11_phrase_collocations": OP11, "op12_source_divergence": OP12, "op6_line_dedup": OP6, "op8_warc_archive": OP8, "op10_substring_dedup": OP10, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_benchmark_decontamination": OP9}
