@@ -22,6 +22,9 @@ TYPES = {
     "op8_warc_archive": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op9_benchmark_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_phrase_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op13_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
 }
 
 
@@ -41,7 +44,7 @@ def rows_of(spark, name):
 
 
 def test_all_are_here():
-    assert set(queries.QUERIES) == set(TYPES) and set(sql.SQL) == set(TYPES) - {f"op{n}_{x}" for n, x in ((1, "simhash_near_dedup"), (4, "secret_scan"), (5, "toxicity"), (7, "suffix_array_dedup"))}
+    assert set(queries.QUERIES) == set(TYPES) and set(sql.SQL) == set(TYPES) - {f"op{n}_{x}" for n, x in ((1, "simhash_near_dedup"), (4, "secret_scan"), (5, "toxicity"), (7, "suffix_array_dedup"), (13, "best_fit_packing"))}
 
 
 @pytest.mark.parametrize("name", sorted(sql.SQL))
