@@ -11,9 +11,9 @@ def ranked(df: DataFrame, group: list[str], *order, name: str = "rank") -> DataF
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
 
 
-def first_of(df: DataFrame, group: list[str], *order) -> DataFrame:
-    """The first row of each group."""
-    return ranked(df, group, *order, name="_first").where("_first = 0").drop("_first")
+def first_of(df: DataFrame, group: list[str], *order, n: int = 1) -> DataFrame:
+    """The first row, or the first ``n``, of each group."""
+    return ranked(df, group, *order, name="_first").where(F.col("_first") < n).drop("_first")
 
 
 def islands(df: DataFrame, group: list[str], order: str, gap: int = 1, compat: bool = False, name: str = "island") -> DataFrame:
