@@ -34,15 +34,26 @@ from ._common import id_key, new_path, utf8, written
 BLOCK_LINES = 3000
 #: Entries of a directory that a lookup of many URLs sends to every task.
 MOST_ENTRIES = 200_000
+#: Ranges that a longer directory is cut into.
+MOST_RANGES = 4096
 _EMPTY = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
 _EMPTY_LINE = _EMPTY.decode("latin-1")
 _PIECE = 1 << 16
 
 
+def header_url(url: str) -> str:
+    """A URL as a record's header can hold it: on one line."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def url_key(url: str | None) -> str:
-    """The URL with its host reversed, lower-cased and without port 80 or 443, fragment and leading www."""
+    """The URL with its host reversed, lower-cased and without port 80 or 443, fragment and leading www.
+
+    The key is that of the URL as it is written, so what is looked up and what was indexed agree.
+    """
     if not url:
         return "-"
+    url = header_url(url)
     try:
         parts = urlsplit(url if "//" in url else "http://" + url)
     except ValueError:  # no URL: its own text is the key
@@ -68,7 +79,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = lambda i: "<urn:page:" + ("none" if i is None else str(i)) + ">"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + header_url(url))
     head.append(f"WARC-Payload-Digest: sha1:{digest_of(payload)}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
@@ -281,12 +292,54 @@ class Index:
         return parse(gzip.decompress(read_range(capture["file"], capture["offset"], capture["length"])))
 
 
+def _met(wanted: DataFrame, directory: DataFrame, ranges: int = MOST_RANGES) -> DataFrame:
+    """``(key, file, offset, length)``: the entries that may hold each key, by a merge of both in order.
+
+    ``ranges`` keys at most, where evenly large parts of the directory begin, are sent to every task.
+    """
+    dealt = directory.select("first").repartitionByRange(ranges, "first").groupBy(F.spark_partition_id()).agg(F.min("first").alias("first"))
+    cuts = sorted(r.first for r in dealt.collect())[1:]
+    bucket = lambda x: bisect_right(cuts, x)
+    schema = "bucket int, key string, is_key int, last string, file string, offset long, length long"
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(bucket(k), k, 1, None, None, None, None) for k in batch.column(0).to_pylist()])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(b, first, 0, last, *at) for first, last, *at in zip(*(c.to_pylist() for c in batch.columns)) for b in range(bucket(first), bucket(last) + 1)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        for batch in batches:
+            out = []
+            for b, key, is_key, last, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != now:
+                    now, open_ = b, []
+                open_ = [e for e in open_ if e[0] >= key]
+                if is_key:
+                    out += [(key, *e[1:]) for e in open_]
+                else:
+                    open_.append((last, *at))
+            cols = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
+
+    both = wanted.mapInArrow(keys, schema).unionByName(directory.select("first", "last", "file", "offset", "length").mapInArrow(entries, schema))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "key", "is_key").mapInArrow(merge, "key string, file string, offset long, length long")
+
+
 def lookup(spark: SparkSession, index: str, urls: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Captures of many URLs (a column ``url``).
 
     Each key's blocks are found by halving in the sparse directory, of which
-    every task holds a copy while it has ``most_entries`` entries at most (beyond
-    that Spark joins the two by range).  A block's range is read once, whatever
+    every task holds a copy while it has ``most_entries`` entries at most; beyond
+    that keys and entries are dealt by ranges and merged in order.  A block's range is read once, whatever
     the number of its keys, and searched by halving for each.
     """
 
@@ -314,7 +367,7 @@ def lookup(spark: SparkSession, index: str, urls: DataFrame, most_entries: int =
 
         found = wanted.mapInArrow(blocks, "key string, file string, offset long, length long")
     else:
-        found = wanted.join(directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "file", "offset", "length")
+        found = _met(wanted, directory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, names = None, [], []
@@ -324,7 +377,11 @@ def lookup(spark: SparkSession, index: str, urls: DataFrame, most_entries: int =
                 if at != last:
                     last, rows = at, _block_lines(gzip.decompress(read_range(*at)))
                     names = [r[0] for r in rows]
-                out += [{"key": k, "date": d, **x} for k, d, x in rows[bisect_left(names, key) : bisect_right(names, key)]]
+                for a in range(bisect_left(names, key), bisect_right(names, key)):
+                    out.append({"key": rows[a][0], "date": rows[a][1], **rows[a][2]})
+                    if len(out) == 5000:  # many captures may share a key
+                        yield pa.RecordBatch.from_pylist(out, schema=_schema())
+                        out = []
             yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
     return found.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, _CAPTURE)
@@ -364,10 +421,14 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     """``pages`` written as archives in the shared folder and indexed; then each page's URL is looked up and its records are read back.
 
     Nulls, malformed URLs, repeated rows and empty tables are as in ``write``; a
-    payload of any length is a record of its own.
+    payload of any length is a record of its own.  As many records come back as pages went in, or an error is raised.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, f"{path}/archives", least)
     build_index(spark, f"{path}/archives", f"{path}/index")
-    return read_records(written(lookup(spark, f"{path}/index", pages), "captures"))
+    found = written(lookup(spark, f"{path}/index", pages), "captures")
+    there, back = pages.count(), found.count()
+    if there != back:
+        raise ValueError(f"{there} pages were written, and the index finds {back} records")
+    return read_records(found)

@@ -329,3 +329,32 @@ def test_queries_have_no_limits():
     from parley.llm import queries, sql
 
     assert set(sql.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+ODD_URLS = ["http://a.com/x\ny", "http://c.com/\r\nd", "\n", "\r", "http://b.com/\ta", " http://b.com/ ", "http://b.com/%0A", "http://[bad", "", None, "http://d.com:99999/", "http://e.com/\x85 z", "http://www.A.com:80/x", "urn:x\n", "http://a.com/x%0Ay"]
+
+
+@pytest.mark.parametrize("by_ranges", [False, True])
+def test_pages_with_odd_urls_come_back(spark, by_ranges, monkeypatch):
+    """Line ends, tabs and blanks in URLs; long directories are merged by range, with the same captures."""
+    if by_ranges:
+        monkeypatch.setattr(warc.lookup, "__defaults__", (0,))
+        monkeypatch.setattr(warc.build_index, "__defaults__", tuple(3 if x == warc.BLOCK_LINES else x for x in warc.build_index.__defaults__))
+    rows = [(i, u, f"<p>{i % 7}</p>") for i, u in enumerate(ODD_URLS * 4 + [f"http://h{i}.org/p" for i in range(40)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.archived(pages).collect()}
+    assert set(got) == {r[0] for r in rows}
+    last = {h: max(i for i, _, g in rows if g == h) for _, _, h in rows}
+    for i, url, html in rows:
+        assert got[i].refers_to == (None if last[html] == i else last[html]) and got[i].digest == warc.digest_of(html.encode())
+        assert got[i].url == (warc.header_url(url) if url else None)
+
+
+def test_keys_meet_their_blocks(spark):
+    rng = random.Random(4)
+    names = sorted("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(300))
+    blocks = [(names[i], names[min(i + 4, 299)], f"f{i}", i, 1) for i in range(0, 300, 5)]
+    wanted = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(0, 6))) for _ in range(300)})
+    d = spark.createDataFrame(blocks, "first string, last string, file string, offset long, length long").repartition(3)
+    got = sorted(tuple(r) for r in warc._met(spark.createDataFrame([(k,) for k in wanted], "key string"), d, ranges=8).collect())
+    assert got == sorted((k, f, o, n) for k in wanted for first, last, f, o, n in blocks if first <= k <= last)
