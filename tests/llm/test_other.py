@@ -358,3 +358,75 @@ def test_keys_meet_their_blocks(spark):
     d = spark.createDataFrame(blocks, "first string, last string, file string, offset long, length long").repartition(3)
     got = sorted(tuple(r) for r in warc._met(spark.createDataFrame([(k,) for k in wanted], "key string"), d, ranges=8).collect())
     assert got == sorted((k, f, o, n) for k in wanted for first, last, f, o, n in blocks if first <= k <= last)
+
+
+def _slashed(raw):
+    """As a programming language shows bytes: those that are letters stay."""
+    return repr(raw)[2:-1]
+
+
+WRAPPERS = {
+    "percent": lambda t: urllib.parse.quote(t, safe=""),
+    "percent_all": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "base64_url": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    "base64_lines": lambda t: base64.encodebytes(t.encode()).decode().strip(),
+    "base64_crlf": lambda t: "\r\n".join(re.findall(".{1,64}", base64.b64encode(t.encode()).decode())),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "entities": lambda t: "".join({"=": "&equals;", '"': "&quot;", "&": "&amp;", "%": "&percnt;", "\\": "&bsol;"}.get(c, c) for c in t),
+    "numbers": lambda t: "".join(f"&#x{ord(c):x};" for c in t),
+    "gzip_base64": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    "gzip_lines": lambda t: base64.encodebytes(gzip.compress(t.encode(), mtime=0)).decode().strip(),
+    "gzip_percent": lambda t: urllib.parse.quote(gzip.compress(t.encode(), mtime=0), safe=""),
+    "gzip_slashed": lambda t: _slashed(gzip.compress(t.encode(), mtime=0)),
+    "bz2_base64": lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+    "zlib_slashed": lambda t: _slashed(zlib.compress(t.encode())),
+    "utf16_base64": lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+    "utf16be_base64": lambda t: base64.b64encode(t.encode("utf-16-be")).decode(),
+}
+
+
+def _wrapped(names):
+    t = SECRET
+    for n in names:
+        t = WRAPPERS[n](t)
+    return f"Some words: {t} and more.\n\nThe end", 12, 12 + len(t)
+
+
+def _lost(all_names):
+    lost = []
+    for names in all_names:
+        text, a, b = _wrapped(names)
+        spans = [(s, e) for s, k, e in secrets.find(text)[1] if secrets.KINDS[k] == "assign"]
+        if not any(a - 8 <= s and e <= b + 8 for s, e in spans):
+            lost.append(names)
+    return lost
+
+
+def test_every_nesting_is_unwrapped():
+    """All nestings of all wrappers to depth 2, and many of depth 3 and 4."""
+    rng = random.Random(9)
+    names = sorted(WRAPPERS)
+    assert _lost([(a,) for a in names]) == []
+    assert _lost([(a, b) for a in names for b in names]) == []
+    assert _lost([tuple(rng.choice(names) for _ in range(n)) for n in (3, 3, 4) for _ in range(150)]) == []
+
+
+def test_wrapped_secrets_keep_their_place():
+    """A secret that crosses a line end of its base64 lies where its own characters are."""
+    text = "x" * 5 + "\n" + base64.encodebytes((b"plain words " * 4 + SECRET.encode() + b" more words" * 4)).decode()
+    (s, e), = [(s, e) for s, k, e in secrets.find(text)[1] if secrets.KINDS[k] == "assign"]
+    body = text.index("cGxh")
+    assert s - body >= 48 * 4 // 3 - 2 and e < len(text) - 40 and "\n" in text[s:e]
+
+
+def test_layers_too_large_to_hold_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 1000)
+    rng = random.Random(2)
+    filler = lambda n: " ".join(rng.choice(["ab", "cd", "efg"]) for _ in range(n))
+    inner = base64.b64encode(gzip.compress((filler(20) + " " + SECRET).encode())).decode()
+    text = base64.b64encode(gzip.compress((filler(9000) + " " + inner + " " + filler(9000)).encode())).decode()
+    for most in (1 << 20, 2000):
+        _, spans, unread = secrets.find("x " + text, most_unpacked=most)
+        assert any(secrets.KINDS[k] == "assign" for _, k, _ in spans) and (unread > 0) == (most == 2000)
