@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import chunking, tagging, topics
+from ..operators import edges as E
 from ..sources.shared import table, written
 from .pipeline_queries import _sentences
 
@@ -113,3 +114,10 @@ def cluster_influence(spark, sf_dir):
     edges = V.cosine_pairs(v, "node", "vec", ["cluster"], loops=False, least=0.25).where("weight > 0.25")
     found = topics.influential_nodes(v, edges, least=6, rounds=10)
     return found.select("cluster", "node", F.round("inner_rank", 6).alias("inner_rank"), F.round("rank", 6).alias("rank"))
+
+
+@query()
+def incremental_q3_prune(spark, sf_dir):
+    """The sentence graph of each conversation, pruned while it is built."""
+    pairs = V.cosine_pairs(_sentences(spark, sf_dir), "node", "vec", ["meeting"])
+    return E.incremental_quartile_prune(pairs, ["meeting"])

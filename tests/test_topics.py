@@ -219,3 +219,37 @@ def test_quartiles_of_each_group(spark):
     for g in range(2):
         one = spark.createDataFrame([r[1:] for r in rows if r[0] == g], "src int, dst int, weight double")
         assert {x[1:] for x in got if x[0] == g} == {(r.src, r.dst) for r in edges.quartile_prune(one).collect()}
+
+
+def replayed(rows):
+    """Pruning while building, one node after the other, over a table of neighbours."""
+    near, brought = {}, {}
+    for a, b, w in rows:
+        brought.setdefault(a, []).append((b, w))
+    for a in sorted({x for r in rows for x in r[:2]}):
+        near.setdefault(a, {})
+        for b, w in brought.get(a, []):
+            near[a][b] = w
+            near.setdefault(b, {})[a] = w
+        cut = np.percentile(sorted(near[a].values(), reverse=True), 75) if near[a] else 0
+        for b in [b for b, w in near[a].items() if w < cut]:
+            del near[a][b]
+            near[b].pop(a, None)
+    return {(a, b, w) for a in near for b, w in near[a].items() if a <= b}
+
+
+def test_pruning_while_building(spark):
+    rng = random.Random(8)
+    graphs = {g: [(i, j, round(rng.random(), 2)) for i in range(n) for j in range(i + (not loops), n) if rng.random() < share] for g, (n, share, loops) in enumerate([(12, 1, True), (30, 1, True), (9, 1, False), (25, 0.4, True), (2, 1, True), (40, 0.2, False)])}
+    e = spark.createDataFrame([(g, *r) for g, rows in graphs.items() for r in rows], "g int, src long, dst long, weight double").repartition(5)
+    got = {tuple(r) for r in edges.incremental_quartile_prune(e, ["g"]).collect()}
+    assert got == {(g, *r) for g, rows in graphs.items() for r in replayed(rows)}
+    assert edges.incremental_quartile_prune(e.limit(0), ["g"]).count() == 0
+
+
+def test_pruning_of_every_conversation(spark):
+    from parley.functions import vectors as V
+
+    pairs = V.cosine_pairs(_sentences(spark, SF), "node", "vec", ["meeting"]).toPandas()
+    got = {(r.meeting, r.src, r.dst, r.weight) for r in topic_queries.incremental_q3_prune(spark, SF).collect()}
+    assert got == {(m, *r) for m, p in pairs.groupby("meeting") for r in replayed(list(p[["src", "dst", "weight"]].itertuples(index=False, name=None)))}
