@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block in block-by-block similarity joins; a task holds two blocks.
@@ -92,44 +90,36 @@ def cosine_pairs(df: DataFrame, id_: str = "id", vec: str = "vec", group: list[s
     return tasks.groupBy(*group, "i", "j").applyInPandas(run, schema)
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int = 10, qid: str = "qid", iid: str = "iid", vec: str = "vec", digits: int = 6, block: int = 4096, most_bytes: int = 64 << 20) -> DataFrame:
+def knn(queries: DataFrame, items: DataFrame, k: int = 10, qid: str = "qid", iid: str = "iid", vec: str = "vec", digits: int = 6, block: int = BLOCK, most_bytes: int = 64 << 20) -> DataFrame:
     """The k items most similar to each query: ``(qid, iid, sim, rank)``, ties to the smaller item id.
 
-    Items are taken in blocks of a bounded size; a block is sent to every task
-    and each query keeps its best k of it, so what is shuffled is k rows for each
-    query and block.
+    Queries are dealt into blocks of about ``block`` rows, items into blocks of
+    about ``most_bytes``; each pair of blocks is one task of a matrix product, in
+    which every query keeps its best k.  What is shuffled after that is k rows for each query and block of items.
     """
     n, width = items.agg(F.count("*"), F.max(F.size(vec))).first()
-    blocks = max(1, -(-int(n) * max(int(width or 1), 1) * 8 // most_bytes))
-    sc = queries.sparkSession.sparkContext
+    parts, rows = max(1, -(-int(n) * max(int(width or 1), 1) * 8 // most_bytes)), max(1, -(-queries.count() // block))
     q_type, i_type = queries.schema[qid].dataType.simpleString(), items.schema[iid].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        part = items.select(iid, vec).where(F.pmod(F.xxhash64(iid), F.lit(blocks)) == b) if blocks > 1 else items.select(iid, vec)
-        held = part.toPandas().sort_values(iid)  # most_bytes at most
-        if not len(held):
-            continue
-        shared = sc.broadcast((held[iid].to_numpy(), _unit(held[vec])))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            for pdf in frames:
-                for first in range(0, len(pdf), 512):
-                    own = pdf.iloc[first : first + 512]
-                    if not len(own):
-                        continue
-                    w = np.round(_unit(own[vec]) @ m.T, digits) + 0.0
-                    top = np.argsort(-w, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"qid": np.repeat(own[qid].to_numpy(), top.shape[1]), "iid": ids[top].ravel(), "sim": np.take_along_axis(w, top, 1).ravel()})
-
-        found = queries.select(qid, vec).mapInPandas(run, f"qid {q_type}, iid {i_type}, sim double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"qid {q_type}, iid {i_type}, sim double, rank int")
-    from pyspark.sql import Window
-
+    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("_v"), dealt(qid, rows).alias("_q"), every(parts).alias("_i"))
+    right = items.select(F.col(iid).alias("iid"), F.col(vec).alias("_v"), dealt(iid, parts).alias("_i"), every(rows).alias("_q"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(b):
+            b = b.sort_values("iid", kind="stable")
+            ids, m = b["iid"].to_numpy(), _unit(b["_v"])
+            for first in range(0, len(a), 512):
+                own = a.iloc[first : first + 512]
+                w = np.round(_unit(own["_v"]) @ m.T, digits) + 0.0
+                top = np.argsort(-w, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"qid": np.repeat(own["qid"].to_numpy(), top.shape[1]), "iid": ids[top].ravel(), "sim": np.take_along_axis(w, top, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "iid": [], "sim": []})
+
+    found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(run, f"qid {q_type}, iid {i_type}, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "iid"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 __all__ = ["angular", "cosine", "cosine_pairs", "dot", "knn", "mean_vectors", "norm"]

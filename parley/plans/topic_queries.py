@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import chunking, tagging, topics
+from ..operators import chunking, punkt, tagging, topics
 from ..operators import edges as E
 from ..sources.shared import table, written
 from .pipeline_queries import _sentences
@@ -121,3 +121,15 @@ def incremental_q3_prune(spark, sf_dir):
     """The sentence graph of each conversation, pruned while it is built."""
     pairs = V.cosine_pairs(_sentences(spark, sf_dir), "node", "vec", ["meeting"])
     return E.incremental_quartile_prune(pairs, ["meeting"])
+
+
+@query()
+def punkt_abbreviations(spark, sf_dir):
+    """Words that the documents of each language show to be abbreviations."""
+    return punkt.learn(table(spark, sf_dir, "documents").select("lang", "text")).abbreviations.select("lang", "type", F.round("score", 6).alias("score"))
+
+
+@query()
+def punkt_sentences(spark, sf_dir):
+    """The sentences of every document."""
+    return punkt.sentences(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
