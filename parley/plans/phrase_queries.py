@@ -118,12 +118,16 @@ def rank_overlap(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id")
 def context_between_calls(spark, sf_dir):
-    """A table of users kept between calls: saved, read, extended by a later call's rows, and read again."""
+    """Users kept between three calls: each brings the users of a third of the hours, adds them to what is known of them, and saves."""
     root = new_path(spark, "artifacts")
-    e = table(spark, sf_dir, "events")
-    whole = e.groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
-    first = artifacts.cached(spark, root, "users", lambda: whole.withColumn("n", F.lit(0).cast("long")))
-    return artifacts.extended(spark, root, "users", first.drop("n", "last").join(whole, "user_id"), ["user_id"])
+    e = table(spark, sf_dir, "events").withColumn("call", F.pmod(F.hour("ts"), F.lit(3)))
+    for call in range(3):
+        new = e.where(F.col("call") == call).groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+        if artifacts.versions(spark, root, "users"):
+            old = artifacts.load(spark, root, "users")
+            new = new.unionByName(old.join(new.select("user_id"), "user_id", "left_semi")).groupBy("user_id").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+        users = artifacts.extended(spark, root, "users", new, ["user_id"])
+    return users
 
 
 @query("""WITH c AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT label, i, avg(v[i]) AS x FROM c, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY label, i), m AS (SELECT label, list(x ORDER BY i) AS v FROM d GROUP BY label),

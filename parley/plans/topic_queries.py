@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import chunking, punkt, tagging, topics
+from ..operators import chunking, minds, punkt, tagging, topics
 from ..operators import edges as E
-from ..sources.shared import table, written
+from ..sources.shared import new_path, table, written
 from .pipeline_queries import _sentences
 
 QUERIES: dict = {}
@@ -133,3 +133,26 @@ def punkt_abbreviations(spark, sf_dir):
 def punkt_sentences(spark, sf_dir):
     """The sentences of every document."""
     return punkt.sentences(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
+def _enrichment_sql() -> str:
+    sql = "WITH v AS (SELECT vec_id AS entity, embedding::DOUBLE[] AS vec, label AS community FROM embeddings), k0 AS (SELECT entity, community, 0 AS call FROM v WHERE entity % 10 <> 0)"
+    for t in (1, 2):
+        sql += f""", n{t} AS (SELECT a.entity, k.community, row_number() OVER (PARTITION BY a.entity ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.entity) AS r
+FROM v a, k{t - 1} k JOIN v b ON b.entity = k.entity WHERE a.entity % 20 = {10 * (t - 1)}),
+k{t} AS (SELECT * FROM k{t - 1} UNION ALL SELECT entity, community, {t} FROM (SELECT entity, community, count(*) AS n, min(r) AS best FROM n{t} WHERE r <= 10 GROUP BY entity, community
+QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, best) = 1) WHERE n >= 2)"""
+    return sql + " SELECT k2.entity, k2.community, call, CASE WHEN call > 0 THEN (SELECT count(*) FROM k2 x WHERE x.community = k2.community AND x.call > 0) ELSE 0 END AS total FROM k2"
+
+
+@query(_enrichment_sql())
+def mind_enrichment(spark, sf_dir):
+    """Entities placed in communities by two calls, each of which also mentions known ones; the second builds on the first."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity"), F.col("embedding").alias("vec"), F.col("label").alias("community"))
+    root, old = new_path(spark, "minds"), F.col("entity") % 10 != 0
+    state = minds.seed(spark, root, v.where(old), v.where(old))
+    for call in (1, 2):
+        state = minds.enrich(spark, root, v.where((F.col("entity") % 20 == 10 * (call - 1)) | (F.col("entity") % 10 == 5)), call)
+    of = F.when(old, 0).when(F.col("entity") % 20 == 0, 1).otherwise(2)
+    rows = state.table("communities").withColumn("call", of).join(state.table("counters").select("community", "total"), "community", "left")
+    return rows.select("entity", "community", "call", F.when(F.col("call") > 0, F.col("total")).otherwise(0).alias("total"))
