@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from ..functions import vectors as V
 from ..sources.shared import written
 from . import communities as C
 from . import edges as E
+from . import intervals
 from . import sequences as S
 
 
@@ -31,26 +31,10 @@ def island_groups(refined: DataFrame, compat: bool = False) -> DataFrame:
 
 def merge_contained(groups: DataFrame) -> DataFrame:
     """Groups that lie within another's span are merged into it until none is left; two single segments never merge."""
-    kind = groups.schema["meeting"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {g: sorted(set(x["seg_order"].tolist())) for g, x in pdf.groupby("grp")}
-        again = True
-        while again:
-            again = False
-            for i in sorted(own):
-                for j in sorted(own):
-                    a, b = own[i], own[j]
-                    if i != j and (len(a) > 1 or len(b) > 1) and b[0] <= a[0] <= b[-1] and b[0] <= a[-1] <= b[-1]:
-                        own[j] = sorted({*a, *b})
-                        del own[i]
-                        again = True
-                        break
-                if again:
-                    break
-        return pd.DataFrame([(key[0], g, s) for g in own for s in own[g]], columns=["meeting", "grp", "seg_order"])
-
-    return groups.groupBy("meeting").applyInPandas(run, f"meeting {kind}, grp int, seg_order int")
+    rows = groups.distinct()
+    spans = rows.groupBy("meeting", F.col("grp").alias("id")).agg(F.min("seg_order").alias("start"), F.max("seg_order").alias("end"), F.count("*").alias("n"))
+    to = intervals.absorbed(spans, ["meeting"]).withColumnRenamed("id", "grp")
+    return rows.join(to, ["meeting", "grp"]).select("meeting", F.col("into").alias("grp"), "seg_order").distinct()
 
 
 def drop_short_singles(groups: DataFrame, segments: DataFrame, least_words: int = 40) -> DataFrame:

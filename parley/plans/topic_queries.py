@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import chunking, minds, punkt, tagging, topics
+from ..operators import chunking, intervals, minds, punkt, tagging, topics
 from ..operators import edges as E
 from ..sources.shared import new_path, table, written
 from .pipeline_queries import _sentences
@@ -156,3 +156,12 @@ def mind_enrichment(spark, sf_dir):
     of = F.when(old, 0).when(F.col("entity") % 20 == 0, 1).otherwise(2)
     rows = state.table("communities").withColumn("call", of).join(state.table("counters").select("community", "total"), "community", "left")
     return rows.select("entity", "community", "call", F.when(F.col("call") > 0, F.col("total")).otherwise(0).alias("total"))
+
+
+@query()
+def absorbed_topics(spark, sf_dir):
+    """Topics of a conversation (by the length of a turn) that begin within another one go into it, with their turns and words, in one pass."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.pmod(F.length("text"), F.lit(7)).alias("id"))
+    spans = turns.groupBy("conv_id", "id").agg(F.min("turn").alias("start"), F.max("turn").alias("end"), F.count("*").alias("n"))
+    rows = turns.join(intervals.absorbed(spans, ["conv_id"], start_only=True, once=True), ["conv_id", "id"])
+    return rows.groupBy("conv_id", F.col("into").alias("topic")).agg(F.count_distinct("id").alias("topics"), F.count("*").alias("turns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("text", " "))))).alias("words")).withColumn("words", F.md5(F.array_join("words", " ")))

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from parley.functions import text as T
-from parley.operators import chunking, detect, edges, ranking, tagging, topics
+from parley.operators import chunking, detect, edges, intervals, ranking, tagging, topics
 from parley.operators.chunking import GRAMMARS
 from parley.plans import topic_queries
 from parley.plans.pipeline_queries import _sentences
@@ -253,3 +253,68 @@ def test_pruning_of_every_conversation(spark):
     pairs = V.cosine_pairs(_sentences(spark, SF), "node", "vec", ["meeting"]).toPandas()
     got = {(r.meeting, r.src, r.dst, r.weight) for r in topic_queries.incremental_q3_prune(spark, SF).collect()}
     assert got == {(m, *r) for m, p in pairs.groupby("meeting") for r in replayed(list(p[["src", "dst", "weight"]].itertuples(index=False, name=None)))}
+
+
+def looped(spans, sizes, tolerance, start_only, once):
+    """Every pair, over and over, until nothing moves; or once."""
+    there, root, sizes = list(range(len(spans))), {}, list(sizes)
+
+    def held(i, j):
+        (a, b), (c, d) = spans[i], spans[j]
+        return c - tolerance <= a <= d + tolerance and (start_only or c - tolerance <= b <= d + tolerance)
+
+    again = True
+    while again:
+        again = False
+        for i in list(there):
+            for j in there:
+                if i != j and i in there and held(i, j) and (once or sizes[i] > 1 or sizes[j] > 1):
+                    root[i] = j
+                    sizes[j] += sizes[i]
+                    there.remove(i)
+                    again = not once
+                    break
+            if again:
+                break
+    out = []
+    for i in range(len(spans)):
+        while i in root:
+            i = root[i]
+        out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("once", [False, True])
+@pytest.mark.parametrize("start_only", [False, True])
+@pytest.mark.parametrize("tolerance", [0, 1])
+def test_spans_in_others_like_all_pairs(once, start_only, tolerance):
+    rng = random.Random(6)
+    for _ in range(1500):
+        n, wide, high = rng.randint(0, 14), rng.choice([1, 4, 20]), rng.choice([6, 30])
+        spans = [(a, a + (rng.randrange(wide) if rng.random() < 0.7 else 0)) for a in (rng.randrange(high) for _ in range(n))]
+        sizes = [1 if a == b else rng.randint(2, 4) for a, b in spans]
+        assert intervals.into(spans, sizes, tolerance, start_only, once) == looped(spans, sizes, tolerance, start_only, once), (spans, sizes)
+
+
+def test_many_spans():
+    rng = random.Random(1)
+    spans = [(a, a + rng.randrange(200)) for a in (rng.randrange(10**6) for _ in range(30_000))]
+    to = intervals.into(spans, [2] * len(spans))
+    left = sorted(spans[i] for i in set(to))
+    assert all(a[1] < b[1] for a, b in zip(left, left[1:])) and all(spans[j][0] <= a and b <= spans[j][1] for (a, b), j in zip(spans, to))
+
+
+def test_absorbed_topics_of_every_conversation(spark):
+    import hashlib
+
+    of, want = {}, {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        of.setdefault(r.conv_id, {}).setdefault(len(r.text) % 7, []).append(r)
+    for c, topics_ in of.items():
+        ids = sorted(topics_)
+        spans = [(min(r.turn for r in topics_[i]), max(r.turn for r in topics_[i])) for i in ids]
+        for i, j in zip(ids, looped(spans, [1] * len(ids), 0, True, True)):
+            want.setdefault((c, ids[j]), []).append(topics_[i])
+    got = {(r.conv_id, r.topic): (r.topics, r.turns, r.words) for r in topic_queries.absorbed_topics(spark, SF).collect()}
+    words = lambda rows: hashlib.md5(" ".join(sorted({w for r in rows for w in r.text.split(" ")}, key=lambda w: w.encode())).encode()).hexdigest()
+    assert got == {k: (len(v), sum(map(len, v)), words([r for x in v for r in x])) for k, v in want.items()}
