@@ -127,7 +127,7 @@ def subject_length_gate(spark, sf_dir):
     return rows.where("n_subject > 4 or (n_subject > 3 and last_length > 4)")
 
 
-@query()
+@query(r"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(strip_accents(lower(text)), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[^\s\p{P}\p{S}]+|[\p{P}\p{S}]'), ' ') AS tokens FROM conversations")
 def basic_tokens(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.array_join(tokens.basic_tokens(F.col("text")), " ").alias("tokens"))

@@ -95,7 +95,13 @@ def entity_spans(spark, sf_dir):
     return detect.entity_spans(t, ["doc_id"], capitalise=False).select("doc_id", F.col("start").cast("long").alias("start"), "entity", "label", F.round("score", 4).alias("score"))
 
 
-@query()
+_RULE = (
+    "CASE WHEN NOT regexp_matches(w, '[A-Za-z0-9]') THEN 'PUNC' WHEN regexp_matches(w, '^[0-9.,]+$') THEN 'NUM' WHEN lower(w) IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS) + ") THEN 'O' "
+    "WHEN regexp_matches(w, '^[A-Z]') THEN 'PROPN' WHEN regexp_matches(lower(w), '(ing|ed|ize|ise)$') THEN 'VERB' WHEN regexp_matches(lower(w), '(ous|ful|ive|able|al|ic)$') THEN 'ADJ' WHEN regexp_matches(lower(w), 'ly$') THEN 'ADV' ELSE 'NOUN' END"
+)
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(regexp_extract_all(array_to_string(list_transform(string_split(text, ' '), lambda w: '<' || {_RULE} || '>'), ''), '(<ADJ>)*(<NOUN>|<PROPN>)+'), ' ') AS chunks FROM conversations""")
 def noun_chunks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.array_join(detect.chunks(detect.rule_tags(T.words(F.col("text")))), " ").alias("chunks"))
@@ -107,7 +113,10 @@ def packed_paragraphs(spark, sf_dir):
     return detect.packed_paragraphs(d.withColumn("label", F.length("text") % 3), "doc_id")
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),
+n AS (SELECT a.id AS qid, b.label AS community, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.id) AS r FROM v a, v b WHERE a.id % 10 = 0 AND b.id % 10 <> 0),
+c AS (SELECT qid, community, count(*) AS votes, min(r) AS best FROM n WHERE r <= 10 GROUP BY qid, community), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, best) AS place FROM c)
+SELECT qid, CASE WHEN votes >= 2 THEN community ELSE -1 END AS community FROM f WHERE place = 1""")
 def community_placement(spark, sf_dir):
     """New vectors placed by the communities of their ten nearest known ones."""
     v = table(spark, sf_dir, "embeddings")
@@ -175,7 +184,16 @@ def session_stream(spark, sf_dir):
     return spark.read.parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query()
+def _contracted_sql(rounds: int = 10) -> str:
+    sql = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, CASE WHEN label < 3 THEN -1 - label ELSE vec_id END AS own FROM embeddings),
+e AS (SELECT DISTINCT least(a.own, b.own) AS src, greatest(a.own, b.own) AS dst FROM v a JOIN v b ON a.id < b.id WHERE a.own <> b.own AND round(list_cosine_similarity(a.vec, b.vec), 6) > 0.2),
+a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), o AS (SELECT src, count(*) AS o FROM a GROUP BY src), n AS (SELECT count(*) AS n FROM o), r0 AS (SELECT src AS node, 1.0 / n AS r FROM o, n)"""
+    for t in range(1, rounds + 1):
+        sql += f", r{t} AS (SELECT a.dst AS node, 0.15 / any_value(n) + 0.85 * sum(r / o) AS r FROM r{t - 1} JOIN a ON node = a.src JOIN o ON o.src = a.src, n GROUP BY a.dst)"
+    return sql + f" SELECT node, round(r, 6) AS rank FROM r{rounds} WHERE node < 0"
+
+
+@query(_contracted_sql())
 def entity_pagerank_of_groups(spark, sf_dir):
     """Rank of each label's contracted super-node among all nodes."""
     from ..operators.ranking import pagerank

@@ -140,8 +140,8 @@ def _enrichment_sql() -> str:
     for t in (1, 2):
         sql += f""", n{t} AS (SELECT a.entity, k.community, row_number() OVER (PARTITION BY a.entity ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.entity) AS r
 FROM v a, k{t - 1} k JOIN v b ON b.entity = k.entity WHERE a.entity % 20 = {10 * (t - 1)}),
-k{t} AS (SELECT * FROM k{t - 1} UNION ALL SELECT entity, community, {t} FROM (SELECT entity, community, count(*) AS n, min(r) AS best FROM n{t} WHERE r <= 10 GROUP BY entity, community
-QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, best) = 1) WHERE n >= 2)"""
+k{t} AS (SELECT * FROM k{t - 1} UNION ALL SELECT entity, community, {t} FROM (SELECT entity, community, count(*) AS n, min(r) AS best FROM n{t} WHERE r <= 10 GROUP BY entity, community)
+WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, best) = 1)"""
     return sql + " SELECT k2.entity, k2.community, call, CASE WHEN call > 0 THEN (SELECT count(*) FROM k2 x WHERE x.community = k2.community AND x.call > 0) ELSE 0 END AS total FROM k2"
 
 

@@ -45,11 +45,6 @@ def test_query_matches_sql(spark, con, name):
     assert rows(want) == rows(got)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_other_query_runs(spark, name):
-    assert len(QUERIES[name](spark, SF).columns) > 1
-
-
 @pytest.mark.parametrize("name", ["keyphrases_top10", "lda_topics"])
 def test_documents_of_every_language_get_rows(spark, con, name):
     """All with a run of kept words (or, for topics, a text) have a row, whatever their language."""
@@ -305,3 +300,10 @@ def test_streams_of_windows_requests_and_sessions(spark, tmp_path):
     streams.run_to_table(streams.windowed(stream, "u", width="10 minutes"), f"{path}/w", f"{path}/c2")
     want = {(r.u, r.w.start): r.n for r in e.groupBy("u", F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n")).collect()}
     assert {(r.u, r.start): r.n for r in spark.read.parquet(f"{path}/w").where("u is not null").collect()} == want
+
+
+def test_every_query_has_sql_or_values_of_its_own():
+    """What SQL can't express is named by a test that looks at its rows."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    said = "".join(open(f"{here}/{f}", encoding="utf-8").read() for f in os.listdir(here) if f.endswith(".py"))
+    assert [n for n in sorted(set(QUERIES) - set(SQL)) if n not in said] == []
