@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ._common import LOWER_AZ, written
 
 #: Words of one shard; bytes of a text that are split at once; words whose nodes make up one range.
-SHARD, SLICE, RANGE = 4_000_000, 1 << 22, 1_000_000
+SHARD, SLICE, RANGE = 2_000_000, 1 << 22, 1_000_000
 #: Ranges at most, however large the input.
 MOST_RANGES = 1 << 20
 #: Marks a word that was counted in the part of its text before, and is here for the phrases that it begins.
