@@ -159,6 +159,11 @@ def _components(near: list[dict[int, float]]) -> np.ndarray:
     return of
 
 
+def parts(graph: Graph) -> np.ndarray:
+    """The connected part of each node, from 0."""
+    return _components(graph.near)
+
+
 def _shortest(near: list[dict[int, float]], s: int):
     """Order, path counts, predecessors and distances of a breadth-first walk."""
     n = len(near)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import communities as C
+
 
 def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, pos, word)``: lower-cased words of letters a to z, in order from 0."""
@@ -48,19 +50,40 @@ def _rank(edges: pd.DataFrame, alpha: float, rounds: int | None, tol: float) ->
     return nodes, r
 
 
+#: What ranks can be normalised by.
+NORMALISE = (None, "degree", "closeness", "betweenness", "degree_bet")
+
+
+def _centrality(edges: pd.DataFrame, kind: str) -> np.ndarray:
+    """Closeness or betweenness of the nodes in order: by current flow where the graph is connected, else by shortest paths."""
+    g = C.Graph(edges[["src", "dst"]])
+    flow, paths = (C.current_flow_closeness, C.closeness) if kind == "closeness" else (C.current_flow_betweenness, C.betweenness)
+    return paths(g) if C.parts(g).max() else flow(g)
+
+
 def textrank(tokens_: DataFrame, key: str, window: int = 3, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-4, normalise: str | None = None) -> DataFrame:
     """``(key, node, rank)``: PageRank of each text's word graph; one text's graph is one group.
 
-    ``normalise``: divide by ``degree``.
+    ``normalise``: divided by ``degree`` or ``closeness`` (zero keeps the rank), times
+    ``betweenness``, or divided by degree and betweenness together (``degree_bet``).  Closeness and
+    betweenness solve a system as large as the graph: they are for texts of some hundred different words.
     """
+    if normalise not in NORMALISE:
+        raise ValueError(f"no way to normalise by {normalise}")
     edges = cooccurrence(tokens_, key, window)
     kind = tokens_.schema[key].dataType.simpleString()
 
     def run(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, r = _rank(pdf, alpha, rounds, tol)
-        if normalise == "degree":
+        if normalise in ("degree", "degree_bet"):
             both = np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()])
-            r = r / np.unique(both, return_counts=True)[1]
+            degree = np.unique(both, return_counts=True)[1]
+            r = r / (degree + _centrality(pdf, "betweenness") if normalise == "degree_bet" else degree)
+        elif normalise == "closeness":
+            near = _centrality(pdf, "closeness")
+            r = r / np.where(near == 0, 1, near)
+        elif normalise == "betweenness":
+            r = r * _centrality(pdf, "betweenness")
         return pd.DataFrame({key: of[0], "node": nodes, "rank": r})
 
     return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, node string, rank double")

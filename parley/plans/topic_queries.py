@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import chunking, intervals, minds, punkt, tagging, topics
 from ..operators import edges as E
+from ..operators import keyphrases as K
 from ..sources.shared import new_path, table, written
 from .pipeline_queries import _sentences
 
@@ -165,3 +166,19 @@ def absorbed_topics(spark, sf_dir):
     spans = turns.groupBy("conv_id", "id").agg(F.min("turn").alias("start"), F.max("turn").alias("end"), F.count("*").alias("n"))
     rows = turns.join(intervals.absorbed(spans, ["conv_id"], start_only=True, once=True), ["conv_id", "id"])
     return rows.groupBy("conv_id", F.col("into").alias("topic")).agg(F.count_distinct("id").alias("topics"), F.count("*").alias("turns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("text", " "))))).alias("words")).withColumn("words", F.md5(F.array_join("words", " ")))
+
+
+#: Tags whose words make up a word graph.
+KEPT_TAGS = ("NN", "NNS", "NNP", "NNPS", "JJ", "FW")
+
+
+@query()
+def normalised_word_ranks(spark, sf_dir):
+    """Ranks of the nouns and adjectives of every turn, plain and in the four ways to normalise them."""
+    words = _tagged(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("turn"), F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t"))
+    rows = written(words.where(F.col("t.tokens").rlike(r"^[\p{L}\p{N}]")).select("turn", "pos", F.lower("t.tokens").alias("word"), F.col("t.tags").isin(*KEPT_TAGS).alias("kw")), "words")
+    out = None
+    for name in K.NORMALISE:
+        one = K.textrank(rows, "turn", window=4, normalise=name).withColumnRenamed("rank", name or "rank")
+        out = one if out is None else out.join(one, ["turn", "node"])
+    return out.select("turn", "node", *[F.round(n or "rank", 6).alias(n or "rank") for n in K.NORMALISE])

@@ -76,6 +76,76 @@ def test_vitality(spark, graphs):
             assert got[g][x] is None or np.isnan(got[g][x]) if want is None else got[g][x] == pytest.approx(want)
 
 
+def flows(near):
+    """Nodes, current-flow closeness and betweenness of a connected graph, a linear system for every pair."""
+    nodes = sorted(near)
+    n, at = len(nodes), {x: i for i, x in enumerate(nodes)}
+    lap = np.zeros((n, n))
+    for x in near:
+        for y, w in near[x].items():
+            lap[at[x], at[y]] -= w
+            lap[at[x], at[x]] += w
+    far, through = np.zeros(n), np.zeros(n)
+    solved = np.linalg.inv(lap[:-1, :-1])  # the last node is grounded
+    for s in range(n):
+        for t in range(s + 1, n):
+            push = np.zeros(n)
+            push[s], push[t] = 1, -1
+            v = np.append(solved @ push[:-1], 0)
+            far[s] += v[s] - v[t]
+            far[t] += v[s] - v[t]
+            for i, x in enumerate(nodes):
+                if i not in (s, t):
+                    through[i] += sum(w * abs(v[i] - v[at[y]]) for y, w in near[x].items()) / 2
+    return nodes, 1 / far, through * 2 / ((n - 1) * (n - 2)) if n > 2 else through
+
+
+def test_normalised_ranks(spark):
+    """Every turn with few words (the plain way takes the fourth power of their number), all five columns."""
+    from parley.plans.topic_queries import KEPT_TAGS, _tagged
+
+    got = defaultdict(dict)
+    for r in QUERIES["normalised_word_ranks"](spark, SF).collect():
+        got[r.turn][r.node] = tuple(r)[2:]
+    split = joined = 0
+    for r in _tagged(spark, SF).collect():
+        rows = [(w.lower(), t in KEPT_TAGS) for w, t in zip(r.tokens, r.tags) if w[0].isalnum()]
+        near = defaultdict(dict)
+        for i, (w, kw) in enumerate(rows):
+            for o, k2 in rows[i + 1 : i + 4]:
+                if kw and k2 and o != w:
+                    near[w][o] = near[o][w] = 1
+        own = got[f"{r.conv_id}/{r.turn}"]
+        assert own.keys() == near.keys()
+        nodes, dist, paths = distances(near) if len(near) <= 30 else ([], None, None)
+        n = len(nodes)
+        if not n:
+            continue
+        rank = np.full(n, 1 / n)
+        a = (dist == 1).astype(float)
+        for _ in range(100):
+            new = 0.15 / n + 0.85 * (rank / a.sum(1)) @ a
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < n * 1e-4:
+                break
+        if np.isfinite(dist).all():
+            joined += 1
+            _, close, between = flows(near)
+        else:
+            split += 1
+            ok = np.isfinite(dist) & (dist > 0)
+            reach = ok.sum(1)
+            close = reach / np.where(ok, dist, 0).sum(1) * reach / (n - 1)
+            between = np.zeros(n)
+            for k in range(n):
+                through = np.isfinite(dist) & (dist[:, [k]] + dist[[k], :] == dist) & (np.arange(n) != k)[:, None] & (np.arange(n) != k)[None]
+                np.fill_diagonal(through, False)
+                between[k] = (np.where(through, paths[:, [k]] * paths[[k], :], 0) / np.where(paths > 0, paths, 1)).sum() / ((n - 1) * (n - 2)) if n > 2 else 0
+        want = np.array([rank, rank / a.sum(1), rank / close, rank * between, rank / (a.sum(1) + between)]).T
+        assert np.allclose([own[x] for x in nodes], want, atol=2e-6, rtol=1e-5), (r.conv_id, r.turn)
+    assert split and joined
+
+
 def test_current_flow(spark, graphs):
     b, c = values(spark, "graph_current_flow_betweenness"), values(spark, "graph_current_flow_closeness")
     assert b.keys() == c.keys() == graphs.keys()
