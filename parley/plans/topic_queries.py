@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import chunking, intervals, minds, punkt, tagging, topics
 from ..operators import edges as E
 from ..operators import keyphrases as K
+from ..operators import table_functions
 from ..sources.shared import new_path, table, written
 from .pipeline_queries import _sentences
 
@@ -172,13 +174,29 @@ def absorbed_topics(spark, sf_dir):
 KEPT_TAGS = ("NN", "NNS", "NNP", "NNPS", "JJ", "FW")
 
 
+def _marked_words(spark, sf_dir):
+    """Every turn's words, marked where they are nouns or adjectives: ``(turn, pos, word, kw)``."""
+    words = _tagged(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("turn"), F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t"))
+    return words.where(F.col("t.tokens").rlike(r"^[\p{L}\p{N}]")).select("turn", "pos", F.lower("t.tokens").alias("word"), F.col("t.tags").isin(*KEPT_TAGS).alias("kw"))
+
+
 @query()
 def normalised_word_ranks(spark, sf_dir):
     """Ranks of the nouns and adjectives of every turn, plain and in the four ways to normalise them."""
-    words = _tagged(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("turn"), F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t"))
-    rows = written(words.where(F.col("t.tokens").rlike(r"^[\p{L}\p{N}]")).select("turn", "pos", F.lower("t.tokens").alias("word"), F.col("t.tags").isin(*KEPT_TAGS).alias("kw")), "words")
+    rows = written(_marked_words(spark, sf_dir), "words")
     out = None
     for name in K.NORMALISE:
         one = K.textrank(rows, "turn", window=4, normalise=name).withColumnRenamed("rank", name or "rank")
         out = one if out is None else out.join(one, ["turn", "node"])
     return out.select("turn", "node", *[F.round(n or "rank", 6).alias(n or "rank") for n in K.NORMALISE])
+
+
+@query(f"""WITH t AS ({_TOKENS}), w AS (SELECT conv_id || '/' || turn AS turn, i - 1 AS pos, tokens[i] AS token, {tagging.penn_tag_sql('tokens[i]')} AS tag FROM t, unnest(range(1, len(tokens) + 1)) AS u(i)),
+k AS (SELECT turn, pos, lower(token) AS word, pos - row_number() OVER (PARTITION BY turn ORDER BY pos) AS island FROM w WHERE tag IN {KEPT_TAGS!r} AND regexp_matches(token, '^[\\p{{L}}\\p{{N}}]'))
+SELECT turn, min(pos)::INT AS start, string_agg(word, ' ' ORDER BY pos) AS phrase, count(*) AS n FROM k GROUP BY turn, island""")
+def phrase_spans_by_sql(spark, sf_dir):
+    """Runs of nouns and adjectives by the table function, from SQL."""
+    table_functions.register(spark)
+    name = f"words_{uuid.uuid4().hex}"
+    _marked_words(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT * FROM phrase_spans(TABLE({name}), 'turn')")

@@ -318,3 +318,23 @@ def test_absorbed_topics_of_every_conversation(spark):
     got = {(r.conv_id, r.topic): (r.topics, r.turns, r.words) for r in topic_queries.absorbed_topics(spark, SF).collect()}
     words = lambda rows: hashlib.md5(" ".join(sorted({w for r in rows for w in r.text.split(" ")}, key=lambda w: w.encode())).encode()).hexdigest()
     assert got == {k: (len(v), sum(map(len, v)), words([r for x in v for r in x])) for k, v in want.items()}
+
+
+def test_table_function(spark):
+    """Like the DataFrame form for a key of any type; gaps, nulls, empty tables; arguments that don't fit are refused."""
+    from parley.operators import keyphrases, table_functions
+
+    table_functions.register(spark)
+    rng = random.Random(3)
+    rows = [(k, i, f"w{rng.randrange(9)}", rng.choice([True, True, False])) for k in range(40) for i in range(rng.randint(0, 30))]
+    words = spark.createDataFrame([(float(k), *r) for k, *r in rows], "k double, pos int, word string, kw boolean").repartition(4)
+    words.createOrReplaceTempView("test_words")
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM phrase_spans(TABLE(test_words), 'k')").collect())
+    assert got == sorted(tuple(r) for r in keyphrases.phrase_runs(words, "k").collect()) and len(got) > 100
+    spark.createDataFrame([("a", 0, "x", True), ("a", 2, "y", True), ("a", 3, "z", True), ("a", 4, "q", None), (None, 0, "n", True)], "k string, pos int, word string, kw boolean").createOrReplaceTempView("test_words")
+    assert {tuple(r) for r in spark.sql("SELECT k, start, phrase, n FROM phrase_spans(TABLE(test_words), 'k')").collect()} == {("a", 0, "x", 1), ("a", 2, "y z", 2), (None, 0, "n", 1)}
+    spark.sql("SELECT * FROM test_words WHERE pos > 9").createOrReplaceTempView("no_words")
+    assert spark.sql("SELECT * FROM phrase_spans(TABLE(no_words), 'k')").count() == 0
+    for bad, why in (("TABLE(test_words), 'other'", "lacks other"), ("TABLE(test_words), 5", "names the key"), ("'k', 'k'", "is a table")):
+        with pytest.raises(Exception, match=why):
+            spark.sql(f"SELECT * FROM phrase_spans({bad})").collect()
