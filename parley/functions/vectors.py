@@ -24,7 +24,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def angular(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import chunking, intervals, minds, punkt, tagging, topics
+from ..operators import chunking, detect, intervals, minds, punkt, relatedness, tagging, topics
 from ..operators import edges as E
 from ..operators import keyphrases as K
 from ..operators import table_functions
@@ -200,3 +200,18 @@ def phrase_spans_by_sql(spark, sf_dir):
     name = f"words_{uuid.uuid4().hex}"
     _marked_words(spark, sf_dir).createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM phrase_spans(TABLE({name}), 'turn')")
+
+
+@query()
+def sentence_relatedness(spark, sf_dir):
+    """Each turn of a conversation and the next one, by their phrases."""
+    key = ["conv_id", "turn"]
+    texts = written(_tagged(spark, sf_dir), "tagged")
+    pieces = texts.select(*key, F.posexplode(relatedness.word_pieces(F.transform("tokens", F.lower))).alias("pos", "p")).select(*key, "pos", "p.piece")
+    known = detect.embedded(pieces.select("piece").distinct(), "piece")  # a piece's vector is made once
+    words = relatedness.word_vectors(pieces.join(known, "piece"), key)
+    vectors = written(relatedness.phrase_vectors(relatedness.phrases(texts, key), words, key), "phrases")
+    a = texts.select(F.col("conv_id").alias("conv_id_a"), F.col("turn").alias("turn_a"), F.col("conv_id").alias("conv_id_b"), (F.col("turn") + 1).alias("turn_b"))
+    pairs = a.join(texts.select(F.col("conv_id").alias("conv_id_b"), F.col("turn").alias("turn_b")), ["conv_id_b", "turn_b"])
+    found = relatedness.relatedness(pairs, vectors, key)
+    return found.select(F.col("conv_id_a").alias("conv_id"), F.col("turn_a").alias("turn"), "score")

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from parley.functions import text as T
-from parley.operators import chunking, detect, edges, intervals, ranking, tagging, topics
+from parley.operators import chunking, detect, edges, intervals, ranking, relatedness, tagging, topics
 from parley.operators.chunking import GRAMMARS
 from parley.plans import topic_queries
 from parley.plans.pipeline_queries import _sentences
@@ -338,3 +338,57 @@ def test_table_function(spark):
     for bad, why in (("TABLE(test_words), 'other'", "lacks other"), ("TABLE(test_words), 5", "names the key"), ("'k', 'k'", "is a table")):
         with pytest.raises(Exception, match=why):
             spark.sql(f"SELECT * FROM phrase_spans({bad})").collect()
+
+
+def test_word_pieces_and_vectors(spark):
+    df = spark.createDataFrame([(1, ["a", "abcdef", "abcdefg", "abcdefghi"])], "k int, t array<string>")
+    rows = df.select("k", F.posexplode(relatedness.word_pieces(F.col("t"))).alias("pos", "p")).select("k", "pos", "p.word", "p.piece")
+    assert [(r.word, r.piece) for r in rows.collect()] == [(0, "a"), (1, "abcdef"), (2, "abcd"), (2, "##efg"), (3, "abcd"), (3, "##efgh"), (3, "##i")]
+    got = relatedness.word_vectors(rows.select("k", "pos", "piece", F.array(F.lit(1.0), F.col("pos").cast("double")).alias("vec")), ["k"]).collect()
+    assert {(r.word, *r.vec) for r in got} == {(0, 1, 0), (1, 1, 1), (2, 2, 5), (3, 3, 15)}
+
+
+def test_relatedness_of_all_turns(spark):
+    """Pieces, phrases and pairs by plain loops, over every turn and the next."""
+    embed, stop = detect.hashing_embedder(), set(T.STOP_WORDS)
+    tagged = {(r.conv_id, r.turn): r for r in topic_queries._tagged(spark, SF).collect()}
+    vec = {}
+
+    def vectors_of(r):
+        words = []
+        for w in (t.lower() for t in r.tokens):
+            pieces = [w] if len(w) <= 6 else [("##" if i else "") + w[i : i + 4] for i in range(0, len(w), 4)]
+            for p in pieces:
+                if p not in vec:
+                    vec[p] = np.array(embed(pd.Series([p]))[0])
+            words.append(sum(vec[p] for p in pieces))
+        out = {}
+        for name in relatedness.KINDS:
+            runs = []
+            for a, b in brute_chunks(r.tags, GRAMMARS[name]):
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            for a, b in runs:
+                w = [t.lower() for t in r.tokens]
+                ok = [i for i in range(a, b) if w[i] not in stop and re.search(r"[^\W_]", w[i])]
+                if ok:
+                    a, b = ok[0], ok[-1] + 1
+                    out.setdefault(" ".join(w[a:b]), (b - a, sum(words[a:b])))
+        return out
+
+    found = {k: vectors_of(r) for k, r in tagged.items()}
+    got = {(r.conv_id, r.turn): r.score for r in topic_queries.sentence_relatedness(spark, SF).collect()}
+    want = {}
+    for (c, t), own in found.items():
+        if (c, t + 1) not in found:
+            continue
+        sims = []
+        for p, (n, v) in own.items():
+            for q, (m, u) in found[c, t + 1].items():
+                if (n == m == 1 and min(len(p), len(q)) >= 4) or (n > 1 and m > 1):
+                    length = np.linalg.norm(v) * np.linalg.norm(u)
+                    sims.append(float(v @ u) / length if length else 0.0)
+        want[c, t] = float(np.mean(sims[:3])) if sims else 0.0
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want) and sum(x != 0 for x in got.values()) > 20
