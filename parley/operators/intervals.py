@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,41 +12,47 @@ from pyspark.sql import functions as F
 
 
 class Spans:
-    """Spans by number, with the least start and the largest end of every part of the numbers: the first one that holds a span is found from the top."""
+    """Spans by number. Over their order by start lies a tree with the largest end and the smallest number of every part."""
 
     def __init__(self, spans: list[tuple]):
+        order = sorted(range(len(spans)), key=lambda i: spans[i][0])
+        self.starts = [spans[i][0] for i in order]
         self.leaves = 1
         while self.leaves < len(spans):
             self.leaves *= 2
-        self.least, self.most = [None] * (2 * self.leaves), [None] * (2 * self.leaves)
-        for i, (a, b) in enumerate(spans):
-            self.least[self.leaves + i], self.most[self.leaves + i] = a, b
-        for i in range(self.leaves - 1, 0, -1):
-            self._join(i)
-
-    def _join(self, i: int) -> None:
-        a, b = self.least[2 * i], self.least[2 * i + 1]
-        self.least[i] = b if a is None else a if b is None else min(a, b)
-        a, b = self.most[2 * i], self.most[2 * i + 1]
-        self.most[i] = b if a is None else a if b is None else max(a, b)
+        self.most, self.low, self.at = [None] * (2 * self.leaves), [len(spans)] * (2 * self.leaves), [0] * len(spans)
+        for k, i in enumerate(order):
+            self.at[i] = self.leaves + k
+            self.most[self.leaves + k], self.low[self.leaves + k] = spans[i][1], i
+        self.none = len(spans)
+        for k in range(self.leaves - 1, 0, -1):
+            self._join(k)
+
+    def _join(self, k: int) -> None:
+        a, b = self.most[2 * k], self.most[2 * k + 1]
+        self.most[k] = b if a is None else a if b is None else max(a, b)
+        self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
 
     def remove(self, n: int) -> None:
-        i = self.leaves + n
-        self.least[i] = self.most[i] = None
-        while i := i // 2:
-            self._join(i)
-
-    def holding(self, start, end) -> Iterator[int]:
-        """Numbers, in order, of the spans that start at ``start`` or before and end at ``end`` or after."""
-        todo = [1]
+        k = self.at[n]
+        self.most[k], self.low[k] = None, self.none
+        while k := k // 2:
+            self._join(k)
+
+    def first(self, start, end, fits: Callable[[int], bool]) -> int | None:
+        """The smallest number that fits of the spans that start at ``start`` or before and end at ``end`` or after."""
+        upto, best, todo = bisect_right(self.starts, start), self.none, [(1, 0, self.leaves)]
         while todo:
-            i = todo.pop()
-            if self.least[i] is None or self.least[i] > start or self.most[i] < end:
+            k, a, b = todo.pop()
+            if a >= upto or self.low[k] >= best or self.most[k] < end:
                 continue
-            if i >= self.leaves:
-                yield i - self.leaves
-            else:
-                todo += [2 * i + 1, 2 * i]
+            if k >= self.leaves:
+                if fits(self.low[k]):
+                    best = self.low[k]
+                continue
+            halves = [(2 * k, a, (a + b) // 2), (2 * k + 1, (a + b) // 2, b)]
+            todo += halves if self.low[2 * k] >= self.low[2 * k + 1] else halves[::-1]
+        return None if best == self.none else best
 
 
 def into(spans: list[tuple], sizes: list[int], tolerance=0, start_only: bool = False, once: bool = False) -> list[int]:
@@ -66,18 +73,18 @@ def into(spans: list[tuple], sizes: list[int], tolerance=0, start_only: bool = F
         if parent[i] != i:
             continue
         a, b = spans[i]
-        for j in tree.holding(a, a if start_only else b):
-            if j != i and (once or sizes[i] > 1 or sizes[j] > 1):
-                parent[i] = j
-                tree.remove(i)
-                if not once:
-                    if sizes[j] == 1:  # it is no single row any more: those at its place may go into it now, or what it holds near it
-                        for x in waits.get(spans[j], ()) if not tolerance else (x for xs in waits.values() for x in xs):
-                            if x != j and parent[x] == x:
-                                heapq.heappush(todo, x)
-                        heapq.heappush(todo, j)
-                    sizes[j] += sizes[i]
-                break
+        j = tree.first(a, a if start_only else b, lambda j, i=i: j != i and (once or sizes[i] > 1 or sizes[j] > 1))
+        if j is None:
+            continue
+        parent[i] = j
+        tree.remove(i)
+        if not once:
+            if sizes[j] == 1:  # it is no single row any more: those at its place may go into it now, or what it holds near it
+                for x in waits.get(spans[j], ()) if not tolerance else (x for xs in waits.values() for x in xs):
+                    if x != j and parent[x] == x:
+                        heapq.heappush(todo, x)
+                heapq.heappush(todo, j)
+            sizes[j] += sizes[i]
     for i in range(len(spans)):
         root = i
         while parent[root] != root:

@@ -112,12 +112,12 @@ def test_ranks_of_many_graphs(spark):
     e = spark.createDataFrame(rows, "g int, src long, dst long, weight double")
     extra = spark.createDataFrame(alone, "g int, node long")
     for nodes in (None, extra):
-        got = {(r.g, r.node): r["rank"] for r in ranking.pagerank_of_graphs(e, ["g"], nodes, tol=1e-10).collect()}
+        got = {(r.g, r.node): r["rank"] for r in ranking.pagerank_of_graphs(e, ["g"], nodes, tol=1e-7).collect()}
         want = {}
         for g in range(5):
             own = {x for h, a, b, _ in rows if h == g for x in (a, b)} | ({x for h, x in alone if h == g} if nodes is not None else set())
             want |= {(g, k): v for k, v in brute_ranks(sorted(own), [r[1:] for r in rows if r[0] == g]).items()} if own else {}
-        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
     fixed = {(r.g, r.node): r["rank"] for r in ranking.pagerank_of_graphs(e, ["g"], rounds=4).collect()}
     assert fixed[0, 5] == pytest.approx(brute_ranks(sorted({x for h, a, b, _ in rows if h == 0 for x in (a, b)}), [r[1:] for r in rows if r[0] == 0], rounds=4)[5])
     with pytest.raises(RuntimeError, match="still move"):
