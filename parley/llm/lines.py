@@ -170,8 +170,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     equals it, or, from ``min_chars`` characters on, is one edit away, whether or
     not that one stays.  ``kept`` numbers the lines that stay, blank ones left
     out.  Rows that repeat a doc_id are judged as one document.  A null text
-    counts as empty, that is, as one blank line; other columns are ignored; an
-    empty table gives an empty result.
+    counts as empty, that is, as one blank line; texts and lines of any length
+    count whole; other columns are ignored; an empty table gives an empty result.
     """
     n = F.length("line")
     seen = _lines(docs).select("id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), n.cast("int").alias("n"), F.when(n >= min_chars, _screen_keys(F.col("line"), n)).alias("screen"))
@@ -191,7 +191,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text put together from its blank and kept lines, other columns as they are, whatever their names; a null text stays null."""
+    """``docs`` with the text put together from its blank and kept lines, other columns as they are, whatever their names; a null text stays null.
+
+    Ties, repeated rows, empty and long texts and empty tables are as in ``line_dedup``.
+    """
     key, stays = unused(docs, "key"), unused(docs, "stays")
     kept = line_dedup(docs, min_chars).select(id_key(F.col("doc_id")).alias(key), F.col("kept").alias(stays)).dropDuplicates([key])
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))

@@ -101,8 +101,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     whole, ``taken / size`` times: as often as the source's target holds all of
     the source, and once more if its hash is below the source's threshold.  The
     hash is of doc_id alone: reruns agree, and rows that share an id (or have
-    none) go together.  A source without words has target 0.  An empty table
-    gives an empty result.
+    none) go together.  A source without words has target 0.  Texts of any length
+    are counted whole.  An empty table gives an empty result.
     """
     rows = written(_sized(docs), "sizes")
     plan = plan_of(rows, weights, share, cap).withColumnRenamed("source", "_s")

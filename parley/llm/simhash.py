@@ -269,8 +269,8 @@ def near_groups(docs: DataFrame, width: int = 4, budget: int = 4, extra: int = 0
     component_id is the smallest doc_id reachable over links, the row's own
     included.  A null doc_id counts as the smallest.  Repeated rows each get
     their row; a row with a null or empty text has fingerprint zero and is linked
-    like any other; an empty table gives an empty result; columns other than
-    doc_id and text are ignored.
+    like any other; texts of any length count whole; an empty table gives an
+    empty result; columns other than doc_id and text are ignored.
     """
     prints = written(fingerprints(docs, width, extra), "prints")
     fps = written(prints.groupBy("fp").agg(F.min(id_key(F.col("doc_id"))).alias("least"), F.min("more").alias("more")), "fps")

@@ -195,8 +195,9 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     A word goes if a window that covers it also starts earlier, in a document
     with a smaller doc_id (null: the smallest) or before in the same one; windows
     are judged on the input.  Rows that repeat a doc_id are documents of their
-    own, in the order of their texts.  Null and empty texts have no words.  Other
-    columns are ignored; an empty table gives an empty result.
+    own, in the order of their texts.  Null and empty texts have no words; texts
+    of any length are read whole.  Other columns are ignored; an empty table
+    gives an empty result.
     """
     rows = ordered(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
