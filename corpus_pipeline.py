@@ -12,27 +12,42 @@ from parley.llm._common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more for toxicity go."""
+    """Documents that score 0.7 or more for toxicity go.
+
+    Null and empty texts get a score like any other; rows with equal texts go or stay alike; an empty table stays empty.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal when A-Z is lower-cased the row with the largest doc_id stays."""
+    """Of texts that are equal when A-Z is lower-cased the row with the largest doc_id stays.
+
+    Null counts as empty; of rows that share that doc_id one stays; texts of any length are compared whole.
+    """
     return exact.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+
+    Texts without words are copies of each other; a null doc_id is the smallest; rows that share a doc_id stay or go together.
+    """
     return simhash.one_of_each_group(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten words in a row of a benchmark item go."""
+    """Documents that hold ten words in a row of a benchmark item go.
+
+    A shorter item is one window; null and empty texts stay; repeated rows go or stay alike; texts are read whole.
+    """
     return winnow.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies of each."""
+    """The documents that the mix takes, with the number of copies of each.
+
+    Null texts have no words and are taken like their source; rows that share a doc_id, or have none, go together.
+    """
     return mixing.mixed(docs)
 
 
