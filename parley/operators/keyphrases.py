@@ -47,6 +47,9 @@ def _rank(edges: pd.DataFrame, alpha: float, rounds: int | None, tol: float) ->
         moved, r = np.abs(new - r).sum(), new
         if rounds is None and moved < n * tol:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError("the ranks of a text's words still move after 100 rounds")
     return nodes, r
 
 
