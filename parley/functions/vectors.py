@@ -44,15 +44,18 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec", how: str = "a
     return df.groupBy(*keys).agg(*cols).select(*keys, F.array(*[f"_{i}" for i in range(n)]).alias(vec))
 
 
+def _plain(rows: pd.Series) -> np.ndarray:
+    return np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1)
+
+
 def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.array(rows.tolist(), dtype=np.float64)
-    m = m.reshape(len(rows), -1)
+    m = _plain(rows)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1, length)
 
 
-def cosine_pairs(df: DataFrame, id_: str = "id", vec: str = "vec", group: list[str] | None = None, loops: bool = True, digits: int | None = 6, least: float | None = None, block: int = BLOCK) -> DataFrame:
-    """Cosine of all pairs a <= b (a < b without loops) of each group: ``(*group, src, dst, weight)``.
+def cosine_pairs(df: DataFrame, id_: str = "id", vec: str = "vec", group: list[str] | None = None, loops: bool = True, digits: int | None = 6, least: float | None = None, block: int = BLOCK, unit: bool = True) -> DataFrame:
+    """Cosine (dot product, unless ``unit``) of all pairs a <= b (a < b without loops) of each group: ``(*group, src, dst, weight)``.
 
     Rows are dealt into blocks of about ``block``; each pair of blocks is one
     task of matrix products, so no task holds more than two blocks, and pairs
@@ -75,7 +78,8 @@ def cosine_pairs(df: DataFrame, id_: str = "id", vec: str = "vec", group: list[s
         ia, ib = a["_id"].to_numpy(), b["_id"].to_numpy()
         if not len(ia) or not len(ib):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        w = _unit(a["_v"]) @ _unit(b["_v"]).T
+        rows = _unit if unit else _plain
+        w = rows(a["_v"]) @ rows(b["_v"]).T
         keep = np.ones(w.shape, bool)
         if i == j:
             keep = ia[:, None] <= ib[None, :] if loops else ia[:, None] < ib[None, :]
@@ -116,7 +120,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10, qid: str = "qid", iid
                 w = np.round(_unit(own["_v"]) @ m.T, digits) + 0.0
                 top = np.argsort(-w, axis=1, kind="stable")[:, :k]
                 out.append(pd.DataFrame({"qid": np.repeat(own["qid"].to_numpy(), top.shape[1]), "iid": ids[top].ravel(), "sim": np.take_along_axis(w, top, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "iid": [], "sim": []})
+        return pd.concat(out) if out else pd.DataFrame({"qid": a["qid"][:0], "iid": b["iid"][:0], "sim": np.zeros(0)})
 
     found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(run, f"qid {q_type}, iid {i_type}, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "iid"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def ranked(df: DataFrame, group: list[str], *order, name: str = "rank") -> DataFrame:
     """A rank from 0 in each group."""
@@ -76,3 +78,21 @@ def contained(intervals: DataFrame, key: list[str], id_: str = "id", start: str
     b = intervals.select(*key, F.col(id_).alias("outer_id"), F.col(start).alias("_s2"), F.col(end).alias("_e2"), F.col(singles).alias("_n2"))
     inside = F.col("_s").between(F.col("_s2"), F.col("_e2")) & F.col("_e").between(F.col("_s2"), F.col("_e2"))
     return a.join(b, key).where(inside & (F.col("inner_id") != F.col("outer_id")) & ((F.col("_n") > 1) | (F.col("_n2") > 1))).select(*key, "inner_id", "outer_id")
+
+
+def ranked_over_all(df: DataFrame, *order, value: str | None = None, name: str = "rank") -> DataFrame:
+    """``df`` with its rank from 0 among all rows and, with ``value``, the sum of it over the rows before (``before``).
+
+    Rows are dealt by ranges of ``order``, each sorted on its own and told what the
+    ranges before it hold, so no task sorts all.  ``order`` has to tell all rows apart.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    total = F.sum(value) if value else F.lit(0)
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), total.alias("_v"))  # a row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_v").over(earlier), F.lit(0)).alias("_sum"))
+    own = Window.partitionBy("_part").orderBy(*order)
+    out = dealt.join(F.broadcast(parts), "_part").withColumn(name, F.col("_rows") + F.row_number().over(own) - 1)
+    if value:
+        out = out.withColumn("before", F.col("_sum") + F.coalesce(F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return out.select(*df.columns, name, *(["before"] if value else []))

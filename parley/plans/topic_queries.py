@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, detect, intervals, minds, punkt, relatedness, tagging, topics
+from ..operators import chunking, detect, grouping_benchmark, intervals, minds, punkt, relatedness, tagging, topics
 from ..operators import edges as E
 from ..operators import keyphrases as K
 from ..operators import table_functions
@@ -161,6 +162,91 @@ def mind_enrichment(spark, sf_dir):
     return rows.select("entity", "community", "call", F.when(F.col("call") > 0, F.col("total")).otherwise(0).alias("total"))
 
 
+_GOLDEN_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label AS community FROM embeddings),
+gn AS (SELECT a.id AS grp, b.community, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.id) AS r FROM v a, v b WHERE a.id % 10 = 0 AND b.id % 10 <> 0),
+gf AS (SELECT community, count(*) AS freq FROM (SELECT grp, community FROM gn WHERE r <= 10 GROUP BY ALL HAVING count(*) >= 3) GROUP BY community),
+gr AS (SELECT community, freq, row_number() OVER (ORDER BY freq DESC, community) - 1 AS rank, sum(freq) OVER (ORDER BY freq DESC, community) AS upto, sum(freq) OVER () AS total FROM gf),
+ranks AS (SELECT community, freq, rank, round(upto / total, 6) AS share FROM gr WHERE (upto - freq) / total < 0.9)"""
+
+
+def _golden(spark, sf_dir):
+    """Every tenth vector as a golden group, the others as entities."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity"), F.col("embedding").alias("vec"), F.col("label").alias("community"))
+    golden = F.col("entity") % 10 == 0
+    return v.where(golden).select(F.col("entity").alias("grp"), "vec"), v.where(~golden)
+
+
+@query(f"WITH {_GOLDEN_SQL} SELECT community, freq, rank::INT AS rank, share, (SELECT count(*) FROM v WHERE v.community = ranks.community AND id % 10 <> 0) AS entities FROM ranks")
+def mind_generation(spark, sf_dir):
+    """The communities of a mind that a golden set makes, with their entities counted."""
+    state = minds.generate(spark, new_path(spark, "minds"), *_golden(spark, sf_dir))
+    n = state.table("communities").groupBy("community").agg(F.count("*").alias("entities"))
+    return state.table("ranks").join(n, "community").select("community", "freq", "rank", "share", "entities")
+
+
+@query(f"""WITH {_GOLDEN_SQL}, p AS (SELECT a.id AS qid, b.community, freq, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.id) AS r
+FROM v a, v b JOIN ranks USING (community) WHERE a.id % 10 = 0 AND b.id % 10 <> 0)
+SELECT qid, community, votes, weight FROM (SELECT qid, community, count(*) AS votes, sum(freq)::BIGINT AS weight, min(r) AS best FROM p WHERE r <= 10 GROUP BY qid, community) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY weight DESC, best) = 1""")
+def mind_weighted_places(spark, sf_dir):
+    """The golden groups placed in the mind that they made."""
+    golden, known = _golden(spark, sf_dir)
+    state = minds.generate(spark, new_path(spark, "minds"), golden, known)
+    return minds.weighted_places(golden.withColumnRenamed("grp", "qid"), state)
+
+
+#: Vectors of a made meeting, and sentences of a made segment.
+MEETING, SEGMENT = 64, 4
+
+
+def _tagged_sentences(spark, sf_dir):
+    """Every vector as a sentence, in meetings of 64 and segments of 4; its label is its tag."""
+    part = lambda n: F.floor(F.col("vec_id") / n).cast("int")
+    return table(spark, sf_dir, "embeddings").select(part(MEETING).alias("meeting"), F.col("vec_id").alias("node"), part(SEGMENT).alias("seg_order"), F.col("embedding").alias("vec"), F.col("label").alias("tag"))
+
+
+_VECTOR_BUILDERS = tuple(b for b in grouping_benchmark.BUILDERS if b != "kp")
+
+_GRAPHS_SQL = f"""WITH v AS (SELECT vec_id // {MEETING} AS meeting, vec_id // {SEGMENT} AS s, vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
+c AS (SELECT a.meeting, a.id AS src, b.id AS dst, round(list_cosine_similarity(a.vec, b.vec), 6) + 0.0 AS weight, abs(a.s - b.s) <= 1 AS next FROM v a JOIN v b ON a.meeting = b.meeting AND a.id <= b.id),
+w AS (SELECT * FROM c UNION ALL SELECT meeting, dst, src, weight, next FROM c WHERE src <> dst),
+near AS (SELECT meeting, src, dst FROM w WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY meeting, src ORDER BY weight DESC, dst) <= 3),
+k AS (SELECT w.*, n.src IS NOT NULL AS near FROM w LEFT JOIN near n ON n.meeting = w.meeting AND n.src = least(w.src, w.dst) AND n.dst = greatest(w.src, w.dst)),
+f AS (SELECT meeting, 'norm' AS builder, src, dst, weight FROM k UNION ALL SELECT meeting, 'ns+norm', src, dst, CASE WHEN next THEN weight ELSE 0 END FROM k UNION ALL SELECT meeting, 'ns_max', src, dst, CASE WHEN next OR near THEN weight ELSE 0 END FROM k),
+l AS (SELECT meeting, builder, src, dst, CASE WHEN src = dst THEN avg(weight) OVER (PARTITION BY meeting, builder, src) ELSE weight END AS weight FROM f),
+m AS (SELECT *, min(weight) OVER g AS lo, max(weight) OVER g AS hi FROM l WINDOW g AS (PARTITION BY meeting, builder, src)),
+z AS (SELECT meeting, builder, least(src, dst) AS src, greatest(src, dst) AS dst, avg(CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 0 END) AS weight FROM m GROUP BY ALL),
+a AS (SELECT meeting, 'vanilla' AS builder, src, dst, weight FROM c UNION ALL SELECT meeting, unnest(['ns', 'ns+norm+s5']), src, dst, weight FROM c WHERE next
+UNION ALL SELECT * FROM (SELECT meeting, builder, src, dst, CASE WHEN src = dst THEN 1.0 ELSE weight END AS weight FROM z) WHERE weight <> 0)
+SELECT meeting::INT AS meeting, builder, src, dst, round(weight, 6) + 0.0 AS weight FROM a"""
+
+
+@query(_GRAPHS_SQL)
+def grouping_graphs(spark, sf_dir):
+    """The edges that each way to build a meeting's graph has."""
+    return grouping_benchmark.graphs(_tagged_sentences(spark, sf_dir), builders=_VECTOR_BUILDERS).withColumn("weight", F.round("weight", 6) + 0.0)
+
+
+@query()
+def grouping_benchmark_of_vectors(spark, sf_dir):
+    """How well the communities of each way to build a graph match the labels, with and without its lighter half of edges, at two resolutions."""
+    return grouping_benchmark.benchmark(_tagged_sentences(spark, sf_dir), builders=_VECTOR_BUILDERS, percentiles=(0, 50), resolutions=(1.0, 0.9))
+
+
+def _conversation_sentences(spark, sf_dir):
+    """Sentences of all conversations tagged by who speaks, and their phrases."""
+    roles = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").cast("int").alias("seg_order"), F.col("role").alias("tag"))
+    rows = written(_sentences(spark, sf_dir), "sentences")
+    tokens = rows.select("meeting", "node", tagging.tokens(F.col("text")).alias("tokens")).withColumn("tags", tagging.penn_tags(F.col("tokens")))
+    found = tokens.select("meeting", "node", F.explode(chunking.candidate_phrases(F.col("tokens"), F.col("tags"), chunking.GRAMMARS["topic"], T.STOP_WORDS)).alias("phrase"))
+    return rows.join(roles, ["meeting", "seg_order"]), detect.embedded(found, "phrase")
+
+
+@query()
+def grouping_benchmark_of_conversations(spark, sf_dir):
+    """How well the communities of every way to build a conversation's graph, phrases included, tell who speaks."""
+    return grouping_benchmark.benchmark(*_conversation_sentences(spark, sf_dir))
+
+
 @query()
 def absorbed_topics(spark, sf_dir):
     """Topics of a conversation (by the length of a turn) that begin within another one go into it, with their turns and words, in one pass."""
