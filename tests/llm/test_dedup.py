@@ -233,6 +233,35 @@ def test_word_windows_that_repeat(docs, corpus, window):
     assert got == brute_words([(d, t) for d, t, *_ in corpus], window)
 
 
+@pytest.mark.parametrize("crowded", [1, 20, 150, 50_000])
+def test_word_windows_of_crowded_minimizers(spark, crowded):
+    """Few words and one passage, with many surroundings: its minimizers have many runs, in every task."""
+    rng = random.Random(4)
+    some = lambda n, words="abcd": " ".join(rng.choice(words) for _ in range(n))
+    passage = some(9, "efghij")
+    texts = [f"{some(rng.randint(0, 9))} {passage} {some(rng.randint(0, 9))}" for _ in range(400)]
+    texts += [some(300, "a"), some(200, "ab"), "b " + some(90, "a"), *texts[:20], passage, "", None, " ".join([passage] * 30)]
+    rows = list(enumerate(texts))
+    got = {r[0]: (r[1], r[2], bytes(r[3])) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 10, crowded).collect()}
+    assert got == brute_words(rows, 10) and sum(x[1] > 0 for x in got.values()) > 100
+
+
+def test_runs_that_turn_out_crowded_where_they_meet(spark):
+    """No task has many runs of a minimizer, but all together have: what each window is told is the same."""
+    rng = random.Random(7)
+    some = lambda n: [rng.randrange(50) for _ in range(n)]
+    rows = [(k, np.array(some(rng.randint(1, 6)), "<i8").tobytes(), o, rng.randrange(9), 1 + o % 2, 0) for o in range(300) for k in (5, o % 90)]
+    found = spark.createDataFrame(rows, "k long, hashes binary, ord long, start int, times int, salt int").repartition(8)
+
+    def told(crowded):
+        out = substrings._resolved(found, crowded)
+        assert (out.where("hashes IS NOT NULL").count() > 250) == (crowded == 20)
+        parts = out.where("hashes IS NULL").select("k", "h", "parts").unionByName(substrings._by_window(out.where("hashes IS NOT NULL")))
+        return {(r.k, r.h, at): (p.ord, p.start + at) for r in parts.collect() for p in r.parts for at in range(p.a, p.b)}
+
+    assert told(20) == told(50_000)
+
+
 def test_repeats_of_odd_rows(odd, empty):
     r = {(x.doc_id, bytes(x.kept)) for x in substrings.without_repeats(odd, 2).collect()}
     assert r == {(None, b"some words that are here for everyone to read now"), (1, b"b c d"), (1, b""), (1, b"other text"), (2, b""), (3, b"")}
