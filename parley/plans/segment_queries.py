@@ -345,7 +345,10 @@ def top10_by_distance(spark, sf_dir):
 @query("""WITH t AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r1 FROM t)
 SELECT user_id, event_type, r2::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_type) AS r2 FROM a WHERE r1 <= 3) WHERE r2 <= 2""")
 def two_stage_rerank(spark, sf_dir):
-    t = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    """Values add up as decimals of ten places, so that equal sums are ties whatever order the rows come in; doubles that no decimal holds add up as they are."""
+    exact = F.col("value").try_cast("decimal(28,10)")
+    v = F.when(F.count(exact) == F.count("value"), F.sum(exact).cast("double")).otherwise(F.sum("value"))
+    t = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), v.alias("v"))
     a = S.ranked(t, ["user_id"], F.desc("n"), "event_type", name="r1").where("r1 < 3")
     return S.ranked(a, ["user_id"], F.desc("v"), "event_type", name="r2").where("r2 < 2").select("user_id", "event_type", (F.col("r2") + 1).alias("rank"))
 

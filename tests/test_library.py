@@ -307,3 +307,11 @@ def test_every_query_has_sql_or_values_of_its_own():
     here = os.path.dirname(os.path.abspath(__file__))
     said = "".join(open(f"{here}/{f}", encoding="utf-8").read() for f in os.listdir(here) if f.endswith(".py"))
     assert [n for n in sorted(set(QUERIES) - set(SQL)) if n not in said] == []
+
+
+def test_sums_that_are_equal_tie_in_any_order(spark, tmp_path):
+    """0.1 + 0.2 and 0.3 are a tie, that goes to the smaller type; as doubles the first is more."""
+    rows = [(1, "b", 0.1), (1, "b", 0.2), (1, "a", 0.3), (1, "a", 0.0), (2, "b", float("inf")), (2, "a", 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["two_stage_rerank"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "a", 2)}
