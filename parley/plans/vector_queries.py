@@ -125,7 +125,9 @@ def induced_subgraph_strength(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT node, other, weight, rank FROM (SELECT node, other, weight, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other)::INT AS rank FROM s WHERE node <> other) WHERE rank <= 3")
 def top3_neighbours(spark, sf_dir):
-    return E.nearest(_edges(spark, sf_dir, loops=False), 3)
+    v = _vectors(spark, sf_dir)
+    near = V.knn(v.withColumnRenamed("id", "qid"), v.withColumnRenamed("id", "iid"), 3, other=True)
+    return near.select(F.col("qid").alias("node"), F.col("iid").alias("other"), F.col("sim").alias("weight"), "rank")
 
 
 def _ranks_sql(weighted: bool) -> str:
