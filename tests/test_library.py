@@ -11,7 +11,7 @@ import pytest
 from parley.functions import text as T
 from parley.functions import vectors as V
 from parley.operators import communities as C
-from parley.operators import detect, edges, groups, keyphrases, models, property_graph, ranking, recency
+from parley.operators import detect, edges, groups, keyphrases, models, property_graph, ranking, recency, similarity
 from parley.operators import sequences as S
 from parley.plans.registry import QUERIES, SQL
 from parley.sources import requests
@@ -335,3 +335,33 @@ def test_own_id_is_no_neighbour(spark):
     v = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id long, vec array<double>")
     got = V.knn(v.withColumnRenamed("id", "qid"), v.withColumnRenamed("id", "iid"), 3, other=True).collect()
     assert {(r.qid, r.iid, r["rank"]) for r in got} == {(q, i, n + 1) for q in range(5) for n, i in enumerate([x for x in range(5) if x != q][:3])}
+
+
+def test_statistics_of_all_pairs_are_those_of_the_matrix(spark):
+    """Over several blocks, with copies, a zero vector and an opposite one."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(1100, 4))
+    m[100:160], m[7], m[8] = m[99], 0, -m[99]
+    v = spark.createDataFrame([(int(i) * 3, x.tolist()) for i, x in enumerate(m)], "id long, vec array<double>")
+    u = m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
+    w = np.round(u @ u.T, 6) + 0.0
+    got = {r.node: r for r in similarity.quartiles(v).collect()}
+    assert len(got) == len(m)
+    for i, row in enumerate(w):
+        assert (got[i * 3].q1, got[i * 3].q3) == pytest.approx(tuple(np.percentile(row, [25, 75])), abs=2e-6)
+    some = {r.node: r for r in similarity.moments(v, 0.2, loops=False).collect()}
+    for i, row in enumerate(w):
+        on = (row > 0.2) & (np.arange(len(m)) != i)
+        assert on.sum() == (some[i * 3].n if i * 3 in some else 0) and (not on.any() or some[i * 3].total == pytest.approx(row[on].sum(), abs=1e-4))
+    counts = {r.weight: r.n for r in similarity.weight_counts(v).collect()}
+    assert sum(counts.values()) == 1100 * 1101 // 2 and counts[1.0] >= 61 * 62 // 2
+
+
+@pytest.mark.parametrize("name", ["cosine_node_iqr_prune", "cosine_node_q3_prune", "minmax_symmetric_norm", "neighbour_window_prune", "edge_percentile_prune", "topk_fraction_edges"])
+def test_prunings_write_no_pairs(spark, name):
+    """What goes to the shared folder is a row a vector, not one a pair."""
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(top) for f in fs)
+    before = size()
+    QUERIES[name](spark, SF).count()
+    assert size() - before < 250_000  # 125,250 pairs take some 700 kB
