@@ -100,7 +100,7 @@ i AS (SELECT a.label, sum(weight) AS l FROM g JOIN v a ON src = a.id JOIN v b ON
 SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM d LEFT JOIN i USING (label), m""")
 def modularity_by_label(spark, sf_dir):
     membership = _vectors(spark, sf_dir).select(F.col("id").alias("node"), F.col("label").alias("community"))
-    return E.modularity(_graph(spark, sf_dir), membership).select(F.round("modularity", 6).alias("modularity"))
+    return A.modularity(_vectors(spark, sf_dir), membership, 0.2).select(F.round("modularity", 6).alias("modularity"))
 
 
 _DEG = "dg AS (SELECT node, count(*) AS degree, sum(w) AS strength FROM (SELECT src AS node, weight AS w FROM g UNION ALL SELECT dst, weight FROM g) GROUP BY node)"
@@ -108,20 +108,21 @@ _DEG = "dg AS (SELECT node, count(*) AS degree, sum(w) AS strength FROM (SELECT
 
 @query(f"WITH {_GRAPH}, {_DEG} SELECT node, degree, round(strength, 6) AS strength, round(degree / ((SELECT count(*) FROM dg) - 1.0), 6) AS centrality FROM dg")
 def degree_centrality(spark, sf_dir):
-    d = written(E.degrees(_graph(spark, sf_dir)), "degrees")
+    d = written(A.moments(_vectors(spark, sf_dir), 0.2, loops=False).select("node", F.col("n").alias("degree"), F.col("total").alias("strength")), "degrees")
     n = d.agg((F.count("*") - 1.0).alias("n"))
     return d.crossJoin(F.broadcast(n)).select("node", "degree", F.round("strength", 6).alias("strength"), F.round(F.col("degree") / F.col("n"), 6).alias("centrality"))
 
 
 @query(f"WITH {_GRAPH}, {_DEG} SELECT src, dst, round(-1 / sqrt(a.degree * b.degree), 6) AS entry FROM g JOIN dg a ON src = a.node JOIN dg b ON dst = b.node")
 def normalised_laplacian(spark, sf_dir):
-    return E.laplacian(_graph(spark, sf_dir)).withColumn("entry", F.round("entry", 6))
+    return A.laplacian(_vectors(spark, sf_dir), 0.2).withColumn("entry", F.round("entry", 6))
 
 
 @query(f"WITH {_GRAPH} SELECT count(*) AS n_edges, round(coalesce(sum(weight), 0), 6) AS weight FROM g WHERE src % 3 = 0 AND dst % 3 = 0")
 def induced_subgraph_strength(spark, sf_dir):
-    nodes = _vectors(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("node"))
-    return E.induced(_graph(spark, sf_dir), nodes).agg(F.count("*").alias("n_edges"), F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 6).alias("weight"))
+    """Edges within the chosen nodes are the pairs of their vectors; each counts at both of its ends."""
+    m = A.moments(_vectors(spark, sf_dir).where("id % 3 = 0"), 0.2, loops=False)
+    return m.agg(F.coalesce(F.sum("n") / 2, F.lit(0)).cast("long").alias("n_edges"), F.round(F.coalesce(F.sum(F.round(F.col("total") * A.ONE).cast("decimal(38,0)")) / 2 / A.ONE, F.lit(0)).cast("double"), 6).alias("weight"))
 
 
 @query(f"WITH {_PAIRS} SELECT node, other, weight, rank FROM (SELECT node, other, weight, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other)::INT AS rank FROM s WHERE node <> other) WHERE rank <= 3")
@@ -141,19 +142,19 @@ def _ranks_sql(weighted: bool) -> str:
 
 @query(_ranks_sql(False))
 def pagerank_10_rounds(spark, sf_dir):
-    return R.pagerank(_graph(spark, sf_dir), rounds=10).withColumn("rank", F.round("rank", 6))
+    return A.pagerank(_vectors(spark, sf_dir), 0.2, rounds=10).withColumn("rank", F.round("rank", 6))
 
 
 @query(_ranks_sql(True))
 def pagerank_weighted_10_rounds(spark, sf_dir):
-    return R.pagerank(_graph(spark, sf_dir), rounds=10, weighted=True).withColumn("rank", F.round("rank", 6))
+    return A.pagerank(_vectors(spark, sf_dir), 0.2, rounds=10, weighted=True).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT src, dst FROM e WHERE src < dst AND weight > 0.35), a AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
 c AS (SELECT src AS node, src AS root FROM a UNION SELECT a.dst, c.root FROM c JOIN a ON c.node = a.src)
 SELECT node, min(root) AS component FROM c GROUP BY node""")
 def connected_components(spark, sf_dir):
-    return R.components(E.threshold(_edges(spark, sf_dir, loops=False, least=0.35), 0.35))
+    return R.components(written(A.links(_vectors(spark, sf_dir), 0.35), "links"))
 
 
 _CENT = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),
