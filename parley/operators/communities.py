@@ -228,6 +228,32 @@ def closeness(graph: Graph) -> np.ndarray:
     return out
 
 
+def path_centralities(graph: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """``closeness`` and ``betweenness`` in one: shortest paths from all nodes at once, a product of matrices a step."""
+    n = graph.n
+    a = np.zeros((n, n))
+    a[graph.a, graph.b] = a[graph.b, graph.a] = 1.0
+    np.fill_diagonal(a, 0.0)
+    dist, paths, front, far = np.where(np.eye(n) > 0, 0, -1), np.eye(n), np.eye(n), 0
+    while True:
+        step = front @ a
+        new = (step > 0) & (dist < 0)
+        if not new.any():
+            break
+        far += 1
+        dist[new] = far
+        front = np.where(new, step, 0.0)
+        paths += front
+    credit = np.zeros((n, n))
+    for k in range(far, 0, -1):
+        passed = np.divide(1 + credit, paths, out=np.zeros((n, n)), where=dist == k) @ a
+        credit += np.where(dist == k - 1, paths * passed, 0.0)
+    reached, total = (dist > 0).sum(1), np.where(dist > 0, dist, 0).sum(1)
+    near = np.where(reached > 0, reached / np.maximum(total, 1) * (reached / max(n - 1, 1)), 0.0)
+    between = credit.sum(0) - np.diag(credit)
+    return near, between / ((n - 1) * (n - 2)) if n > 2 else between
+
+
 def _wiener(near: list[dict[int, float]]) -> float:
     total = 0.0
     for s in range(len(near)):
@@ -250,40 +276,41 @@ def closeness_vitality(graph: Graph) -> np.ndarray:
 
 
 def _inverse_laplacian(graph: Graph) -> np.ndarray:
+    """The pseudo-inverse of a connected graph's Laplacian: only constants are taken to zero, so with their projection added it has an inverse."""
     m = np.zeros((graph.n, graph.n))
-    for i in range(graph.n):
-        for j, v in graph.near[i].items():
-            if i != j:
-                m[i, j] -= v
-                m[i, i] += v
-    return np.linalg.pinv(m)
+    other = graph.a != graph.b
+    a, b, w = graph.a[other], graph.b[other], graph.w[other]
+    np.add.at(m, (a, b), -w)
+    np.add.at(m, (b, a), -w)
+    np.fill_diagonal(m, -m.sum(1))
+    return np.linalg.inv(m + 1 / graph.n) - 1 / graph.n
 
 
-def current_flow_closeness(graph: Graph) -> np.ndarray:
+def current_flow_closeness(graph: Graph, inverse: np.ndarray | None = None) -> np.ndarray:
     """One by the sum of resistances to all others; zero unless the graph is connected."""
     if graph.n < 2 or _components(graph.near).max():
         return np.zeros(graph.n)
-    c = _inverse_laplacian(graph)
+    c = _inverse_laplacian(graph) if inverse is None else inverse
     d = np.diag(c)
     r = d[:, None] + d[None, :] - 2 * c
     return 1 / r.sum(1)
 
 
-def current_flow_betweenness(graph: Graph) -> np.ndarray:
+def current_flow_betweenness(graph: Graph, inverse: np.ndarray | None = None) -> np.ndarray:
     """Current through each node when a unit flows between all pairs, normalised; zero unless connected."""
     n, out = graph.n, np.zeros(graph.n)
     if n < 3 or _components(graph.near).max():
         return out
-    c = _inverse_laplacian(graph)
-    for i in range(n):
-        for j, v in graph.near[i].items():
-            if i < j:
-                row = v * (c[i] - c[j])
-                flow = np.abs(row[:, None] - row[None, :])
-                np.fill_diagonal(flow, 0)
-                total = flow.sum() / 2
-                for x in (i, j):  # pairs in which x itself is an end don't count
-                    out[x] += (total - flow[x].sum()) / 2
+    c = _inverse_laplacian(graph) if inverse is None else inverse
+    i, j, v = (np.array(x) for x in zip(*[(i, j, v) for i in range(n) for j, v in graph.near[i].items() if i < j]))
+    place, step = 2 * np.arange(n) - (n - 1), max(1, (1 << 20) // n)
+    for first in range(0, len(v), step):
+        s, d = i[first : first + step], j[first : first + step]
+        row = v[first : first + step, None] * (c[s] - c[d])
+        total = np.sort(row, axis=1) @ place  # the sum of |x - y| over all pairs: an entry counts by its place
+        each = np.arange(len(s))
+        for x in (s, d):  # pairs in which x itself is an end don't count
+            np.add.at(out, x, (total - np.abs(row[each, x, None] - row).sum(1)) / 2)
     return out * 2 / ((n - 1) * (n - 2))
 
 

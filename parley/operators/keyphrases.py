@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import communities as C
+from .batches import per_group
 
 
 def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,10 +38,10 @@ def phrase_runs(tokens_: DataFrame, key: str, compat: bool = False) -> DataFrame
     return runs.select(key, "start", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("phrase"), F.size("ws").cast("long").alias("n"))
 
 
-def _rank(edges: pd.DataFrame, alpha: float, rounds: int | None, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    nodes, at = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
-    n, m = len(nodes), len(edges)
-    a, b = np.concatenate([at[:m], at[m:]]), np.concatenate([at[m:], at[:m]])
+def _rank(at: np.ndarray, n: int, alpha: float, rounds: int | None, tol: float) -> np.ndarray:
+    """Ranks of nodes 0 to n - 1, of which ``at`` has the sources of all edges, then their ends."""
+    m = len(at) // 2
+    a, b = at, np.concatenate([at[m:], at[:m]])
     degree = np.bincount(a, minlength=n)
     r = np.full(n, 1.0 / n)
     for _ in range(rounds or 100):
@@ -50,46 +52,64 @@ def _rank(edges: pd.DataFrame, alpha: float, rounds: int | None, tol: float) ->
     else:
         if rounds is None:
             raise RuntimeError("the ranks of a text's words still move after 100 rounds")
-    return nodes, r
+    return r
 
 
 #: What ranks can be normalised by.
 NORMALISE = (None, "degree", "closeness", "betweenness", "degree_bet")
 
 
-def _centrality(edges: pd.DataFrame, kind: str) -> np.ndarray:
-    """Closeness or betweenness of the nodes in order: by current flow where the graph is connected, else by shortest paths."""
-    g = C.Graph(edges[["src", "dst"]])
-    flow, paths = (C.current_flow_closeness, C.closeness) if kind == "closeness" else (C.current_flow_betweenness, C.betweenness)
-    return paths(g) if C.parts(g).max() else flow(g)
+def _centralities(at: np.ndarray, kinds: set[str]) -> dict[str, np.ndarray]:
+    """Closeness and betweenness of the nodes in order: by current flow where the graph is connected, else by shortest paths.  One inverse, or one search for paths, serves both."""
+    m = len(at) // 2
+    g = C.Graph({"src": at[:m], "dst": at[m:]})
+    if not C.parts(g).max():
+        inverse = C._inverse_laplacian(g)
+        flow = {"closeness": C.current_flow_closeness, "betweenness": C.current_flow_betweenness}
+        return {k: flow[k](g, inverse) for k in kinds}
+    return dict(zip(("closeness", "betweenness"), C.path_centralities(g)))
 
 
-def textrank(tokens_: DataFrame, key: str, window: int = 3, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-4, normalise: str | None = None) -> DataFrame:
-    """``(key, node, rank)``: PageRank of each text's word graph; one text's graph is one group.
+def word_ranks(tokens_: DataFrame, key: str, window: int = 3, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-4, normalise: Sequence[str | None] = (None,)) -> DataFrame:
+    """``(key, node, rank, ...)``: PageRank of each text's word graph in one column for each way in ``normalise`` (named by it; None: ``rank``).
 
-    ``normalise``: divided by ``degree`` or ``closeness`` (zero keeps the rank), times
-    ``betweenness``, or divided by degree and betweenness together (``degree_bet``).  Closeness and
-    betweenness solve a system as large as the graph: they are for texts of some hundred different words.
+    Divided by ``degree`` or ``closeness`` (zero keeps the rank), times
+    ``betweenness``, or divided by degree and betweenness together (``degree_bet``).  A text's graph is made once, and
+    many texts pass in one batch.  Closeness and betweenness solve a system as large as the graph: they are for texts of some hundred different words.
     """
-    if normalise not in NORMALISE:
-        raise ValueError(f"no way to normalise by {normalise}")
-    edges = cooccurrence(tokens_, key, window)
-    kind = tokens_.schema[key].dataType.simpleString()
-
-    def run(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, r = _rank(pdf, alpha, rounds, tol)
-        if normalise in ("degree", "degree_bet"):
-            both = np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()])
-            degree = np.unique(both, return_counts=True)[1]
-            r = r / (degree + _centrality(pdf, "betweenness") if normalise == "degree_bet" else degree)
-        elif normalise == "closeness":
-            near = _centrality(pdf, "closeness")
-            r = r / np.where(near == 0, 1, near)
-        elif normalise == "betweenness":
-            r = r * _centrality(pdf, "betweenness")
-        return pd.DataFrame({key: of[0], "node": nodes, "rank": r})
-
-    return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, node string, rank double")
+    unknown = [n for n in normalise if n not in NORMALISE]
+    if unknown:
+        raise ValueError(f"no way to normalise by {unknown[0]}")
+    kinds = ({"closeness"} & set(normalise)) | ({"betweenness"} if {"betweenness", "degree_bet"} & set(normalise) else set())
+
+    def run(of: tuple, own: dict[str, np.ndarray]) -> list:
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for w in own["src"].tolist() + own["dst"].tolist()])
+        nodes = sorted(place)
+        order = np.empty(len(nodes), int)
+        order[[place[w] for w in nodes]] = np.arange(len(nodes))
+        at = order[at]
+        r, degree = _rank(at, len(nodes), alpha, rounds, tol), np.bincount(at, minlength=len(nodes))
+        of_kind = _centralities(at, kinds) if kinds else {}
+        out: list = [nodes]
+        for n in normalise:
+            if n == "degree":
+                out.append(r / degree)
+            elif n == "degree_bet":
+                out.append(r / (degree + of_kind["betweenness"]))
+            elif n == "closeness":
+                out.append(r / np.where(of_kind[n] == 0, 1, of_kind[n]))
+            else:
+                out.append(r * of_kind[n] if n else r)
+        return out
+
+    columns = ", ".join(["node string", *[f"{n or 'rank'} double" for n in normalise]])
+    return per_group(cooccurrence(tokens_, key, window), [key], run, columns, ["src", "dst"])
+
+
+def textrank(tokens_: DataFrame, key: str, window: int = 3, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-4, normalise: str | None = None) -> DataFrame:
+    """``(key, node, rank)``: PageRank of each text's word graph, normalised in one of the ways of ``word_ranks``."""
+    return word_ranks(tokens_, key, window, rounds, alpha, tol, (normalise,)).withColumnRenamed(normalise or "rank", "rank")
 
 
 def phrase_score(scores: Column, metric: str = "sum", normalise: bool = True) -> Column:
