@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..sources.shared import written
-from . import chunking, detect, models, ranking, tagging
+from . import chunking, detect, models, ranking, similarity, tagging
 from . import edges as E
 from . import sequences as S
 
@@ -41,15 +41,18 @@ def topics(sentences: DataFrame, group: str, embedder: detect.Embedder | None =
     return S.ranked(near, [group], F.desc("score"), "node", name="rank").where(F.col("rank") < top).select(group, (F.col("rank") + 1).alias("rank"), "phrase", "score")
 
 
-def influential_nodes(nodes: DataFrame, edges: DataFrame, least: int = 6, rounds: int | None = None) -> DataFrame:
+def influential_nodes(nodes: DataFrame, edges: DataFrame | None = None, least: int = 6, rounds: int | None = None, above: float = 0.25) -> DataFrame:
     """``(cluster, node, inner_rank, rank)``: of each cluster the node with most PageRank inside it, and the cluster's own rank.
 
-    ``nodes(cluster, node, vec)``, ``edges(cluster, src, dst, weight)`` within clusters; those of fewer
-    than ``least`` nodes are left out.  The nodes found make the cluster graph: cosine weights, all pairs and loops. Ties go to the smaller node.
+    ``nodes(cluster, node, vec)``, ``edges(cluster, src, dst, weight)`` within clusters; clusters of fewer
+    than ``least`` nodes are left out.  Without edges they are all pairs whose cosine is more than ``above``, ranked in ``rounds`` (10) without a pair as a row.  The nodes found make the cluster graph: cosine weights, all pairs and loops. Ties go to the smaller node.
     """
     large = nodes.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
     own = written(nodes.join(large, "cluster"), "clusters")
-    inner = ranking.pagerank_of_graphs(edges.join(large, "cluster"), ["cluster"], own.select("cluster", "node"), rounds=rounds)
+    if edges is None:
+        inner = similarity.pagerank_of_groups(own.select("cluster", F.col("node").alias("id"), "vec"), ["cluster"], above, rounds=10 if rounds is None else rounds)
+    else:
+        inner = ranking.pagerank_of_graphs(edges.join(large, "cluster"), ["cluster"], own.select("cluster", "node"), rounds=rounds)
     best = S.first_of(inner.withColumn("inner_rank", F.round("rank", 9)).drop("rank"), ["cluster"], F.desc("inner_rank"), "node")
     best = written(best.join(own.select("cluster", "node", "vec"), ["cluster", "node"]), "influential")
     outer = V.cosine_pairs(best, "cluster", "vec", digits=None).withColumn("all", F.lit(0))

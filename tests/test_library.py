@@ -365,3 +365,15 @@ def test_prunings_write_no_pairs(spark, name):
     before = size()
     QUERIES[name](spark, SF).count()
     assert size() - before < 250_000  # 125,250 pairs take some 700 kB
+
+
+def test_pagerank_of_groups_without_edges(spark):
+    """F32: ranks from products equal those from an edge table, and no edge is written or shuffled."""
+    rng = np.random.default_rng(5)
+    rows = [(g, 100 * g + i, (np.zeros(4) if i == 3 else rng.normal(size=4)).tolist()) for g in range(3) for i in range(1 if g == 2 else 25)]
+    v = spark.createDataFrame(rows, "grp int, id int, vec array<double>")
+    edges = V.cosine_pairs(v, "id", "vec", ["grp"], loops=False).where("weight > 0.25")
+    want = ranking.pagerank_of_graphs(edges, ["grp"], v.select("grp", F.col("id").alias("node")), rounds=10)
+    want = {(r.grp, r.node): round(r["rank"], 9) for r in want.collect()}
+    got = {(r.grp, r.node): round(r["rank"], 9) for r in similarity.pagerank_of_groups(v, ["grp"], 0.25).collect()}
+    assert got == want and len(got) == len(rows)
