@@ -54,4 +54,4 @@ class PhraseSpans:
 
 def register(spark: SparkSession) -> None:
     """The table functions under their names, for ``spark.sql``."""
-    spark.udtf.register("phrase_spans", udtf(PhraseSpans, useArrow=True))
+    spark.udtf.register("phrase_spans", udtf(PhraseSpans, useArrow=False))
