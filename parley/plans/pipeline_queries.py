@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import communities as C
-from ..operators import detect, groups, models, recency
-from ..operators import edges as E
+from ..operators import detect, groups, models, recency, similarity
 from ..operators import sequences as S
 from ..sources.shared import new_path, table, written
 from ..streaming import streams
@@ -196,12 +195,5 @@ a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), o AS (SELECT src
 @query(_contracted_sql())
 def entity_pagerank_of_groups(spark, sf_dir):
     """Rank of each label's contracted super-node among all nodes."""
-    from ..operators.ranking import pagerank
-
-    v = table(spark, sf_dir, "embeddings")
-    e = E.threshold(V.cosine_pairs(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), loops=False, least=0.2), 0.2)
-    member = v.select(F.col("vec_id").alias("node"), F.when(F.col("label") < 3, -1 - F.col("label").cast("long")).otherwise(F.col("vec_id")).alias("as"))
-    a, b = member.select(F.col("node").alias("src"), F.col("as").alias("x")), member.select(F.col("node").alias("dst"), F.col("as").alias("y"))
-    small = e.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).where("src <> dst").distinct()
-    r = pagerank(written(small, "contracted"), rounds=10).withColumn("rank", F.round("rank", 6))
-    return r.where("node < 0")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.when(F.col("label") < 3, -1 - F.col("label").cast("long")).alias("into"))
+    return similarity.contracted_pagerank(v, 0.2, rounds=10).select("node", F.round("rank", 6).alias("rank"))
