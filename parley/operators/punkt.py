@@ -37,6 +37,11 @@ def _segments(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\s*\S+"), F.lit(0))
 
 
+def _tokens(docs: DataFrame) -> DataFrame:
+    """``(lang, t)``: the words of each text that has some, without the blanks before them."""
+    return docs.select("lang", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)).alias("t")).where(F.size("t") > 0)
+
+
 def _core(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"^\s+", ""), f"^[{_OPEN}]+|[{_CLOSE}]+$", "")
 
@@ -72,25 +77,49 @@ def abbreviation_score(type_: Column, dotted: Column, n: Column, dots: Column, t
     return ratio * F.exp(-bare) * (F.length(type_) - bare + 1) * F.pow(bare.cast("double"), -without.cast("double"))
 
 
-def learn(docs: DataFrame) -> Model:
-    """A model of ``docs(lang, text)``; each language (null is one) is learned by itself.  All texts count, each row once."""
-    own = docs.select("lang", _segments(F.col("text")).alias("s")).where(F.size("s") > 0)
-    cores = own.select("lang", F.transform("s", _core).alias("c"))
+def _words(docs: DataFrame) -> DataFrame:
+    """``(lang, type, n, dotted, lower, upper_inside)``: equal words are counted as they stand, so each different one is looked at once."""
+    marked = lambda t: F.contains(t, F.lit(".")) | F.contains(t, F.lit("?")) | F.contains(t, F.lit("!"))
     ended = lambda c: _dotted(c) | c.rlike("[?!]$")
-    each = F.transform("c", lambda c, i: F.struct(_type(c).alias("type"), _dotted(c).alias("dot"), _case(c).alias("case"), F.coalesce(ended(F.get("c", i - 1)), F.lit(True)).alias("starts")))
-    count = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
-    upper, lower = F.col("case") == "upper", F.col("case") == "lower"
-    words = cores.select("lang", F.inline(each)).groupBy("lang", "type").agg(F.count("*").alias("n"), count(F.col("dot")).alias("dotted"), count(lower).alias("lower"), count(upper & ~F.col("starts")).alias("upper_inside"))
-    words = written(words, "words")
-    totals = words.groupBy(F.col("lang").alias("l0")).agg(F.sum("n").alias("total"), F.sum("dotted").alias("dots"))
-    sized = lambda df: df.join(totals, F.equal_null("lang", "l0")).drop("l0")
+    ends = F.transform("t", lambda t: F.when(marked(t), ended(_core(t))).otherwise(False))
+    each = F.zip_with("t", F.concat(F.array(F.lit(True)), ends), lambda t, starts: F.struct(t.alias("token"), starts.alias("starts")))
+    tokens = _tokens(docs).select("lang", F.inline(each)).where("token is not null")  # the last word's end has no word
+    tokens = tokens.groupBy("lang", "token").agg(F.count("*").alias("n"), F.count_if(~F.col("starts")).alias("inside")).withColumn("core", _core(F.col("token")))
+    kinds = tokens.select("lang", _type(F.col("core")).alias("type"), "n", "inside", _dotted(F.col("core")).alias("dot"), _case(F.col("core")).alias("case"))
+    total = lambda n, where: F.sum(F.when(where, F.col(n)).otherwise(0))
+    return kinds.groupBy("lang", "type").agg(F.sum("n").alias("n"), total("n", F.col("dot")).alias("dotted"), total("n", F.col("case") == "lower").alias("lower"), total("inside", F.col("case") == "upper").alias("upper_inside"))
+
+
+def _totals(words: DataFrame) -> DataFrame:
+    return words.groupBy(F.col("lang").alias("l0")).agg(F.sum("n").alias("total"), F.sum("dotted").alias("dots"))
+
 
+def _sized(df: DataFrame, words: DataFrame) -> DataFrame:
+    """With the sums over all words of the language."""
+    return df.join(_totals(words), F.equal_null("lang", "l0")).drop("l0")
+
+
+def _abbreviations(words: DataFrame) -> DataFrame:
     score = abbreviation_score(F.col("type"), F.col("dotted"), F.col("n"), F.col("dots"), F.col("total"))
-    scored = sized(words.where((F.col("dotted") > 0) & F.col("type").rlike(r"\p{L}"))).where("dots < total").select("lang", "type", score.alias("score"))
-    abbreviations = written(scored.where(F.col("score") >= ABBREVIATION), "abbreviations")
+    scored = _sized(words.where((F.col("dotted") > 0) & F.col("type").rlike(r"\p{L}")), words).where("dots < total").select("lang", "type", score.alias("score"))
+    return scored.where(F.col("score") >= ABBREVIATION)
+
+
+def abbreviations(docs: DataFrame) -> DataFrame:
+    """``(lang, type, score)``: the abbreviations of ``docs(lang, text)`` alone, as ``learn`` finds them, from one pass over the texts."""
+    return _abbreviations(written(_words(docs), "words"))
 
-    at = F.filter(F.transform("c", lambda c, i: F.struct(_type(c).alias("type"), _dotted(c).alias("dot"), _type(F.get("c", i + 1)).alias("next"))), lambda x: x["dot"] & x["next"].isNotNull())
-    pairs = cores.select("lang", F.inline(at)).groupBy("lang", "type", "next").agg(F.count("*").alias("ab"))
+
+def learn(docs: DataFrame) -> Model:
+    """A model of ``docs(lang, text)``; each language (null is one) is learned by itself.  All texts count, each row once."""
+    words = written(_words(docs), "words")
+    sized = lambda df: _sized(df, words)
+    abbreviations = written(_abbreviations(words), "abbreviations")
+
+    two = F.zip_with("t", F.slice("t", F.lit(2), F.size("t")), lambda t, after: F.struct(t.alias("token"), after.alias("after")))
+    at = F.filter(two, lambda x: F.contains(x["token"], F.lit(".")) & x["after"].isNotNull())
+    pairs = _tokens(docs).select("lang", F.inline(at)).groupBy("lang", "token", "after").agg(F.count("*").alias("n")).withColumn("core", _core(F.col("token"))).where(_dotted(F.col("core")))
+    pairs = pairs.select("lang", _type(F.col("core")).alias("type"), _type(_core(F.col("after"))).alias("next"), "n").groupBy("lang", "type", "next").agg(F.sum("n").alias("ab"))
     known = abbreviations.select(F.col("lang").alias("l2"), F.col("type").alias("t2"), F.lit(True).alias("abbr"))
     pairs = written(pairs.join(known, F.equal_null("lang", "l2") & (F.col("type") == F.col("t2")), "left").select("lang", "type", "next", "ab", (F.coalesce("abbr", F.lit(False)) | (F.col("type") == NUMBER) | F.col("type").rlike(r"^\p{L}$")).alias("open")), "pairs")
 

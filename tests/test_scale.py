@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vectors as V
 from parley.operators import edges as E
-from parley.operators import ranking, similarity
+from parley.operators import punkt, ranking, similarity
 
 
 @pytest.mark.parametrize("joined", [2, 5, 0])
@@ -33,3 +33,16 @@ def test_above_is_the_rounded_cosine(spark):
     m = np.array([[1.0, 0.0]] + [[c, np.sqrt(1 - c * c)] for c in at])
     hit = V._above(m[:1], m, (m[:1].astype(np.float32), m.astype(np.float32)), 0.2, 6)[0]
     assert hit.tolist() == [True, *[bool(np.round(c, 6) > 0.2) for c in at]] and hit.sum() == 5
+
+
+def test_words_and_abbreviations_of_odd_tokens(spark):
+    """Words are counted as they stand first; the result is that of looking at each by itself."""
+    texts = [("en", "(. \".\" etc.) Dr. Who! ‘Dr.’ says? it's U.S. Army 3.5, 12. may? «No.» a . b.\u0085 Dr"), ("en", None), (None, "  x. Y  "), ("de", "z.B. \n Haus. haus Das?! das ... Das"), ("de", " "), (None, "x. Y")]
+    docs = spark.createDataFrame(texts * 3, "lang string, text string")
+    s = docs.select("lang", F.transform(punkt._segments(F.col("text")), punkt._core).alias("c")).where(F.size("c") > 0).select("lang", F.posexplode("c").alias("i", "core"), "c")
+    before = F.when(F.col("i") > 0, F.get("c", F.col("i") - 1))
+    s = s.select("lang", punkt._type(F.col("core")).alias("type"), punkt._dotted(F.col("core")).alias("dot"), punkt._case(F.col("core")).alias("case"), F.coalesce(punkt._dotted(before) | before.rlike("[?!]$"), F.lit(True)).alias("starts"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    want = s.groupBy("lang", "type").agg(F.count("*"), n(F.col("dot")), n(F.col("case") == "lower"), n((F.col("case") == "upper") & ~F.col("starts")))
+    assert sorted(map(str, punkt._words(docs).collect())) == sorted(str(r).replace("count(1)", "n") for r in want.toDF("lang", "type", "n", "dotted", "lower", "upper_inside").collect())
+    assert sorted(map(str, punkt.abbreviations(docs).collect())) == sorted(map(str, punkt.learn(docs).abbreviations.collect())) and punkt.abbreviations(docs.limit(0)).count() == 0
