@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vectors as V
 from parley.operators import edges as E
-from parley.operators import punkt, ranking, similarity
+from parley.operators import detect, punkt, ranking, relatedness, similarity, tagging
 
 
 @pytest.mark.parametrize("joined", [2, 5, 0])
@@ -46,3 +46,27 @@ def test_words_and_abbreviations_of_odd_tokens(spark):
     want = s.groupBy("lang", "type").agg(F.count("*"), n(F.col("dot")), n(F.col("case") == "lower"), n((F.col("case") == "upper") & ~F.col("starts")))
     assert sorted(map(str, punkt._words(docs).collect())) == sorted(str(r).replace("count(1)", "n") for r in want.toDF("lang", "type", "n", "dotted", "lower", "upper_inside").collect())
     assert sorted(map(str, punkt.abbreviations(docs).collect())) == sorted(map(str, punkt.learn(docs).abbreviations.collect())) and punkt.abbreviations(docs.limit(0)).count() == 0
+
+
+def test_relatedness_of_phrase_lists(spark):
+    """As from a row for each phrase pair and vectors of all words; texts without phrases, with many, with single words, and repeated pairs."""
+    nouns = ["engine", "mirror", "valve", "cat", "controller", "green", "The", "of", "is", "runs", "checks", ",", "."]
+    rng = np.random.default_rng(3)
+    rows = [("c", t, " ".join(rng.choice(nouns, size=[0, 1, 4, 30, 80][t % 5]))) for t in range(60)] + [("d", 0, None), ("d", 1, "engine")]
+    key = ["conv_id", "turn"]
+    texts = spark.createDataFrame(rows, "conv_id string, turn int, text string").select(*key, tagging.tokens(F.col("text")).alias("tokens"))
+    texts = texts.withColumn("tags", tagging.penn_tags(F.col("tokens"))).cache()
+    pieces = texts.select(*key, F.posexplode(relatedness.word_pieces(F.transform("tokens", F.lower))).alias("pos", "p")).select(*key, "pos", "p.piece")
+    words = relatedness.word_vectors(detect.embedded(pieces, "piece"), key)
+    own = relatedness.phrases(texts, key).orderBy("at")
+    a = texts.select(F.col("conv_id").alias("conv_id_a"), F.col("turn").alias("turn_a"))
+    b = texts.select(F.col("conv_id").alias("conv_id_b"), F.col("turn").alias("turn_b"))
+    pairs = a.join(b, (F.col("conv_id_a") == F.col("conv_id_b")) & (F.abs(F.col("turn_a") - F.col("turn_b")) < 4))
+    found = relatedness.phrase_lists(texts, key)
+    assert {(r.conv_id, r.turn): r.ps for r in found.where(F.size("ps") > 0).collect()} == {(r.conv_id, r.turn): [x.phrase for x in sorted(r.ps)] for r in own.groupBy(*key).agg(F.collect_list(F.struct("at", "phrase")).alias("ps")).collect()}
+    pairs = pairs.unionByName(pairs.limit(3))
+    want = relatedness.relatedness(pairs, relatedness.phrase_vectors(own, words, key), key).collect()
+    got = relatedness.relatedness_of_phrases(pairs, found, key).collect()
+    names = lambda r: (r.conv_id_a, r.turn_a, r.conv_id_b, r.turn_b)
+    assert [names(r) for r in sorted(got)] == [names(r) for r in sorted(want)] and len({r.score for r in want}) > 50
+    assert all(x.score == pytest.approx(y.score, abs=2e-6) for x, y in zip(sorted(got), sorted(want)))
