@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,10 @@ from ..sources.shared import written
 from . import chunking, detect, models, ranking, similarity, tagging
 from . import edges as E
 from . import sequences as S
+from .batches import per_group
+
+#: Phrases of a group up to which its graph is made in one task: four matrices of this many rows and columns are held.
+MOST = 4096
 
 
 def topic_candidates(sentences: DataFrame, group: str, grammar: str = chunking.GRAMMARS["topic"], stop_words=T.STOP_WORDS) -> DataFrame:
@@ -21,6 +26,55 @@ def topic_candidates(sentences: DataFrame, group: str, grammar: str = chunking.G
     return S.ranked(first.select(group, "phrase", "first.*"), [group], "pos", "at", "phrase", name="node").select(group, "node", "phrase")
 
 
+def _ranks(m: np.ndarray, alpha: float = 0.85, tol: float = 1e-9, most_rounds: int = 300) -> np.ndarray:
+    """PageRank of the nodes with vectors ``m`` in their cosine graph with loops, each edge kept if it reaches the third quartile of its earlier end."""
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    m = m / np.where(length == 0, 1, length)
+    n = len(m)
+    w = np.triu(m @ m.T)
+    w += np.triu(w, 1).T
+    pos = 0.75 * (n - 1)
+    low, high = int(np.floor(pos)), int(np.ceil(pos))
+    ends = np.partition(w, sorted({low, high}), axis=1)
+    a, b = ends[:, low], ends[:, high]
+    cut = np.where(a == b, a, (high - pos) * a + (pos - low) * b) if high > low else a
+    kept = np.where(np.triu(w >= cut[:, None]), w, 0.0)
+    kept += np.triu(kept, 1).T
+    out = kept.sum(1)
+    stuck = ~(out > 0)
+    share = np.where(stuck[:, None], 0.0, kept / np.where(stuck, 1, out)[:, None])
+    r = np.full(n, 1.0 / n)
+    for _ in range(most_rounds):
+        new = (1 - alpha) / n + alpha * (r @ share + r[stuck].sum() / n)
+        moved, r = np.abs(new - r).sum(), new
+        if moved < n * tol:
+            return r
+    raise RuntimeError(f"the ranks of a group's phrases still move after {most_rounds} rounds")
+
+
+def phrase_ranks(phrases: DataFrame, group: str) -> DataFrame:
+    """``phrases(group, node, vec)`` to ``(group, node, rank)``: of each group's pruned cosine graph.
+
+    Groups pass by the batch; one of more than ``MOST`` phrases goes as tables of edges and ranks, whatever its size.
+    """
+    kind = phrases.schema["node"].dataType.simpleString()
+    rows = phrases.select(group, "node", "vec")
+    large = rows.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("_of")
+    same = F.equal_null(group, "_of")
+
+    def run(of: tuple, own: dict[str, np.ndarray]) -> list:
+        return [own["node"], _ranks(np.array(own["vec"].tolist(), np.float64).reshape(len(own["node"]), -1))]
+
+    any_large = large.limit(1).count() > 0
+    small = rows.join(F.broadcast(large), same, "left_anti") if any_large else rows  # large groups are few: each has more than MOST rows
+    ranks = per_group(small, [group], run, f"node {kind}, rank double", ["node"])
+    if not any_large:
+        return ranks
+    own = written(rows.join(F.broadcast(large), same, "left_semi"), "large")
+    pairs = written(V.cosine_pairs(own, "node", "vec", [group], digits=None), "pairs")
+    return ranks.unionByName(ranking.pagerank_of_graphs(E.quartile_prune(pairs, (group,)), [group], own.select(group, "node")))
+
+
 def topics(sentences: DataFrame, group: str, embedder: detect.Embedder | None = None, grammar: str = chunking.GRAMMARS["topic"], ratio: float = 0.3, keep: int = 10, top: int = 5) -> DataFrame:
     """``sentences(group, pos, text, vec)`` to ``(group, rank, phrase, score)``: up to ``top`` phrases that name what a group is about.
 
@@ -33,8 +87,7 @@ def topics(sentences: DataFrame, group: str, embedder: detect.Embedder | None =
     summary = short.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s")).select(group, F.array_join("s.text", " ").alias("text"))
     nodes = topic_candidates(short, group, grammar)
     phrases = written(detect.embedded(nodes.withColumn("ended", F.concat("phrase", F.lit("."))), "ended", embedder).drop("ended"), "phrases")
-    pairs = written(V.cosine_pairs(phrases, "node", "vec", [group], digits=None), "pairs")
-    ranks = ranking.pagerank_of_graphs(E.quartile_prune(pairs, (group,)), [group], phrases.select(group, "node"))
+    ranks = phrase_ranks(phrases, group)
     best = S.first_of(phrases.join(ranks, [group, "node"]), [group], F.desc(F.round("rank", 9)), "node", n=keep)
     near = best.join(detect.embedded(summary, "text", embedder, "whole").select(group, "whole"), group)
     near = near.withColumn("score", F.round(F.coalesce(V.cosine(F.col("vec"), F.col("whole")), F.lit(0.0)), 6))

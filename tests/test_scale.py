@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vectors as V
 from parley.operators import edges as E
-from parley.operators import detect, punkt, ranking, relatedness, similarity, tagging
+from parley.operators import detect, punkt, ranking, relatedness, similarity, tagging, topics
 
 
 @pytest.mark.parametrize("joined", [2, 5, 0])
@@ -70,3 +70,14 @@ def test_relatedness_of_phrase_lists(spark):
     names = lambda r: (r.conv_id_a, r.turn_a, r.conv_id_b, r.turn_b)
     assert [names(r) for r in sorted(got)] == [names(r) for r in sorted(want)] and len({r.score for r in want}) > 50
     assert all(x.score == pytest.approx(y.score, abs=2e-6) for x, y in zip(sorted(got), sorted(want)))
+
+
+def test_phrase_ranks(spark, monkeypatch):
+    """Graphs by the batch as from tables of edges: zero vectors, groups of one and of two.  Weights have no ties but 0, which products may tell apart by their last bits."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, [float(v) for v in rng.normal(0.3, 1, size=3) * (i % 8 != 6)]) for g, n in ((0, 1), (1, 2), (2, 9), (3, 40), (7, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "grp long, node int, vec array<double>")
+    got = {(r.grp, r.node): r["rank"] for r in topics.phrase_ranks(df, "grp").collect()}
+    monkeypatch.setattr(topics, "MOST", 4)
+    want = {(r.grp, r.node): r["rank"] for r in topics.phrase_ranks(df, "grp").collect()}
+    assert len(got) == len(rows) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=3e-5) for k in want)  # tables stop at 1e-6 a node and round
