@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -122,15 +124,35 @@ def keyphrases(tokens_: DataFrame, key: str, top: int = 10, window: int = 3, met
     """``(key, rank, phrase, score)``: the best phrases of each text, by score and phrase descending.
 
     Single words that a longer phrase of the text holds are left out, words
-    within a phrase count once.
+    within a phrase count once.  Tokens are dealt by text once, marked words alone with their spelling; many texts pass in one batch.
     """
-    ranks = textrank(tokens_, key, window)
-    runs = phrase_runs(tokens_, key, compat).select(key, "phrase").distinct()
-    word = runs.select(key, "phrase", F.posexplode(F.split("phrase", " ")).alias("p", "node")).join(ranks, [key, "node"], "left")
-    scored = word.groupBy(key, "phrase").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("rank", F.lit(0.0)).alias("r")))).alias("s"))
-    scored = scored.select(key, F.array_join(F.array_distinct(F.split("phrase", " ")), " ").alias("phrase"), phrase_score(F.transform("s", lambda x: x["r"]), metric).alias("score"))
-    scored = scored.groupBy(key, "phrase").agg(F.max("score").alias("score"))
-    long_ = scored.where(F.contains("phrase", F.lit(" "))).select(F.col(key), F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    kept = scored.join(long_, [key, "phrase"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc("phrase")))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "rank", "phrase", F.round("score", 6).alias("score"))
+    def run(of: tuple, own: dict[str, np.ndarray]) -> list:
+        pos, words = own["pos"].tolist(), own["word"].tolist()
+        edges = sorted({(min(a, b), max(a, b)) for k in range(1, window) for a, b in zip(words, words[k:]) if a is not None and b is not None and a != b})
+        nodes = sorted({w for e in edges for w in e})
+        place = {w: i for i, w in enumerate(nodes)}
+        at = np.array([place[e[0]] for e in edges] + [place[e[1]] for e in edges], int)
+        ranks = dict(zip(nodes, _rank(at, len(nodes), 0.85, None, 1e-4).tolist())) if nodes else {}
+        runs: list[list[str]] = []
+        before = None
+        for p, w in zip(pos, words):
+            if w is not None:
+                if before == p - 1:
+                    runs[-1].append(w)
+                else:
+                    runs.append([w])
+                before = p
+        if compat and runs and before == pos[-1]:
+            runs.pop()
+        scores: dict[str, float] = {}
+        for ws in {tuple(r) for r in runs}:
+            each = [ranks.get(w, 0.0) for w in ws]
+            score = (max(each) if metric == "max" else reduce(add, each, 0.0)) / (len(each) if len(each) > 3 else 1)
+            phrase = " ".join(dict.fromkeys(ws))
+            scores[phrase] = max(scores.get(phrase, score), score)
+        held = {w for phrase in scores if " " in phrase for w in phrase.split(" ")}
+        best = sorted(((score, phrase) for phrase, score in scores.items() if phrase not in held), reverse=True)[:top]
+        return [np.arange(1, len(best) + 1, dtype=np.int32), [phrase for _, phrase in best], [score for score, _ in best]]
+
+    marked = tokens_.select(key, "pos", F.when(F.col("kw"), F.col("word")).alias("word"))
+    return per_group(marked, [key], run, "rank int, phrase string, score double", ["pos"]).withColumn("score", F.round("score", 6))

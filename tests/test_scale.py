@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vectors as V
 from parley.operators import edges as E
+from parley.operators import keyphrases as K
 from parley.operators import detect, punkt, ranking, relatedness, similarity, tagging, topics
 
 
@@ -81,3 +82,14 @@ def test_phrase_ranks(spark, monkeypatch):
     monkeypatch.setattr(topics, "MOST", 4)
     want = {(r.grp, r.node): r["rank"] for r in topics.phrase_ranks(df, "grp").collect()}
     assert len(got) == len(rows) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=3e-5) for k in want)  # tables stop at 1e-6 a node and round
+
+
+def test_keyphrases_deal_tokens_once(spark, capsys):
+    """One exchange; a run at the end, words that a longer phrase holds, texts without marked words."""
+    rows = [(1, "alpha beta of alpha gamma of beta"), (2, "of of"), (3, "delta"), (4, None)]
+    t = K.tokens(spark.createDataFrame(rows, "k int, text string"), "k").withColumn("kw", F.col("word") != "of")
+    out = K.keyphrases(t, "k")
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+    assert [(r.k, r["rank"], r.phrase) for r in sorted(out.collect())] == [(1, 1, "alpha gamma"), (1, 2, "alpha beta"), (3, 1, "delta")]
+    assert {r.phrase for r in K.keyphrases(t, "k", compat=True).collect()} == {"alpha gamma", "alpha beta"}
